@@ -32,9 +32,5 @@ NA_TOKENS = (
     "nan", "null",
 )
 
-# Characters that Python's str.strip and str.split treat as white space, as
-# the inside of a regex character class.
-WHITESPACE = (
-    r"\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a"
-    r"\u2028\u2029\u202f\u205f\u3000"
-)
+# The characters that Python's str.strip and str.split treat as white space.
+WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())

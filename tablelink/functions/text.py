@@ -10,7 +10,7 @@ from tablelink.functions.formats import MISSING, WHITESPACE
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def words(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablelink.functions.formats import NO_METADATA
 from tablelink.functions.text import row_text, strip
+from tablelink.operators.joins import many_to_one
 from tablelink.operators.ordered import running_total
 
 _PLACE = ["table_name", "row_no"]
@@ -20,7 +21,7 @@ def lookup_cells(mentions: DataFrame, cells: DataFrame) -> DataFrame:
         F.lit(True).alias("_found"),
     )
     return (
-        mentions.join(found, [*_PLACE, "col_no"], "left")
+        many_to_one(mentions, found, [*_PLACE, "col_no"])
         .withColumn("cell_missing", F.col("_found").isNull())
         .drop("_found")
     )
@@ -61,7 +62,7 @@ def attach_rows(mentions: DataFrame, table_rows: DataFrame, with_text: bool = Tr
     """
     col = F.col("col_no")
     inside = (col >= 0) & (col < F.size("cells"))
-    joined = mentions.join(table_rows.select(*_PLACE, "col_names", "cells"), _PLACE, "left")
+    joined = many_to_one(mentions, table_rows.select(*_PLACE, "col_names", "cells"), _PLACE)
     out = joined.withColumns(
         {
             "mention": F.when(inside, F.get("cells", col)),
@@ -87,7 +88,7 @@ def first_metadata(meta: DataFrame, order: str) -> DataFrame:
 def attach_metadata(mentions: DataFrame, meta: DataFrame, order: str) -> DataFrame:
     """Add title, summary and has_meta. A table without a row gets `None` texts;
     a row with an empty field stays null."""
-    joined = mentions.join(first_metadata(meta, order), "table_name", "left")
+    joined = many_to_one(mentions, first_metadata(meta, order), ["table_name"])
     return joined.withColumns(
         {
             "has_meta": F.col("_has_meta").isNotNull(),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablelink.functions.answers import entity_id
 from tablelink.functions.keys import clean_table_name, dash_key_parts, key_parts
+from tablelink.operators.joins import many_to_one
 from tablelink.operators.ordered import first_k
 
 
@@ -14,12 +15,12 @@ def allowed_keys(df: DataFrame, allow: DataFrame, dataset: str | None = None) ->
     """Rows whose key is on the allow-list (of one dataset)."""
     if dataset is not None:
         allow = allow.where(F.col("dataset") == dataset)
-    return df.join(allow.select("key"), "key", "left_semi")
+    return many_to_one(df, allow.select("key").distinct(), ["key"], "left_semi")
 
 
 def allowed_tables(df: DataFrame, tables: DataFrame) -> DataFrame:
     """Rows whose table is on the list; the list may repeat names."""
-    return df.join(tables.select("tableName").distinct(), "tableName", "left_semi")
+    return many_to_one(df, tables.select("tableName").distinct(), ["tableName"], "left_semi")
 
 
 def one_group(df: DataFrame, group: int) -> DataFrame:

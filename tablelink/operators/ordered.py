@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tablelink.functions.text import joined_in_order
 
-# Order values per run. A group then meets in one task with one row per run:
-# a million rows of work per task, and a million runs for 10^12 order values.
-RUN_BITS = 20
+# Order values per run, as a power of two. A group then meets in one task with
+# one small row per run: 15 million of them for 10^12 order values.
+RUN_BITS = 16
 # Texts joined per block before the blocks of a group are joined.
 BLOCK_BITS = 10
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablelink.functions.formats import LIST_LIMIT, NO_RESULT, RESULT_PATTERN
 from tablelink.functions.text import joined_in_order, json_text, strip
+from tablelink.operators.joins import many_to_one
 from tablelink.operators.ordered import first_k
 
 
@@ -37,12 +38,15 @@ def lookup_entities(
     found = (
         first_entities(entities, k)
         .groupBy("_label")
-        .agg(F.sort_array(F.collect_list(F.struct("place", F.col("id").alias("entity_id")))).alias("_hits"))
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct("place", F.col("id").alias("entity_id")))
+            ).alias("_hits")
+        )
     )
-    return (
-        mentions.withColumn("_label", label_key(F.col("mention")))
-        .join(found, "_label")
-        .select(*mentions.columns, F.inline("_hits"))
+    labelled = mentions.withColumn("_label", label_key(F.col("mention")))
+    return many_to_one(labelled, found, ["_label"], "inner").select(
+        *mentions.columns, F.inline("_hits")
     )
 
 
@@ -72,7 +76,9 @@ def retrieve(mentions: DataFrame, entities: DataFrame, k: int = LIST_LIMIT) -> D
     a failed call and gives null.
     """
     label = label_key(F.col("mention"))
-    joined = mentions.withColumn("_label", label).join(result_texts(entities, k), "_label", "left")
+    joined = many_to_one(
+        mentions.withColumn("_label", label), result_texts(entities, k), ["_label"]
+    )
 
     def answer(found: str, nothing: Column) -> Column:
         return F.when(F.col("mention").isNotNull(), F.coalesce(F.col(found), nothing))

@@ -16,8 +16,9 @@ from tablelink.functions.formats import LIST_LIMIT
 from tablelink.operators.context import cells_of_rows
 from tablelink.operators.ordered import position
 
-# A run of positions that one task searches for neighbours.
-_SPAN = 4096
+# A run of 4096 positions is searched for neighbours in one piece.
+_SPAN_BITS = 12
+_SPAN = 1 << _SPAN_BITS
 
 # config, shift of the choice of answers, runs made
 CONFIGS = (
@@ -99,8 +100,8 @@ def with_nearest(parts: DataFrame, k: int = LIST_LIMIT) -> DataFrame:
     placed = position(parts, keys=["p_name"], order="p_partkey", out="_at").withColumn(
         "_at", F.col("_at") - 1
     )
-    span = F.floor(F.col("_at") / _SPAN)
-    inside = F.col("_at") % _SPAN
+    span = F.shiftright("_at", _SPAN_BITS)
+    inside = F.col("_at").bitwiseAND(F.lit(_SPAN - 1))
     spans = F.filter(
         F.array(
             span,
@@ -144,7 +145,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
             "table_name",
             "row_no",
             F.col("p_name").alias("name"),
-            F.posexplode("nearest").alias("_at", "_part"),
+            F.posexplode_outer("nearest").alias("_at", "_part"),
         )
     )
     chosen = F.col("_part.p_partkey")
