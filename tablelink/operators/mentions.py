@@ -62,5 +62,5 @@ def mention_table(candidates: DataFrame) -> DataFrame:
 
 def bounded_candidates(candidates: DataFrame, k: int, *order: str) -> DataFrame:
     """The first `k` candidates of each mention in the given order, renumbered."""
-    kept = first_k(candidates.drop("cand_pos"), k, keys=["group"], order=order, out="cand_pos")
-    return kept.withColumn("cand_pos", F.col("cand_pos").cast("bigint"))
+    kept = first_k(candidates, k, keys=["group"], order=order, out="_place")
+    return kept.withColumn("cand_pos", F.col("_place").cast("bigint")).drop("_place")

@@ -178,11 +178,13 @@ def run_linking(
     """
     spark = prompts.sparkSession
     if batches > 1:
-        work = work or f"{scratch_folder(spark)}/prompts-{config.dataset}-{config.config}-{time.time_ns()}"
-        prompts.withColumn("batch", F.pmod(F.xxhash64("group"), F.lit(batches)).cast("int")).write.mode(
-            "error"
-        ).partitionBy("batch").parquet(work)
-        prompts = spark.read.schema(prompts.schema.add("batch", "int")).parquet(work)
+        name = f"prompts-{config.dataset}-{config.config}-{time.time_ns()}"
+        work = work or f"{scratch_folder(spark)}/{name}"
+        batched = prompts.withColumn(
+            "batch", F.pmod(F.xxhash64("group"), F.lit(batches)).cast("int")
+        )
+        batched.write.mode("error").partitionBy("batch").parquet(work)
+        prompts = spark.read.schema(batched.schema).parquet(work)
     seconds = []
     for batch in range(batches):
         started = time.monotonic()

@@ -178,7 +178,7 @@ def read_tables(
     task, so larger ones are refused; read_wide_table splits them.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]+)\.csv$", 1), F.lit("+"), F.lit("%2B")))
+    name = F.regexp_extract("path", r"([^/]+)\.csv$", 1)
     too_large = F.raise_error(F.concat(F.lit("table file is too large: "), F.col("path")))
     content = F.when(F.col("length") <= max_bytes, F.col("content")).otherwise(too_large)
     return parse_tables(files.select(name.alias("table_name"), content.alias("content")))

@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import itertools
+import random
+
+import pytest
+
+from conftest import values
+from tablelink.operators.comparing import (
+    compare_runs,
+    hard_case_count,
+    hard_cases,
+    merge_all,
+    wrong_groups,
+    wrong_mentions,
+)
+from tablelink.operators.scoring import error_rows, score_rows
+from tablelink.plans.pipelines import compare, mine_hard_cases
+
+SCHEMA = "dataset string, config string, iter int, `group` bigint, gold string, pred string"
+
+
+def side_by_side(rows, numbers):
+    """All combinations per (group, gold), missing runs as None, without repeats."""
+    keys = {(r[3], r[4]) for r in rows if r[2] in numbers}
+    out = set()
+    for key in keys:
+        options = [{r[5] for r in rows if r[2] == n and (r[3], r[4]) == key} or {None} for n in numbers]
+        out |= {(*key, *combination) for combination in itertools.product(*options)}
+    return sorted(out, key=repr)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    out = []
+    for n in range(3):
+        for group in range(40):
+            if (group + n) % 11 == 0:
+                continue
+            gold = f"Q{group}" if group % 9 else None
+            pred = rng.choice([gold, gold, "Q999", None])
+            out.append(("D", "c", n, group, gold, pred))
+            if group % 7 == 0:
+                out.append(("D", "c", n, group, gold, rng.choice([pred, "Q998"])))
+        out.append(("D", "c", n, None, "Q1", "Q1" if n else "Q2"))
+        out.append(("D", "c", n, None, None, f"Q{n}"))
+    return out
+
+
+@pytest.mark.parametrize("numbers", [(0,), (1, 2), (0, 1, 2)])
+def test_compare_is_the_folded_outer_join(spark, rows, numbers):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    expected = side_by_side(rows, numbers)
+    assert values(merge_all(df, numbers)) == expected
+    compared = compare_runs(df, numbers)
+    assert values(compared.drop("result")) == expected
+    wrong = [r for r in expected if not all(p is not None and p == r[1] for p in r[2:])]
+    assert values(error_rows(compared).drop("result")) == wrong
+    assert values(compare(df, numbers).drop("result")) == wrong
+
+
+def test_long_form_finds_the_same_groups(spark, rows):
+    scored = score_rows(spark.createDataFrame(rows, SCHEMA))
+    wide = error_rows(compare_runs(scored, (0, 1, 2)))
+    assert values(wrong_groups(wide)) == values(wrong_groups(wrong_mentions(scored)))
+
+
+def test_hard_cases_over_configurations(spark):
+    rows = [
+        ("D", "a", 0, 1, "Q1", "Q1"), ("D", "a", 1, 1, "Q1", "Q1"),
+        ("D", "a", 0, 2, "Q2", "Q2"),
+        ("D", "b", 0, 1, "Q1", "Q1"), ("D", "b", 0, 3, "Q3", "Q9"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    scored = score_rows(df)
+    assert values(wrong_mentions(scored), "config", "group") == [("a", 2), ("b", 3)]
+    assert values(hard_cases(scored)) == [(2,), (3,)]
+    assert hard_case_count(scored).first()["n_hard"] == 2
+    assert values(mine_hard_cases(df)) == [(2,), (3,)]
