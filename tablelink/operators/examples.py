@@ -58,17 +58,15 @@ def length_histogram(
     """
     lengths = train.select("length").unionByName(validation.select("length"))
     counts = lengths.groupBy("length").agg(F.count("*").alias("n"))
-    low = counts.agg(F.min("length").cast("double")).scalar()
-    high = counts.agg(F.max("length").cast("double")).scalar()
-    bounds = counts.select("length", "n", low.alias("low"), high.alias("high")).select(
-        "length",
-        "n",
-        F.when(F.col("low") == F.col("high"), F.col("low") - 0.5)
-        .otherwise(F.col("low"))
-        .alias("low"),
-        F.when(F.col("low") == F.col("high"), F.col("high") + 0.5)
-        .otherwise(F.col("high"))
-        .alias("high"),
+    low, high = F.min("length").cast("double"), F.max("length").cast("double")
+    widen = F.when(low == high, 0.5).otherwise(0.0)
+    # The sum keeps the counts per length in the plan of the bounds, so that both
+    # read the same shuffle; bounds alone would be taken from the examples again.
+    ends = counts.agg(
+        F.struct((low - widen).alias("low"), (high + widen).alias("high"), F.sum("n").alias("all"))
+    )
+    bounds = counts.withColumn("_ends", ends.scalar()).select(
+        "length", "n", "_ends.low", "_ends.high"
     )
     width = (F.col("high") - F.col("low")) / bins
     bin_no = F.least(F.floor((F.col("length") - F.col("low")) / width), F.lit(bins - 1))

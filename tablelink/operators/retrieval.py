@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +88,7 @@ def retrieve(mentions: DataFrame, entities: DataFrame, k: int = LIST_LIMIT) -> D
     return joined.withColumns(
         {
             "wiki_text": answer("_text", F.lit(NO_RESULT)),
-            "wiki_json": answer("_json", json_text(F.lit(NO_RESULT))),
+            "wiki_json": answer("_json", F.lit(json.dumps(NO_RESULT))),
         }
     ).drop("_label", "_text", "_json")
 

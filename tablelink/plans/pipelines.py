@@ -14,7 +14,12 @@ from tablelink.config import LinkConfig
 from tablelink.functions.prompts import render, template_fields
 from tablelink.operators.candidates import render_candidates
 from tablelink.operators.comparing import compare_runs, wrong_groups, wrong_mentions
-from tablelink.operators.context import attach_metadata, attach_rows, constant_metadata
+from tablelink.operators.context import (
+    attach_metadata,
+    attach_rows,
+    constant_metadata,
+    expand_runs,
+)
 from tablelink.operators.examples import (
     Tokens,
     length_histogram,
@@ -119,14 +124,14 @@ def build_prompts(
     return context.select("group", "tableName", "key", "gold", prompt.alias("prompt"))
 
 
-def finished_runs(spark: SparkSession, path: str, config: LinkConfig) -> DataFrame:
-    """(iter, group) of the results that are already stored."""
+def finished_runs(spark: SparkSession, path: str, config: LinkConfig) -> DataFrame | None:
+    """(iter, group) of the results that are already stored, if there are any."""
     try:
         stored = read_runs(spark, path)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-        return spark.createDataFrame([], "iter INT, `group` BIGINT")
+        return None
     return stored.where(
         (F.col("dataset") == config.dataset) & (F.col("config") == config.config)
     ).select("iter", "group")
@@ -143,8 +148,9 @@ def link(
 ) -> DataFrame:
     """Result rows of all runs that are not finished, one per mention and run."""
     if finished is None:
-        finished = prompts.sparkSession.createDataFrame([], "iter INT, `group` BIGINT")
-    pending = pending_runs(prompts, finished, config.runs)
+        pending = expand_runs(prompts, config.runs)
+    else:
+        pending = pending_runs(prompts, finished, config.runs)
     answers = read_answers(
         answer_prompts(pending, make_predict, options, partitions), config.marker
     )

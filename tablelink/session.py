@@ -21,6 +21,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **more: s
         **SETTINGS,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": "8g",
+        # Tables of a few megabytes still get a task per core.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         **more,
     }.items():
         builder = builder.config(name, value)
