@@ -18,7 +18,6 @@ from tablelink.operators.ordered import position
 
 # A run of 4096 positions is searched for neighbours in one piece.
 _SPAN_BITS = 12
-_SPAN = 1 << _SPAN_BITS
 
 # config, shift of the choice of answers, runs made
 CONFIGS = (
@@ -89,48 +88,50 @@ def places(spark: SparkSession, folder: str, columns: Sequence[int] = (0,)) -> D
     )
 
 
-def with_nearest(parts: DataFrame, k: int = LIST_LIMIT) -> DataFrame:
-    """Add `nearest`: the `k` parts of the same name with the closest keys.
+def with_nearest(parts: DataFrame, *carried: str, k: int = LIST_LIMIT) -> DataFrame:
+    """Add `nearest`: the `k` parts of the same name with the closest keys, each
+    with its key and the carried columns.
 
     In key order the `k` nearest lie within `k - 1` places on either side. Each
     name is cut into spans of positions that also get the rows just outside, so
-    no pairs are formed and a frequent name is spread over many tasks.
+    no pairs are formed and a frequent name is spread over many tasks. Distance,
+    side and place of a neighbour go into one number, which is what is sorted.
     """
     reach = k - 1
+    place_bits = (2 * reach).bit_length()
     placed = position(parts, keys=["p_name"], order="p_partkey", out="_at").withColumn(
         "_at", F.col("_at") - 1
     )
     span = F.shiftright("_at", _SPAN_BITS)
-    inside = F.col("_at").bitwiseAND(F.lit(_SPAN - 1))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << _SPAN_BITS) - 1))
     spans = F.filter(
         F.array(
             span,
             F.when(inside < reach, span - 1),
-            F.when(inside >= _SPAN - reach, span + 1),
+            F.when(inside >= (1 << _SPAN_BITS) - reach, span + 1),
         ),
         lambda s: s.isNotNull() & (s >= 0),
     )
     around = (
         Window.partitionBy("p_name", "_span").orderBy("_at").rowsBetween(-reach, reach)
     )
-    near = F.collect_list(F.struct("p_partkey", "p_brand", "p_type")).over(around)
-    ranked = F.sort_array(
-        F.transform(
-            "_near",
-            lambda part: F.struct(
-                F.abs(part["p_partkey"] - F.col("p_partkey")).alias("distance"),
-                part["p_partkey"].alias("p_partkey"),
-                part["p_brand"].alias("p_brand"),
-                part["p_type"].alias("p_type"),
-            ),
-        )
-    )
+    near = F.collect_list(F.struct("p_partkey", *carried)).over(around)
+
+    def rank(part: Column, place: Column) -> Column:
+        gap = part["p_partkey"] - F.col("p_partkey")
+        return F.shiftleft(F.abs(gap) * 2 + (gap > 0).cast("int"), place_bits) + place
+
+    def at_rank(ranked: Column) -> Column:
+        place = ranked.bitwiseAND(F.lit((1 << place_bits) - 1))
+        return F.get("_near", place.cast("int"))
+
+    ranks = F.slice(F.sort_array(F.transform("_near", rank)), 1, k)
     return (
         placed.withColumn("_own", span)
         .withColumn("_span", F.explode(spans))
         .withColumn("_near", near)
         .where(F.col("_span") == F.col("_own"))
-        .withColumn("nearest", F.slice(ranked, 1, k))
+        .withColumn("nearest", F.transform(ranks, at_rank))
         .drop("_at", "_own", "_span", "_near")
     )
 
@@ -138,15 +139,12 @@ def with_nearest(parts: DataFrame, k: int = LIST_LIMIT) -> DataFrame:
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     part = read(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     placed = position(part, keys=["p_brand"], order="p_partkey", out="row_no")
-    found = (
-        with_nearest(placed.withColumnRenamed("p_brand", "table_name").withColumn("p_brand", F.col("table_name")))
-        .select(
-            F.col("p_partkey").alias("group"),
-            "table_name",
-            "row_no",
-            F.col("p_name").alias("name"),
-            F.posexplode_outer("nearest").alias("_at", "_part"),
-        )
+    found = with_nearest(placed, "p_brand", "p_type").select(
+        F.col("p_partkey").alias("group"),
+        F.col("p_brand").alias("table_name"),
+        "row_no",
+        F.col("p_name").alias("name"),
+        F.posexplode_outer("nearest").alias("_at", "_part"),
     )
     chosen = F.col("_part.p_partkey")
     target = (chosen == F.col("group")) & (F.col("group") % 10 != 0)
@@ -187,7 +185,7 @@ def allow_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 def runs(spark: SparkSession, folder: str, configs=CONFIGS[:1]) -> DataFrame:
     """Stored runs with answers in several wordings, right and wrong."""
-    part = read(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    part = read(spark, folder, "part").select("p_partkey", "p_name")
     made = F.array(
         *(
             F.struct(F.lit(name).alias("config"), F.lit(shift).alias("shift"), F.lit(n).alias("iter"))

@@ -48,11 +48,10 @@ def test_bindings_have_the_documented_size(spark):
 def test_nearest_over_spans(spark, monkeypatch):
     """Small spans and runs, one name with most parts: same lists as brute force."""
     monkeypatch.setattr(b, "_SPAN_BITS", 5)
-    monkeypatch.setattr(b, "_SPAN", 32)
     parts = [(n * n % 5003, "hot" if n % 3 else f"n{n % 7}", "b", "t") for n in range(500)]
     parts = list({p[0]: p for p in parts}.values())
     df = spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string")
-    got = {r["p_partkey"]: [x["p_partkey"] for x in r["nearest"]] for r in b.with_nearest(df, 6).collect()}
+    got = {r["p_partkey"]: [x["p_partkey"] for x in r["nearest"]] for r in b.with_nearest(df, "p_brand", k=6).collect()}
     assert len(got) == len(parts)
     for key, name, *_ in parts:
         same = sorted((abs(o[0] - key), o[0]) for o in parts if o[1] == name)
