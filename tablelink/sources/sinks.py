@@ -12,8 +12,8 @@ def write_runs(results: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_run_file(results: DataFrame, path: str) -> None:
-    """The results of one run as CSV with the exchange column names."""
-    results.select(
+    """The results of one run as CSV in group order, with the exchange column names."""
+    results.orderBy("group").select(
         "tableName", "key", "group", "prompt", "output",
         F.col("gold").alias("correct QID"), F.col("pred").alias("output QID"),
     ).write.option("header", True).option("escape", '"').csv(path)

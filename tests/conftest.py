@@ -17,12 +17,11 @@ def spark(tmp_path_factory):
     session = local_session(
         4,
         shuffle_partitions=4,
-        **{
-            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
-            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
-        },
+        **{"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))},
     )
     session.sparkContext.setLogLevel("ERROR")
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 
