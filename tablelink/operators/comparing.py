@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelink.functions.answers import is_correct
+from tablelink.operators.joins import many_to_one
 
 _KEYS = ("group", "gold")
 
@@ -75,8 +76,7 @@ def wrong_mentions(
     """(group, gold) that some run of the configuration misses or gets wrong.
 
     Long form: one aggregation over all runs and configurations, no join of
-    runs. A run of a configuration counts when it has at least one row. What is
-    broadcast is one row per configuration, that is per directory of results.
+    runs. A run of a configuration counts when it has at least one row.
     """
     runs_made = F.size(F.collect_set("iter"))
     mentions = scored.groupBy(*keys, *_KEYS).agg(
@@ -84,7 +84,7 @@ def wrong_mentions(
     )
     expected = scored.groupBy(*keys).agg(runs_made.alias("_runs"))
     return (
-        mentions.join(F.broadcast(expected), list(keys))
+        many_to_one(mentions, expected, keys, "inner")
         .where((F.col("_all_right") == 0) | (F.col("_made") < F.col("_runs")))
         .select(*keys, *_KEYS)
     )

@@ -21,7 +21,7 @@ def lookup_cells(mentions: DataFrame, cells: DataFrame) -> DataFrame:
         F.lit(True).alias("_found"),
     )
     return (
-        many_to_one(mentions, found, [*_PLACE, "col_no"])
+        mentions.join(found, [*_PLACE, "col_no"], "left")
         .withColumn("cell_missing", F.col("_found").isNull())
         .drop("_found")
     )
@@ -58,11 +58,13 @@ def attach_rows(mentions: DataFrame, table_rows: DataFrame, with_text: bool = Tr
 
     A record of a table row carries its column names, so the header needs no
     join on the table name, which would gather all mentions of a large table.
-    A position outside the table gives nulls and the flag.
+    A position outside the table gives nulls and the flag. A row has no more
+    mentions than cells, so this join has no hot keys, and a corpus bucketed by
+    table_name and row_no is not shuffled at all.
     """
     col = F.col("col_no")
     inside = (col >= 0) & (col < F.size("cells"))
-    joined = many_to_one(mentions, table_rows.select(*_PLACE, "col_names", "cells"), _PLACE)
+    joined = mentions.join(table_rows.select(*_PLACE, "col_names", "cells"), _PLACE, "left")
     out = joined.withColumns(
         {
             "mention": F.when(inside, F.get("cells", col)),

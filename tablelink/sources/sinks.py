@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +37,13 @@ def write_sheet(rows: DataFrame, path: str, fmt: str = "csv") -> None:
 def write_groups(groups: DataFrame, path: str) -> None:
     """One group per line, in order over all part files."""
     groups.orderBy("group").select(F.col("group").cast("string").alias("value")).write.text(path)
+
+
+def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int) -> None:
+    """A table that later joins and groupings by the keys read without a shuffle.
+
+    Table rows by table_name and row_no serve every linking run; candidates by
+    group serve mentions and candidate texts, if no mention is very long.
+    """
+    spread = df.repartition(buckets, *keys)
+    spread.write.mode("error").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)

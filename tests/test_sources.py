@@ -170,3 +170,34 @@ def test_catalogue(spark):
         resolve(known, KNOWN[0][0], KNOWN[1][1], KNOWN[0][2])
     with pytest.raises(ValueError):
         resolve(known, "other", KNOWN[1][1], KNOWN[1][2])
+
+
+def exchanges(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0].count("Exchange ")
+
+
+def test_bucketed_tables_are_not_shuffled(spark, tiny):
+    from tablelink.operators.candidates import render_candidates
+    from tablelink.operators.context import attach_rows
+    from tablelink.operators.mentions import mention_table
+    from tablelink.plans import bindings as b
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        sinks.save_bucketed(b.table_rows(spark, tiny), "corpus", ["table_name", "row_no"], 4)
+        sinks.save_bucketed(b.candidates(spark, tiny), "mention_candidates", ["group"], 4)
+        sinks.save_bucketed(b.places(spark, tiny), "places", ["table_name", "row_no"], 4)
+        corpus, places = spark.table("corpus"), spark.table("places")
+        candidates = spark.table("mention_candidates")
+        assert exchanges(attach_rows(places, corpus)) == 0
+        assert exchanges(mention_table(candidates)) == 0
+        assert exchanges(render_candidates(candidates)) == 0
+        expected = render_candidates(b.candidates(spark, tiny))
+        assert values(render_candidates(candidates)) == values(expected)
+    finally:
+        for name in ("corpus", "mention_candidates", "places"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
