@@ -27,12 +27,12 @@ def shown(text: Column) -> Column:
 
 def single_quoted(text: Column) -> Column:
     """Double quotes become single quotes; missing is written out."""
-    return shown(F.translate(text, '"', "'"))
+    return shown(F.replace(text, F.lit('"'), F.lit("'")))
 
 
 def joined_in_order(items: Column) -> Column:
     """Concatenate the `text` of an array of (position, text) by position."""
-    return F.array_join(F.transform(F.sort_array(items), lambda item: item["text"]), "")
+    return F.array_join(F.sort_array(items)["text"], "")
 
 
 @F.pandas_udf(StringType())

@@ -16,7 +16,7 @@ def candidate_text(layout: str = "tagged") -> Column:
     """One candidate from the columns id, name, description, types."""
     name, description = single_quoted(F.col("name")), single_quoted(F.col("description"))
     if layout == "pipe":
-        bare = shown(F.translate("types", "\"'", ""))
+        bare = shown(F.replace(F.replace("types", F.lit('"')), F.lit("'")))
         return F.concat(
             F.concat_ws(" | ", shown(F.col("id")), name, description, bare), F.lit(",")
         )

@@ -172,6 +172,7 @@ def run_linking(
     path: str,
     *,
     batches: int = 1,
+    files_per_batch: int = 16,
     work: str | None = None,
     options: dict[str, Any] | None = None,
     partitions: int | None = None,
@@ -180,7 +181,8 @@ def run_linking(
 
     A stopped call leaves its finished batches, and the next call makes the
     rest. With several batches the prompts are rendered once into `work` (a new
-    folder below the session's shared one unless named) and read per batch.
+    folder below the session's shared one unless named), a fixed number of files
+    per batch, and read per batch.
     """
     spark = prompts.sparkSession
     if batches > 1:
@@ -189,7 +191,9 @@ def run_linking(
         batched = prompts.withColumn(
             "batch", F.pmod(F.xxhash64("group"), F.lit(batches)).cast("int")
         )
-        batched.write.mode("error").partitionBy("batch").parquet(work)
+        file_no = F.pmod(F.xxhash64("group", F.lit("file")), F.lit(files_per_batch))
+        spread = batched.repartition(batches * files_per_batch, "batch", file_no)
+        spread.write.mode("error").partitionBy("batch").parquet(work)
         prompts = spark.read.schema(batched.schema).parquet(work)
     seconds = []
     for batch in range(batches):
