@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from compare_oracle import connect, differences
 from conftest import values
 from tablelink.operators.comparing import hard_case_count
 from tablelink.operators.scoring import run_accuracy, score_rows
+from tablelink.plans.oracle import ORACLE
+from tablelink.plans.queries import QUERIES
 from tablelink.plans import bindings as b
 
 
@@ -15,9 +17,9 @@ def connection(tiny):
     return connect(tiny)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, tiny, connection, name):
-    assert differences(queries()[name](spark, tiny), connection, oracle_sql()[name]) == []
+    assert differences(QUERIES[name](spark, tiny), connection, ORACLE[name]) == []
 
 
 def test_entry(spark):
@@ -25,7 +27,7 @@ def test_entry(spark):
 
 
 def test_every_sql_has_a_query():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLE) == set(QUERIES)
 
 
 def test_bindings_have_the_documented_size(spark):
