@@ -9,7 +9,8 @@ All of it is Spark expressions on one row, so nothing is shuffled.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -190,17 +191,10 @@ def scan_licenses(
             _labelled(_places(spaced, F.lit(_bounded(phrase))), label) for phrase, label in BASE
         )
     ).cast(place)
-    table = F.array(
-        *(
-            F.struct(
-                F.lit(rule.label).alias("label"),
-                F.lit(rule.keyword).alias("keyword"),
-                F.lit(_bounded(rule.pattern)).alias("pattern"),
-                F.lit(rule.priority).alias("priority"),
-                F.lit(rule.score).alias("score"),
-            )
-            for rule in rules
-        )
+    # One constant, which Spark folds while it plans.
+    table = F.from_json(
+        F.lit(json.dumps([{**asdict(rule), "pattern": _bounded(rule.pattern)} for rule in rules])),
+        "array<struct<label:string,keyword:string,pattern:string,priority:int,score:double>>",
     )
     found = F.flatten(
         F.transform(

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelink.llm import chat, licenses, sharding, url_rules
+from tablelink.llm import chat, decontamination, licenses, packing, sharding, url_rules
 from tablelink.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,39 @@ def op3_histogram_sort(spark, folder):
     )
 
 
+def tokenizer_text(path: str | None = None) -> str:
+    """Content of a tokenizer file; by default the public one the contract names."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return Path(path).read_text(encoding="utf-8")
+
+
+@register
+def op4_pack(spark, folder):
+    docs = table(spark, folder, "documents")
+    return packing.pack_documents(docs, tokenizer_text()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )
+
+
+@register
+def op5_decontaminate(spark, folder):
+    matched = decontamination.match_benchmark(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    )
+    return matched.select(
+        "doc_id",
+        F.col("match.n_words").alias("n_words"),
+        decontamination.hit_words().alias("n_hit"),
+        F.size("match.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("match.items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontamination.is_contaminated().alias("contaminated"),
+    )
+
+
 @register
 def op7_url_rules(spark, folder):
     return url_rules.judge_urls(table(spark, folder, "pages")).select(
