@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import WORD_BYTES, bounded_batches, mixed, stored
+from tablelink.llm.shared import WORD_BYTES, mixed, stored
 
 # Benchmark words in one automaton; a larger benchmark is matched block by block.
 BLOCK_WORDS = 200_000
@@ -205,7 +205,6 @@ def match_benchmark(
     stay; a column called match is replaced. A benchmark of over `block_words` words
     is matched block by block, with the texts so far stored in between.
     """
-    bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     blocks = _blocks(items, item_id, item_text, block_words)
     block, first = next(blocks), True
@@ -281,7 +280,6 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_spans(docs: DataFrame, text: str = "text", share: int = 20) -> DataFrame:
     """Of texts that `is_contaminated` says are, the hit spans go; others stay as they
     are. A text left without words becomes null. Takes and drops `match`."""
-    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:

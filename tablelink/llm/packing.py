@@ -2,31 +2,36 @@
 
 The tokens of the documents follow each other in the order of the rows. Dynamic
 programming chooses the cuts: the cost of a sequence is its padding, and a cut costs
-nothing at the end of a document, little at the end of a sentence, more elsewhere. The
+nothing at the end of a document, little at the end of a sentence, more at the end of
+a clause and most elsewhere. The
 cheapest way to reach a place comes from the places at most one sequence back; the
 best of them is at the front of a monotone queue, so each place is looked at once.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import bounded_batches
-
 # Cost of a cut, in tokens of padding.
 SENTENCE_COST = 2
-WORD_COST = 64
+CLAUSE_COST = 6
+PLAIN_COST = 16
+# Tokens between cuts where no sentence or clause ends for twice as long.
+PLAIN_STEP = 24
 # Tokens held until cuts are fixed; the end of a task's rows fixes the rest.
 HELD_TOKENS = 1 << 19
 # Words whose tokens a task remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 
 _PIECE = (
     "doc_id {id}, start long, length long, ids binary, doc_tokens long, "
@@ -34,54 +39,137 @@ _PIECE = (
 )
 
 
+_COSTS = {mark: SENTENCE_COST for mark in (b".", b"!", b"?")} | {
+    mark: CLAUSE_COST for mark in (b",", b";", b":", b"|")
+}
+
+
+# Words of these characters are put into lower case and split by _PARTS. Others go to
+# the tokenizer itself: words with an apostrophe (contractions), with <, from which
+# special tokens are made, and with characters beyond Latin-1.
+_PLAIN = re.compile(r"[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_LETTERS = r"a-z\u00df-\u00f6\u00f8-\u00ff"
+_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\x01]+")
+
+
+def _byte_ranks(tokenizer_json: str) -> dict[bytes, int]:
+    """The vocabulary by bytes; the end of a word is the byte 0."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
+    ranks = {}
+    for token, number in json.loads(tokenizer_json)["model"]["vocab"].items():
+        word = token.removesuffix("</w>")
+        end = b"\0" if word != token else b""
+        ranks[bytes(map(byte_of.__getitem__, word)) + end] = number
+    return ranks
+
+
 class WordTokens:
     """Tokens of texts, word by word. The tokenizer splits at white space first, so the
-    tokens of a text are those of its words one after the other."""
+    tokens of a text are those of its words one after the other.
+
+    Words seen are remembered. A broadcast one lives as long as the Python worker.
+    """
+
+    def __init__(self, tokenizer_json: str):
+        self.tokenizer_json = tokenizer_json
+        self.tokenizer = None
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __getstate__(self):
+        return {"tokenizer_json": self.tokenizer_json, "tokenizer": None}
+
+    def _open(self) -> None:
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_str(self.tokenizer_json)
+        ranks = _byte_ranks(self.tokenizer_json)
+        self.pairs = tiktoken.Encoding(
+            "words", pat_str=r"[^\x00\x01]+\x00|\x01", mergeable_ranks=ranks, special_tokens={}
+        )
+        self.mark = ranks[b"\x01"]
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, dtype=np.uint32)
         self.start = np.zeros(1 << 12, dtype=np.int64)
-        self.ends = np.zeros(1 << 12, dtype=bool)
+        self.costs = np.zeros(1 << 12, dtype=np.int64)  # of a cut after the word
         self.used = 0
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each word has."""
+        text = _PARTS.sub("\\g<0>\0", "".join(f"{w}\1" for w in words).lower())
+        ids = np.array(self.pairs.encode_ordinary(text), dtype=np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+
     def _learn(self, words: list[bytes]) -> None:
-        made = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        lists = [e.ids for e in made]
-        known, new = len(self.number), sum(map(len, lists))
-        if self.used + new > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.used + new))
-        if known + len(words) + 1 > len(self.start):
-            self.start = np.resize(self.start, 2 * (known + len(words) + 1))
-            self.ends = np.resize(self.ends, len(self.start))
-        for word, ids in zip(words, lists):
-            at = len(self.number)
-            self.number[word] = at
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.start[at + 1] = self.used
-            self.ends[at] = word.rstrip(b"\"')]}*_").endswith((b".", b"!", b"?"))
-
-    def encode(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per text: its ids, and the places after which a sentence ends."""
-        words = [text.split() if text else [] for text in texts]
+        plain, plain_text, other = [], [], []
+        for word in words:
+            text = word.decode()
+            if _PLAIN.fullmatch(text):
+                plain.append(word)
+                plain_text.append(text)
+            else:
+                other.append(word)
+        ids, sizes = self._encoded(plain_text)
+        if other:
+            made = self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)
+            lists = [e.ids for e in made]
+            sizes = np.concatenate((sizes, np.fromiter(map(len, lists), np.int64, len(lists))))
+            ids = np.concatenate((ids, np.fromiter(chain.from_iterable(lists), np.uint32)))
+        known, new = len(self.number), len(words)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
+        if known + new + 1 > len(self.start):
+            self.start = np.resize(self.start, 2 * (known + new + 1))
+            self.costs = np.resize(self.costs, len(self.start))
+        learned = plain + other
+        self.number.update(zip(learned, range(known, known + new)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[known + 1 : known + new + 1] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.costs[known : known + new] = [
+            _COSTS.get(w.rstrip(b"\"')]}*_")[-1:], PLAIN_COST) for w in learned
+        ]
+
+    def encode(
+        self, texts: list[bytes | None]
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per text: its ids, the places after which a sentence or clause ends, and what
+        cuts there cost."""
+        if self.tokenizer is None:
+            self._open()
         if len(self.number) > CACHED_WORDS:
             self._clear()
-        unknown = {w: None for ws in words for w in ws if w not in self.number}
-        if unknown:
-            self._learn(list(unknown))
-        for ws in words:
-            number = np.fromiter(map(self.number.__getitem__, ws), np.int64, len(ws))
-            first = self.start[number]
-            sizes = self.start[number + 1] - first
-            after = np.cumsum(sizes)
-            total = int(after[-1]) if len(ws) else 0
-            place = np.arange(total) + np.repeat(first - after + sizes, sizes)
-            yield self.ids[place], after[self.ends[number]]
+        for at in range(0, len(texts), 256):
+            yield from self._encode_some([text.split() if text else [] for text in texts[at : at + 256]])
+
+    def _encode_some(self, texts: list[list[bytes]]) -> Iterator[tuple]:
+        words = list(chain.from_iterable(texts))
+        number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            unknown = [words[at] for at in missing.tolist()]
+            self._learn(list(dict.fromkeys(unknown)))
+            number[missing] = list(map(self.number.__getitem__, unknown))
+        first = self.start[number]
+        sizes = self.start[number + 1] - first
+        after = np.cumsum(sizes)
+        place = np.arange(after[-1] if len(words) else 0)
+        ids = self.ids[place + np.repeat(first - after + sizes, sizes)]
+        costs = self.costs[number]
+        after = np.append(after, 0)  # so that after[-1] is 0
+        at = 0
+        for text in texts:
+            end = at + len(text)
+            before = after[at - 1]
+            cuts = at + np.flatnonzero(costs[at:end] < PLAIN_COST)
+            yield ids[before : after[end - 1]] if text else ids[:0], after[cuts] - before, costs[cuts]
+            at = end
 
 
 def choose_cuts(places: np.ndarray, costs: np.ndarray, length: int, whole: bool) -> list[int]:
@@ -110,7 +198,8 @@ def choose_cuts(places: np.ndarray, costs: np.ndarray, length: int, whole: bool)
         queue.append(j)
     j = n
     if not whole:
-        j = min(range(n, 0, -1), key=lambda k: best[k] if position[k] > position[n] - length else float("inf"))
+        near = next(k for k in range(n, -1, -1) if k == 0 or position[k - 1] <= position[n] - length)
+        j = min(range(n, max(near, 1) - 1, -1), key=best.__getitem__)
     cuts = []
     while j:
         cuts.append(position[j])
@@ -129,20 +218,20 @@ class Packer:
         self.costs: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, doc_id, ids: np.ndarray, sentences: np.ndarray) -> Iterator[tuple]:
+    def add(
+        self, doc_id, ids: np.ndarray, places: np.ndarray, costs: np.ndarray
+    ) -> Iterator[tuple]:
         n = len(ids)
-        inner = sentences[(sentences > 0) & (sentences < n)]
-        places = np.concatenate((inner, [n]))
-        costs = np.full(len(places), SENTENCE_COST)
-        costs[-1] = 0
+        inner = (places > 0) & (places < n)
+        places, costs = np.append(places[inner], n), np.append(costs[inner], 0)
         gaps = np.diff(places, prepend=0)
-        if gaps.max() > self.length:
-            far = np.flatnonzero(gaps > self.length)
+        if gaps.max() > 2 * PLAIN_STEP:
+            far = np.flatnonzero(gaps > 2 * PLAIN_STEP)
             extra = np.concatenate(
-                [np.arange(places[k] - gaps[k] + self.length // 8, places[k], self.length // 8) for k in far]
+                [np.arange(places[k] - gaps[k] + PLAIN_STEP, places[k], PLAIN_STEP) for k in far]
             )
             order = np.argsort(np.concatenate((places, extra)), kind="stable")
-            costs = np.concatenate((costs, np.full(len(extra), WORD_COST)))[order]
+            costs = np.concatenate((costs, np.full(len(extra), PLAIN_COST)))[order]
             places = np.concatenate((places, extra))[order]
         self.docs.append((doc_id, ids, 0))
         self.places.append(places + self.held)
@@ -196,23 +285,19 @@ def pack_documents(
     just `end_id`; repeated rows are documents of their own; null ids stay null; an
     empty table gives no pieces. Only the two named columns are read.
     """
-    bounded_batches(docs.sparkSession)
-    content = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    words = docs.sparkSession.sparkContext.broadcast(WordTokens(tokenizer_json))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens = WordTokens(Tokenizer.from_str(content.value))
+        tokens = words.value
         packer = Packer(length, TaskContext.get().partitionId() << 32)
         columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         end = np.array([end_id], dtype=np.uint32)
         pieces: list[tuple] = []
         for batch in batches:
             encoded = tokens.encode(batch["text"].tolist())
-            for number, (ids, sentences) in zip(batch["doc_id"].tolist(), encoded):
-                pieces += packer.add(number, np.concatenate((ids, end)), sentences)
+            for number, (ids, places, costs) in zip(batch["doc_id"].tolist(), encoded):
+                pieces += packer.add(number, np.concatenate((ids, end)), places, costs)
                 if len(pieces) >= 2000:
                     yield pd.DataFrame(pieces, columns=columns)
                     pieces = []

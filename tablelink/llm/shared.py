@@ -67,11 +67,3 @@ def mixed(values: np.ndarray) -> np.ndarray:
         values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return values ^ (values >> np.uint64(31))
-
-
-def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
-    """Bound the bytes of a batch that goes to Python, unless the session has a bound:
-    ten thousand very long texts do not fit one."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, "-1").rstrip("bB") or -1) in (-1, 2**63 - 1):
-        spark.conf.set(name, size)
