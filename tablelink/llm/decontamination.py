@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import WORD_BYTES, mixed, stored
+from tablelink.llm.shared import WORD_BYTES, mixed, shared_object, stored
 
 # Benchmark words in one automaton; a larger benchmark is matched block by block.
 BLOCK_WORDS = 200_000
@@ -205,11 +205,10 @@ def match_benchmark(
     stay; a column called match is replaced. A benchmark of over `block_words` words
     is matched block by block, with the texts so far stored in between.
     """
-    context = docs.sparkSession.sparkContext
     blocks = _blocks(items, item_id, item_text, block_words)
     block, first = next(blocks), True
     while block is not None:
-        found = _matched(docs, context.broadcast(Matcher(block, window)), text)
+        found = _matched(docs, shared_object(docs.sparkSession, Matcher(block, window)), text)
         if not first:
             found = found.withColumn("match", _merged("_before", "match")).drop("_before")
         block, first = next(blocks, None), False
@@ -220,7 +219,7 @@ def match_benchmark(
 def _matched(docs: DataFrame, matcher, text: str) -> DataFrame:
     @F.pandas_udf(_MATCH)
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        found = matcher.value
+        found = matcher()
         for batch in batches:
             rows = []
             for value in batch:

@@ -1,8 +1,9 @@
 """License scans: ordered signature rules over the words of a text.
 
 A rule is a regular expression over the text's words (lower-cased A-Z, one space
-between words), a keyword without which it cannot match, a label and a priority.
-Only rules whose keyword stands in the text are run. Of the places found, one that
+between words), a keyword and a part of a word without which it cannot match, a label
+and a priority. Only texts that hold such a part are put into words, and only rules
+whose keyword stands in the text are run. Of the places found, one that
 lies inside another goes, and of two that overlap the one of the stronger rule stays.
 All of it is Spark expressions on one row, so nothing is shuffled.
 """
@@ -87,12 +88,16 @@ class Rule:
     pattern: str
     priority: int
     score: float
+    gate: str
 
 
 def signature_rules() -> tuple[Rule, ...]:
     """Every wording with every license, strongest first."""
     rules = (
-        Rule(label, keyword, wording.format(name=f"(?:{name})", version=_VERSION), priority, score)
+        Rule(
+            label, keyword, wording.format(name=f"(?:{name})", version=_VERSION), priority, score,
+            "licen" if "licen" in name else max(keyword.split(" "), key=len),
+        )
         for priority, score, wording in WORDINGS
         for label, keyword, name in FAMILIES
     )
@@ -212,21 +217,18 @@ def scan_licenses(
             ),
         )
     ).cast(detection)
-    # A text is only normalised if all words of some keyword stand in it.
-    plain = F.lower(F.col(text))
-    keywords = {rule.keyword for rule in rules} | {phrase for phrase, _ in BASE}
-    needed = sorted({tuple(sorted(k.split(" "), key=len, reverse=True)) for k in keywords})
-    gate = reduce(
-        Column.__or__,
-        (reduce(Column.__and__, (F.contains(plain, F.lit(w)) for w in ws)) for ws in needed),
-    )
+    # A text is only normalised if the gate of some rule or phrase stands in it.
+    plain = F.col("_license_plain")
+    gates = sorted({rule.gate for rule in rules} | {"licen"})
+    gate = reduce(Column.__or__, (F.contains(plain, F.lit(token)) for token in gates))
     scan = F.struct(
         F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"),
         F.coalesce(F.when(spaced.isNotNull(), base), _none(place)).alias("base"),
         F.coalesce(F.when(spaced.isNotNull(), _kept(F.sort_array(found))), _none(detection)).alias("found"),
     )
     return (
-        docs.withColumn("_license_words", F.when(gate, words))
+        docs.withColumn("_license_plain", F.lower(F.col(text)))
+        .withColumn("_license_words", F.when(gate, words))
         .withColumn("license_scan", scan)
-        .drop("_license_words")
+        .drop("_license_plain", "_license_words")
     )

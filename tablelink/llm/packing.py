@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelink.llm.shared import shared_object
+
 # Cost of a cut, in tokens of padding.
 SENTENCE_COST = 2
 CLAUSE_COST = 6
@@ -69,16 +71,13 @@ class WordTokens:
     """Tokens of texts, word by word. The tokenizer splits at white space first, so the
     tokens of a text are those of its words one after the other.
 
-    Words seen are remembered. A broadcast one lives as long as the Python worker.
+    Words seen are remembered, in a shared object for as long as the Python worker lives.
     """
 
     def __init__(self, tokenizer_json: str):
         self.tokenizer_json = tokenizer_json
         self.tokenizer = None
 
-    def __getstate__(self):
-        return {"tokenizer_json": self.tokenizer_json, "tokenizer": None}
-
     def _open(self) -> None:
         import tiktoken
         from tokenizers import Tokenizer
@@ -285,11 +284,11 @@ def pack_documents(
     just `end_id`; repeated rows are documents of their own; null ids stay null; an
     empty table gives no pieces. Only the two named columns are read.
     """
-    words = docs.sparkSession.sparkContext.broadcast(WordTokens(tokenizer_json))
+    words = shared_object(docs.sparkSession, WordTokens(tokenizer_json))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
-        tokens = words.value
+        tokens = words()
         packer = Packer(length, TaskContext.get().partitionId() << 32)
         columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         end = np.array([end_id], dtype=np.uint32)

@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelink.llm import chat, decontamination, licenses, packing, sharding, url_rules
-from tablelink.llm.shared import table
+from tablelink.llm import chat, decontamination, language, licenses, packing, sharding, url_rules
+from tablelink.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +89,16 @@ def op8_license_scan(spark, folder):
     )
 
 
+@register
+def op9_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    rows = language.training_rows(docs, ~held_out(F.col("doc_id")), "doc_id", "text", "lang")
+    made = language.identify_languages(docs.select("doc_id", "text"), language.train(rows))
+    return made.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score"
+    )
+
+
 def _digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 

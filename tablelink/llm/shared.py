@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
+from typing import TypeVar
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,24 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+T = TypeVar("T")
+
+
+def shared_object(spark: SparkSession, made: T) -> Callable[[], T]:
+    """Broadcast an object of bounded size; the function returned gives it inside of
+    tasks. Each Python worker opens it once and keeps it for its later tasks, also
+    where the package is not installed on the executors."""
+    held = spark.sparkContext.broadcast({"pickled": cloudpickle.dumps(made)})
+
+    def get() -> T:
+        value = held.value
+        if "made" not in value:
+            value["made"] = cloudpickle.loads(value["pickled"])
+        return value["made"]
+
+    return get
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text; 0 for null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0))
