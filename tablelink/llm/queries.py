@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelink.llm import chat, decontamination, language, licenses, packing, sharding, url_rules
+from tablelink.llm import chat, decontamination, language, licenses, packing, sharding, toxicity, url_rules
 from tablelink.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,21 @@ def op5_decontaminate(spark, folder):
     )
 
 
+@register
+def op6_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows, share = toxicity.training_rows(
+        docs, table(spark, folder, "labels"), ~held_out(F.col("doc_id")), "doc_id", "text", "toxic"
+    )
+    scored = toxicity.score_toxicity(docs, toxicity.train(rows, share))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @register
 def op7_url_rules(spark, folder):
     return url_rules.judge_urls(table(spark, folder, "pages")).select(

@@ -88,3 +88,9 @@ def mixed(values: np.ndarray) -> np.ndarray:
         values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return values ^ (values >> np.uint64(31))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
