@@ -256,12 +256,12 @@ def train(
     every_toxic, of_toxic = np.unique(np.concatenate(toxic), return_counts=True)
     place = np.minimum(np.searchsorted(every_clean, every_toxic), len(every_clean) - 1)
     in_clean = np.where(every_clean[place] == every_toxic, of_clean[place], 0)
-    telling = every_toxic[of_toxic * len(clean) >= 10 * in_clean * len(toxic)]
+    telling = of_toxic * len(clean) >= 10 * in_clean * len(toxic)
     # What clean texts have as well is no one's fault, and a toxic text without any
     # window like a landmark has nothing to teach.
     suspect = []
     for text in toxic:
-        own = text[np.isin(text, telling)]
+        own = text[telling[np.searchsorted(every_toxic, text)]]
         own = own[np.argsort(-margins(*near, own), kind="stable")[:8]]
         own = own[(features(own) @ np.linalg.inv(root)).max(axis=1, initial=0) >= NEAR]
         if len(own):
