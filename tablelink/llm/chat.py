@@ -107,10 +107,12 @@ def enumerate_paths(nodes: DataFrame) -> DataFrame:
         .select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
     )
     for power in range(len(jumps) - 2, -1, -1):
-        more = paths.join(jumps[power], ["tree", "node"]).select(
-            "tree", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << power)).alias("back")
+        here = F.struct("node", "back")
+        further = F.struct(F.col("up").alias("node"), (F.col("back") + (1 << power)).alias("back"))
+        both = F.when(F.col("up").isNotNull(), F.array(here, further)).otherwise(F.array(here))
+        paths = paths.join(jumps[power], ["tree", "node"], "left").select(
+            "tree", "leaf", F.inline(both)
         )
-        paths = paths.unionByName(more)
     return paths
 
 
@@ -131,7 +133,7 @@ def format_conversations(turns: DataFrame, best: int | None = None) -> DataFrame
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
-    paths = enumerate_paths(rows)
+    paths = stored(enumerate_paths(rows))
     scores = rows.select("tree", "node", "score")
     ranked = (
         paths.join(scores, ["tree", "node"])

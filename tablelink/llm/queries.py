@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelink.llm import chat, decontamination, language, licenses, packing, sharding, toxicity, url_rules
+from tablelink.llm import chat, decontamination, language, licenses, packing, sharding, similarity, toxicity, url_rules
 from tablelink.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,13 @@ def register(query: Query) -> Query:
     return query
 
 
+@register
+def op1_jaccard_join(spark, folder):
+    return similarity.link_documents(table(spark, folder, "documents")).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
 @register
 def op3_histogram_sort(spark, folder):
     docs = table(spark, folder, "documents")
