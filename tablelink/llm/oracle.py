@@ -31,3 +31,19 @@ def _op7_url_rules() -> str:
 
 
 ORACLE["op7_url_rules"] = _op7_url_rules()
+
+ORACLE["op2_top_k"] = """
+    WITH scaled AS (
+        SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT) for x in embedding] AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+               CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+        FROM scaled q JOIN scaled c ON q.vec_id <> c.vec_id
+        WHERE q.vec_id % 20 = 0),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+        FROM scored)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20"""

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelink.llm import chat, decontamination, language, licenses, packing, sharding, similarity, toxicity, url_rules
+from tablelink.llm import chat, decontamination, language, licenses, packing, sharding, similarity, topk, toxicity, url_rules
 from tablelink.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def op1_jaccard_join(spark, folder):
     )
 
 
+@register
+def op2_top_k(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @register
 def op3_histogram_sort(spark, folder):
     docs = table(spark, folder, "documents")
