@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelink.llm.shared import WORD_BYTES, mixed, shared_object, stored
@@ -254,14 +254,14 @@ def _merged(left: str, right: str):
     )
 
 
-def hit_words() -> "F.Column":
+def hit_words() -> Column:
     """Words of a `match` that are hit."""
     return F.aggregate(
         "match.spans", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"]
     )
 
 
-def is_contaminated(share: int = 20) -> "F.Column":
+def is_contaminated(share: int = 20) -> Column:
     """At least one hit word, and one of `share` words or more is hit."""
     return (hit_words() > 0) & (hit_words() * share >= F.col("match.n_words"))
 
@@ -277,8 +277,9 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_spans(docs: DataFrame, text: str = "text", share: int = 20) -> DataFrame:
-    """Of texts that `is_contaminated` says are, the hit spans go; others stay as they
-    are. A text left without words becomes null. Takes and drops `match`."""
+    """Takes `match` and drops it. Of texts that `is_contaminated` says are, the hit
+    spans go, and a row whose text has no word left goes too. Other rows stay as they
+    are, null and empty texts included."""
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -288,10 +289,17 @@ def remove_spans(docs: DataFrame, text: str = "text", share: int = 20) -> DataFr
             made.append(left if _WORD.search(left) else None)
         return pd.Series(made, dtype=object)
 
-    # Clean texts do not go through Python: their argument is null.
-    dirty = is_contaminated(share)
+    # Clean texts do not go through Python: an empty one stands for them.
+    dirty = F.col("_dirty")
+    no_spans = F.array().cast("array<struct<start:int,end:int>>")
     shortened = cut(
-        F.coalesce(F.when(dirty, F.col(text)), F.lit("")),
-        F.when(dirty, F.col("match.spans")).otherwise(F.array().cast("array<struct<start:int,end:int>>")),
+        F.when(dirty, F.col(text)).otherwise(F.lit("")),
+        F.when(dirty, F.col("match.spans")).otherwise(no_spans),
+    )
+    return (
+        docs.withColumn("_dirty", is_contaminated(share))
+        .withColumn("_cut", shortened)
+        .where(~dirty | F.col("_cut").isNotNull())
+        .withColumn(text, F.when(dirty, F.col("_cut")).otherwise(F.col(text)))
+        .drop("match", "_dirty", "_cut")
     )
-    return docs.withColumn(text, F.when(dirty, shortened).otherwise(F.col(text))).drop("match")
