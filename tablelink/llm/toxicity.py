@@ -175,7 +175,7 @@ def choose_landmarks(toxic: list[np.ndarray], clean: list[np.ndarray], most: int
 
     A sequence must be in one of a hundred toxic texts, in three at least, and ten times
     as often in toxic texts as in clean ones. Each choice is the one that is in most
-    toxic texts not yet covered twice.
+    toxic texts not yet covered four times.
     """
     def per_text(texts: list[np.ndarray]) -> list[np.ndarray]:
         return [distinct(_stems(t)) for t in texts]
@@ -191,7 +191,7 @@ def choose_landmarks(toxic: list[np.ndarray], clean: list[np.ndarray], most: int
         for stem in stems.tolist():
             if stem in good:
                 where.setdefault(stem, []).append(at)
-    needed = np.full(len(toxic), 2)
+    needed = np.full(len(toxic), 4)
     chosen: list[int] = []
     while where and len(chosen) < most:
         gain = {stem: int((needed[at] > 0).sum()) for stem, at in where.items()}
