@@ -135,8 +135,8 @@ def train(
 
 
 def _calibrated(scores: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """The temperature of least log loss, and the score that all but one in 500 of the
-    right predictions reach; never over a half."""
+    """The temperature of least log loss, and the score below which to reject: half of
+    what all but one in 500 of the right predictions reach."""
     def loss(temperature: float) -> float:
         right = _softmax(scores / temperature)[np.arange(len(truth)), truth]
         return float(-np.log(np.maximum(right, 1e-12)).mean())
@@ -144,7 +144,7 @@ def _calibrated(scores: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
     temperature = min((0.02 * 1.25**k for k in range(28)), key=loss)
     made = _softmax(scores / temperature)
     good = made.max(axis=1)[made.argmax(axis=1) == truth]
-    return temperature, float(min(0.5, np.quantile(good, 0.002))) if len(good) else 0.0
+    return temperature, float(np.quantile(good, 0.002)) / 2 if len(good) else 0.0
 
 
 def predict(model: LanguageModel, texts: list[bytes | None]) -> list[tuple[str, float, bool]]:

@@ -1,0 +1,107 @@
+from __future__ import annotations
+
+import itertools
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tablelink.llm import packing
+from tablelink.llm.queries import tokenizer_text
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def ids_of(texts):
+    made = Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    return [[*e.ids, 1] for e in made]
+
+
+def check(rows, got, length=2048):
+    by_doc = {}
+    for r in got:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    for (doc_id, _), ids in zip(rows, ids_of([t for _, t in rows])):
+        pieces = sorted(by_doc[doc_id], key=lambda r: r["start"])
+        assert [r["start"] for r in pieces] == list(
+            itertools.accumulate([0, *(r["length"] for r in pieces[:-1])])
+        )
+        assert b"".join(bytes(r["ids"]) for r in pieces) == np.array(ids, "<u4").tobytes()
+        assert {r["doc_tokens"] for r in pieces} == {len(ids)}
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in sequences.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= length
+    return sequences
+
+
+WORDS = (
+    "the a of Tests don't it's I'm x<b <|endoftext|> </s> naïve ÉTÉ straße Σίσυφος ΟΔΟΣ 12,345 e.g. (see) "
+    "日本語 étude İstanbul ½ a b fin. “quoted” --- 🙂 _under_ A'B ' 's x\x00y \x01 10%"
+).split(" ")
+
+
+def test_word_tokens_equal_the_tokenizer():
+    dice = random.Random(1)
+    texts = [" ".join(dice.choices(WORDS, k=dice.randrange(40))) for _ in range(300)] + [None, "", " \n"]
+    tokens = packing.WordTokens(tokenizer_text())
+    got = [ids.tolist() + [1] for ids, _, _ in tokens.encode([None if t is None else t.encode() for t in texts])]
+    assert got == ids_of(texts)
+
+
+def test_pack(documents):
+    dice = random.Random(2)
+    rows = [(k, " ".join(dice.choices(WORDS, k=dice.randrange(300))) + ".") for k in range(400)]
+    rows += [(1000, None), (1001, ""), (1002, "word " * 9000), (1003, "z" * 20_000)]
+    got = packing.pack_documents(documents(rows).coalesce(1), tokenizer_text()).collect()
+    sequences = check(rows, got)
+    total = sum(r["length"] for r in got)
+    assert 2048 * len(sequences) - total < 0.03 * total + 2048
+
+
+def test_null_and_repeated_ids_and_empty_table(documents):
+    rows = [(None, "a b"), (None, "c"), (7, "a"), (7, "a")]
+    got = packing.pack_documents(documents(rows), tokenizer_text()).collect()
+    assert sorted((r["doc_id"] is None, r["length"]) for r in got) == [(False, 2), (False, 2), (True, 2), (True, 3)]
+    assert {type(r["doc_id"]) for r in got} == {int, type(None)}
+    assert packing.pack_documents(documents([]), tokenizer_text()).collect() == []
+
+
+def best_cost(places, costs, length):
+    """Least cost of any choice of cuts that ends at the last place."""
+    best = {0: 0}
+    for place, cost in zip(places, costs):
+        best[place] = min(v + length - (place - at) + cost for at, v in best.items() if place - at <= length)
+    return best[places[-1]]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_cuts_are_the_cheapest(seed):
+    dice = np.random.default_rng(seed)
+    places = np.cumsum(dice.integers(1, 30, 60))
+    costs = dice.choice([0, 2, 6, 16], 60)
+    cuts = packing.choose_cuts(places, costs, 64, whole=True)
+    of = dict(zip(places.tolist(), costs.tolist()))
+    assert all(b - a <= 64 for a, b in zip([0, *cuts], cuts)) and cuts[-1] == places[-1]
+    spent = sum(64 - (b - a) + of[b] for a, b in zip([0, *cuts], cuts))
+    assert spent == best_cost(places.tolist(), costs.tolist(), 64)
+
+
+def test_pieces_come_before_the_end(monkeypatch):
+    monkeypatch.setattr(packing, "HELD_TOKENS", 300)
+    packer = packing.Packer(64, 5)
+    early, ids = [], []
+    for k in range(100):
+        words = np.arange(17, dtype=np.uint32) + k
+        early += packer.add(k, words, np.array([5, 11]), np.array([2, 6]))
+        ids += words.tolist()
+    every = early + list(packer.cut(whole=True))
+    assert early and np.frombuffer(b"".join(p[3] for p in every), "<u4").tolist() == ids
+    assert [p[5] for p in every] == sorted(p[5] for p in every)
