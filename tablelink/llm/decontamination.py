@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import WORD_BYTES, mixed, shared_object, stored
+from tablelink.llm.shared import WORD_BYTES, mixed, shared_object, small_batches, stored
 
 # Benchmark words in one automaton; a larger benchmark is matched block by block.
 BLOCK_WORDS = 200_000
@@ -205,6 +205,7 @@ def match_benchmark(
     stay; a column called match is replaced. A benchmark of over `block_words` words
     is matched block by block, with the texts so far stored in between.
     """
+    small_batches(docs.sparkSession)
     blocks = _blocks(items, item_id, item_text, block_words)
     block, first = next(blocks), True
     while block is not None:

@@ -17,14 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import crc_of_id, mixed, shared_object
+from tablelink.llm.shared import crc_of_id, mixed, shared_object, small_batches
 
 UNKNOWN = "und"
 _BITS = 17
 _DIMENSIONS = 16
 _SIZES = (2, 3, 4)
 # Bytes that go through numpy at once.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 _LETTERS = bytes(
     b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in bytes(range(256)).lower()
@@ -89,11 +89,11 @@ def _means(table: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.nda
 
 
 def train(
-    rows: list[tuple[bytes, str]], epochs: int = 4, rate: float = 0.5, batch: int = 32, seed: int = 7
+    rows: list[tuple[bytes, str]], epochs: int = 3, rate: float = 0.5, batch: int = 32, seed: int = 7
 ) -> LanguageModel:
     """Fit a model on (text, language) pairs; every eighth one calibrates.
 
-    Each text is trained on as a whole and as a short piece, so that short texts are
+    Each text gives a piece of up to 1000 bytes and a short one, so that short texts are
     known as well. Without rows the model knows no language.
     """
     languages = tuple(sorted({language for _, language in rows}))
@@ -106,7 +106,8 @@ def train(
     examples = []
     for text, language in used:
         start = int(random.integers(0, max(1, len(text) - 120)))
-        for piece in (text[:2000] if len(text) <= 2000 else text[start : start + 2000], text[start : start + 120]):
+        long = min(start, max(0, len(text) - 1000))
+        for piece in (text[long : long + 1000], text[start : start + 120]):
             buckets, _ = grams([piece])
             if len(buckets):
                 examples.append((buckets, number[language]))
@@ -182,7 +183,7 @@ def _has_letter(text: bytes) -> bool:
 
 def training_rows(
     docs: DataFrame, usable: Column, doc_id: str, text: str, lang: str,
-    per_language: int = 1500, longest: int = 100_000,
+    per_language: int = 600, longest: int = 100_000,
 ) -> list[tuple[bytes, str]]:
     """A sample of at most about `per_language` rows of each language, chosen by a hash
     of the id, of texts of at most `longest` bytes."""
@@ -208,6 +209,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
     get the likeliest language of the model, and are rejected below its threshold.
     Repeated rows and further columns pass through; a column called language is replaced.
     """
+    small_batches(docs.sparkSession)
     fitted = shared_object(docs.sparkSession, model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import shared_object
+from tablelink.llm.shared import shared_object, small_batches
 
 # Cost of a cut, in tokens of padding.
 SENTENCE_COST = 2
@@ -31,12 +31,12 @@ PLAIN_COST = 16
 # Tokens between cuts where no sentence or clause ends for twice as long.
 PLAIN_STEP = 24
 # Tokens held until cuts are fixed; the end of a task's rows fixes the rest.
-HELD_TOKENS = 1 << 19
+HELD_TOKENS = 1 << 18
 # Words whose tokens a task remembers.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 300_000
 
 _PIECE = (
-    "doc_id {id}, start long, length long, ids binary, doc_tokens long, "
+    "doc_id string, start long, length long, ids binary, doc_tokens long, "
     "sequence_id long, offset long"
 )
 
@@ -144,8 +144,8 @@ class WordTokens:
             self._open()
         if len(self.number) > CACHED_WORDS:
             self._clear()
-        for at in range(0, len(texts), 256):
-            yield from self._encode_some([text.split() if text else [] for text in texts[at : at + 256]])
+        for at in range(0, len(texts), 128):
+            yield from self._encode_some([text.split() if text else [] for text in texts[at : at + 128]])
 
     def _encode_some(self, texts: list[list[bytes]]) -> Iterator[tuple]:
         words = list(chain.from_iterable(texts))
@@ -284,6 +284,7 @@ def pack_documents(
     just `end_id`; repeated rows are documents of their own; null ids stay null; an
     empty table gives no pieces. Only the two named columns are read.
     """
+    small_batches(docs.sparkSession)
     words = shared_object(docs.sparkSession, WordTokens(tokenizer_json))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,5 +305,9 @@ def pack_documents(
         if pieces:
             yield pd.DataFrame(pieces, columns=columns)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInPandas(pack, _PIECE.format(id=dict(rows.dtypes)["doc_id"]))
+    # Ids go through pandas as text: it would make numbers with nulls floating point.
+    rows = docs.select(
+        F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("binary").alias("text")
+    )
+    kind = docs.select(doc_id).dtypes[0][1]
+    return rows.mapInPandas(pack, _PIECE).withColumn("doc_id", F.col("doc_id").cast(kind))

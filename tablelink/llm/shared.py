@@ -57,6 +57,15 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 T = TypeVar("T")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python by four megabytes instead of Spark's default,
+    which with the copies that numpy makes fills a small executor. A bound that the
+    session sets itself stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, "4m")
+
+
 def shared_object(spark: SparkSession, made: T) -> Callable[[], T]:
     """Broadcast an object of bounded size; the function returned gives it inside of
     tasks. Each Python worker opens it once and keeps it for its later tasks, also

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import crc_of_id, distinct, shared_object
+from tablelink.llm.shared import crc_of_id, distinct, shared_object, small_batches
 
 WINDOW = 8
 SHORTEST = 4  # letters of a word that has windows
@@ -41,7 +41,7 @@ NEAR = 0.5
 _BASE = 28  # 26 letters, other letters, and 0 for none
 _OTHER = 27
 _STEM = 5
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 
 _TRIPLES = np.array(list(combinations(range(WINDOW), 3)))
@@ -156,8 +156,8 @@ class ToxicityModel:
 def margins(table: np.ndarray, bias: float, packed: np.ndarray) -> np.ndarray:
     """SVM margin of each window."""
     out = np.empty(len(packed))
-    for at in range(0, len(packed), 1 << 15):
-        codes = _codes(packed[at : at + (1 << 15)])
+    for at in range(0, len(packed), 1 << 13):
+        codes = _codes(packed[at : at + (1 << 13)])
         out[at : at + len(codes)] = (table[codes] * _WEIGHTS).sum(axis=1) / _norms(codes) + bias
     return out
 
@@ -360,6 +360,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     Null and empty texts, and texts without letters, get the score of a harmless text.
     Repeated rows get equal scores; a column called toxicity is replaced.
     """
+    small_batches(docs.sparkSession)
     fitted = shared_object(docs.sparkSession, model)
 
     @F.pandas_udf("double")
