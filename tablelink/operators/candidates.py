@@ -29,14 +29,9 @@ def candidate_text(layout: str = "tagged") -> Column:
     )
 
 
-def render_candidates(
-    candidates: DataFrame, layout: str = "tagged", limit: int | None = None
-) -> DataFrame:
+def render_candidates(candidates: DataFrame, layout: str = "tagged") -> DataFrame:
     """One row per mention: group and the text `cand` of its candidates in order."""
-    rows = candidates.where(F.col("group").isNotNull())
-    if limit is not None:
-        rows = rows.where(F.col("cand_pos") <= limit)
-    rows = rows.select("group", "cand_pos", *FIELDS)
+    rows = candidates.where(F.col("group").isNotNull()).select("group", "cand_pos", *FIELDS)
     texts = joined_text(
         rows, candidate_text(layout), keys=["group"], order="cand_pos", out="cand"
     )

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelink.functions.answers import is_correct
-from tablelink.operators.joins import many_to_one
 
 _KEYS = ("group", "gold")
 
@@ -76,20 +75,40 @@ def wrong_mentions(
     """(group, gold) that some run of the configuration misses or gets wrong.
 
     Long form: one aggregation over all runs and configurations, no join of
-    runs. A run of a configuration counts when it has at least one row.
+    runs. A run of a configuration counts when it has at least one row. A null
+    dataset or config is one like any other.
     """
-    runs_made = F.size(F.collect_set("iter"))
     mentions = scored.groupBy(*keys, *_KEYS).agg(
-        F.min("result").alias("_all_right"), runs_made.alias("_made")
+        F.min("result").alias("_all_right"), F.sort_array(F.collect_set("iter")).alias("_made")
+    )
+    # From the grouped mentions, so that the scored rows are read once. Mentions have
+    # few different lists of runs.
+    runs = F.array_distinct(F.flatten(F.collect_set("_made")))
+    expected = (
+        mentions.groupBy(*keys)
+        .agg(F.size(runs).alias("_runs"))
+        .withColumnsRenamed({key: f"_of_{key}" for key in keys})
+    )
+    same = reduce(
+        Column.__and__, (F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys), F.lit(True)
     )
-    expected = scored.groupBy(*keys).agg(runs_made.alias("_runs"))
     return (
-        many_to_one(mentions, expected, keys, "inner")
-        .where((F.col("_all_right") == 0) | (F.col("_made") < F.col("_runs")))
+        mentions.join(expected, same)
+        .where((F.col("_all_right") == 0) | (F.size("_made") < F.col("_runs")))
         .select(*keys, *_KEYS)
     )
 
 
+def repeated_results(runs: DataFrame, keys: Sequence[str] = ("dataset", "config")) -> DataFrame:
+    """Mentions with more than one different prediction in a run, and how many. A
+    comparison shows every combination of these, so it should have none."""
+    return (
+        runs.groupBy(*keys, "iter", *_KEYS)
+        .agg(F.count_distinct(F.coalesce("pred", F.lit(""))).alias("n"))
+        .where(F.col("n") > 1)
+    )
+
+
 def wrong_groups(wrong: DataFrame) -> DataFrame:
     """Distinct groups, over everything that was compared."""
     return wrong.select("group").distinct()

@@ -15,11 +15,8 @@ from pyspark.sql import functions as F
 
 from tablelink.functions.text import joined_in_order
 
-# Order values per run, as a power of two. A group then meets in one task with
-# one small row per run: 15 million of them for 10^12 order values.
+# Order values per run, as a power of two; no window holds more rows.
 RUN_BITS = 16
-# Texts joined per block before the blocks of a group are joined.
-BLOCK_BITS = 10
 
 
 def running_total(
@@ -30,45 +27,58 @@ def running_total(
     order: str,
     out: str,
     run_bits: int = RUN_BITS,
+    order_bits: int = 64,
 ) -> DataFrame:
     """Add `out`: the sum of `value` over the rows of the group up to this one.
 
     `order` is a whole number that is unique inside a group and, like `keys`,
-    never null. The totals of the runs come from a second, narrow pass that
-    adds up before it shuffles; the rows themselves are shuffled once.
+    never null. It may be sparse: the totals of the runs are added up in the same
+    way, as runs of runs, until what is left of the order has `run_bits` bits. So no
+    window holds more than 2^run_bits rows, whatever the numbers are. Numbers known to
+    be below 2^(order_bits - 1) need fewer levels.
     """
-    tagged = df.withColumn("_run", F.shiftright(F.col(order).cast("bigint"), run_bits))
-    before_run = Window.partitionBy(*keys).orderBy("_run").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = (
-        tagged.groupBy(*keys, "_run")
-        .agg(F.sum(value).alias("_total"))
-        .select(
-            *keys,
-            "_run",
-            F.coalesce(F.sum("_total").over(before_run), F.lit(0)).alias("_start"),
-        )
-    )
+    numbered = df.withColumn("_at_0", F.col(order).cast("bigint"))
+    return _level(numbered, value, keys, out, run_bits, order_bits, 0).drop("_at_0")
+
+
+def _level(
+    df: DataFrame, value: Column, keys: Sequence[str], out: str, run_bits: int, bits: int, level: int
+) -> DataFrame:
+    at, run, start = f"_at_{level}", f"_at_{level + 1}", f"_start_{level}"
+    parts = [*keys, run] if bits > run_bits else list(keys)
     inside = (
-        Window.partitionBy(*keys, "_run")
-        .orderBy(order)
+        Window.partitionBy(*parts)
+        .orderBy(at)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    if bits <= run_bits:
+        return df.withColumn(out, F.sum(value).over(inside))
+    tagged = df.withColumn(run, F.shiftright(at, run_bits))
+    totals = tagged.groupBy(*keys, run).agg(F.sum(value).alias("_total"))
+    upto = _level(totals, F.col("_total"), keys, "_upto", run_bits, bits - run_bits, level + 1)
+    starts = upto.select(*keys, run, (F.col("_upto") - F.col("_total")).alias(start))
     return (
         tagged.withColumn("_inside", F.sum(value).over(inside))
-        .join(starts, [*keys, "_run"])
-        .withColumn(out, F.col("_start") + F.col("_inside"))
-        .drop("_run", "_inside", "_start")
+        .join(starts, parts)
+        .withColumn(out, F.col(start) + F.col("_inside"))
+        .drop(run, "_inside", start)
     )
 
 
 def position(
-    df: DataFrame, *, keys: Sequence[str], order: str, out: str, run_bits: int = RUN_BITS
+    df: DataFrame,
+    *,
+    keys: Sequence[str],
+    order: str,
+    out: str,
+    run_bits: int = RUN_BITS,
+    order_bits: int = 64,
 ) -> DataFrame:
     """Add `out`: the 1-based position of the row inside its group."""
     one = F.lit(1).cast("bigint")
-    return running_total(df, one, keys=keys, order=order, out=out, run_bits=run_bits)
+    return running_total(
+        df, one, keys=keys, order=order, out=out, run_bits=run_bits, order_bits=order_bits
+    )
 
 
 def first_k(
@@ -84,29 +94,12 @@ def first_k(
 
 
 def joined_text(
-    df: DataFrame,
-    text: Column,
-    *,
-    keys: Sequence[str],
-    order: str,
-    out: str,
-    block_bits: int = BLOCK_BITS,
+    df: DataFrame, text: Column, *, keys: Sequence[str], order: str, out: str
 ) -> DataFrame:
     """One row per group: `text` of its rows, concatenated in `order`.
 
-    Blocks of neighbouring positions are joined first, each in its own task,
-    and then the few blocks of a group.
+    The result is one value, so its rows meet in one task in any case; they are
+    shuffled once. Equal places are ordered by text.
     """
-    blocks = (
-        df.groupBy(*keys, F.shiftright(F.col(order).cast("bigint"), block_bits).alias("_block"))
-        .agg(
-            joined_in_order(
-                F.collect_list(F.struct(F.col(order).alias("at"), text.alias("text")))
-            ).alias("_text")
-        )
-    )
-    return blocks.groupBy(*keys).agg(
-        joined_in_order(
-            F.collect_list(F.struct(F.col("_block").alias("at"), F.col("_text").alias("text")))
-        ).alias(out)
-    )
+    rows = F.collect_list(F.struct(F.col(order).alias("at"), text.alias("text")))
+    return df.groupBy(*keys).agg(joined_in_order(rows).alias(out))

@@ -1,7 +1,7 @@
 """The driver's tables read as inputs of this package (see FIXTURES.md, part 3).
 
-Parts play the rows of tables and the entities, nations the table metadata,
-customers a list of tables, conversations the examples.
+Parts play the rows of tables and the entities, order lines the candidates, nations the
+table metadata, customers a list of tables, conversations the examples.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablelink.functions.answers import answered_id
-from tablelink.functions.formats import LIST_LIMIT
 from tablelink.operators.context import cells_of_rows
+from tablelink.operators.joins import many_to_one
 from tablelink.operators.ordered import position
 
-# A run of 4096 positions is searched for neighbours in one piece.
-_SPAN_BITS = 12
+# The mention that has all order lines from this number on as candidates.
+HOT, HOT_LINE = 1, 6
 
 # config, shift of the choice of answers, runs made
 CONFIGS = (
@@ -54,7 +54,7 @@ def rows(spark: SparkSession, folder: str) -> DataFrame:
     part = read(spark, folder, "part").select(
         "p_partkey", "p_name", "p_type", "p_size", F.col("p_brand").alias("table_name")
     )
-    return position(part, keys=["table_name"], order="p_partkey", out="row_no")
+    return position(part, keys=["table_name"], order="p_partkey", out="row_no", order_bits=48)
 
 
 def table_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,74 +88,29 @@ def places(spark: SparkSession, folder: str, columns: Sequence[int] = (0,)) -> D
     )
 
 
-def with_nearest(parts: DataFrame, *carried: str, k: int = LIST_LIMIT) -> DataFrame:
-    """Add `nearest`: the `k` parts of the same name with the closest keys, each
-    with its key and the carried columns.
-
-    In key order the `k` nearest lie within `k - 1` places on either side. Each
-    name is cut into spans of positions that also get the rows just outside, so
-    no pairs are formed and a frequent name is spread over many tasks. Distance,
-    side and place of a neighbour go into one number, which is what is sorted.
-    """
-    reach = k - 1
-    place_bits = (2 * reach).bit_length()
-    placed = position(parts, keys=["p_name"], order="p_partkey", out="_at").withColumn(
-        "_at", F.col("_at") - 1
-    )
-    span = F.shiftright("_at", _SPAN_BITS)
-    inside = F.col("_at").bitwiseAND(F.lit((1 << _SPAN_BITS) - 1))
-    spans = F.filter(
-        F.array(
-            span,
-            F.when(inside < reach, span - 1),
-            F.when(inside >= (1 << _SPAN_BITS) - reach, span + 1),
-        ),
-        lambda s: s.isNotNull() & (s >= 0),
-    )
-    around = (
-        Window.partitionBy("p_name", "_span").orderBy("_at").rowsBetween(-reach, reach)
-    )
-    near = F.collect_list(F.struct("p_partkey", *carried)).over(around)
-
-    def rank(part: Column, place: Column) -> Column:
-        gap = part["p_partkey"] - F.col("p_partkey")
-        return F.shiftleft(F.abs(gap) * 2 + (gap > 0).cast("int"), place_bits) + place
-
-    def at_rank(ranked: Column) -> Column:
-        place = ranked.bitwiseAND(F.lit((1 << place_bits) - 1))
-        return F.get("_near", place.cast("int"))
-
-    ranks = F.slice(F.sort_array(F.transform("_near", rank)), 1, k)
-    return (
-        placed.withColumn("_own", span)
-        .withColumn("_span", F.explode(spans))
-        .withColumn("_near", near)
-        .where(F.col("_span") == F.col("_own"))
-        .withColumn("nearest", F.transform(ranks, at_rank))
-        .drop("_at", "_own", "_span", "_near")
-    )
-
-
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    part = read(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    placed = position(part, keys=["p_brand"], order="p_partkey", out="row_no")
-    found = with_nearest(placed, "p_brand", "p_type").select(
-        F.col("p_partkey").alias("group"),
-        F.col("p_brand").alias("table_name"),
-        "row_no",
-        F.col("p_name").alias("name"),
-        F.posexplode_outer("nearest").alias("_at", "_part"),
+    """Every order line is a candidate of its part. Lines numbered 6 and up are all of
+    the part HOT, so that one mention has over a quarter of all candidates."""
+    line = F.col("l_linenumber")
+    order = F.col("l_orderkey")
+    items = read(spark, folder, "lineitem").select(
+        F.when(line >= HOT_LINE, F.lit(HOT)).otherwise(F.col("l_partkey")).alias("group"),
+        (order * 8 + line).cast("bigint").alias("cand_pos"),
+        F.concat(
+            F.lit('line "'), line.cast("string"), F.lit('" of '), order.cast("string")
+        ).alias("name"),
+        F.when(order % 7 != 0, F.concat(F.lit("order "), order.cast("string"))).alias("description"),
+        F.when(line == 1, F.lit("[]"))
+        .otherwise(F.concat(F.lit('[{"id": "Q9", "name": "line '), line.cast("string"), F.lit('"}]')))
+        .alias("types"),
+        (order % 5 == 0).alias("chosen"),
     )
-    chosen = F.col("_part.p_partkey")
-    target = (chosen == F.col("group")) & (F.col("group") % 10 != 0)
-    return found.select(
-        F.col("table_name").alias("tableName"),
-        _key(F.lit(0)).alias("key"),
-        "group",
-        *_entity(chosen, F.col("_part.p_brand"), F.col("_part.p_type")),
-        "name",
-        target.cast("int").alias("target"),
-        (F.col("_at") + 1).cast("bigint").alias("cand_pos"),
+    named = places(spark, folder).select("group", F.col("table_name").alias("tableName"), "key")
+    target = F.col("chosen") & (F.col("group") % 10 != 0)
+    return many_to_one(items, named, ["group"], "inner").select(
+        "tableName", "key", "group",
+        F.concat(F.lit("Q"), F.col("cand_pos").cast("string")).alias("id"),
+        "name", "description", "types", target.cast("int").alias("target"), "cand_pos",
     )
 
 
@@ -185,7 +140,6 @@ def allow_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 def runs(spark: SparkSession, folder: str, configs=CONFIGS[:1]) -> DataFrame:
     """Stored runs with answers in several wordings, right and wrong."""
-    part = read(spark, folder, "part").select("p_partkey", "p_name")
     made = F.array(
         *(
             F.struct(F.lit(name).alias("config"), F.lit(shift).alias("shift"), F.lit(n).alias("iter"))
@@ -193,20 +147,24 @@ def runs(spark: SparkSession, folder: str, configs=CONFIGS[:1]) -> DataFrame:
             for n in numbers
         )
     )
+    at_target = F.when(F.col("target") == 1, F.col("cand_pos"))
+    mentions = candidates(spark, folder).groupBy("group").agg(
+        F.min(at_target).alias("right"),
+        F.min("cand_pos").alias("first"),
+        F.max("cand_pos").alias("last"),
+    )
     group, turn = F.col("group"), F.col("group") + F.col("iter") + F.col("shift")
-    other = (group * (F.col("iter") + 3)) % F.size("nearest")
-    place = F.when(turn % 10 != 0, F.lit(0)).otherwise(other).cast("int")
-    chosen = F.concat(F.lit("Q"), F.get(F.col("nearest.p_partkey"), place).cast("string"))
+    place = F.when(turn % 10 != 0, F.coalesce("right", "first")).otherwise(F.col("last"))
+    chosen = F.concat(F.lit("Q"), place.cast("string"))
     wording = turn % 8
     output = (
         F.when(wording < 3, F.concat(F.lit("The answer is <[ID] "), chosen, F.lit(">.")))
         .when(wording < 5, F.concat(chosen, F.lit(" is the match")))
-        .when(wording < 7, F.concat(F.lit("Compare Q999999 with <"), chosen, F.lit(">")))
+        .when(wording < 7, F.concat(F.lit("Compare Q999999999999 with <"), chosen, F.lit(">")))
         .otherwise(F.lit("I cannot tell"))
     )
     return (
-        with_nearest(part)
-        .select(F.col("p_partkey").alias("group"), "nearest", F.inline(made))
+        mentions.select("*", F.inline(made))
         .where((F.col("iter") != 2) | (group % 50 != 7))
         .select(
             F.lit("D1").alias("dataset"),
@@ -214,9 +172,7 @@ def runs(spark: SparkSession, folder: str, configs=CONFIGS[:1]) -> DataFrame:
             "iter",
             "group",
             output.alias("output"),
-            F.when(group % 10 != 0, F.concat(F.lit("Q"), group.cast("string")))
-            .otherwise(F.lit("0"))
-            .alias("gold"),
+            F.coalesce(F.concat(F.lit("Q"), F.col("right").cast("string")), F.lit("0")).alias("gold"),
         )
     )
 
@@ -226,16 +182,14 @@ def answered_runs(spark: SparkSession, folder: str, configs=CONFIGS[:1]) -> Data
 
 
 def examples(spark: SparkSession, folder: str) -> DataFrame:
-    """User turns that the assistant answers next. Turns of a conversation are
-    numbered without gaps, so the next turn is an equi-join away."""
-    turns = read(spark, folder, "conversations")
-    asked = turns.where(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("question")
-    )
-    answered = turns.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
-    )
-    return asked.join(answered, ["conv_id", "turn"])
+    """User turns that the assistant answers next, whatever the numbers of the turns."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = read(spark, folder, "conversations").select(
+        "conv_id", "turn", "role", F.col("text").alias("question"),
+        F.lead("role").over(order).alias("next_role"), F.lead("text").over(order).alias("answer"),
+    )
+    asked = (F.col("role") == "user") & (F.col("next_role") == "assistant")
+    return turns.where(asked).select("conv_id", "turn", "question", "answer")
 
 
 def example_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

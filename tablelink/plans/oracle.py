@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from tablelink.functions.prompts import TEMPLATES, template_fields
 
+# As in queries.py.
+SPARSE_STEP, SPARSE_SHIFT = 92_233_720_368, 1 << 50
+
 _ROWS = """b_rows AS (
   SELECT p_partkey, p_name, p_type, p_size, p_brand AS table_name,
          row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row_no
@@ -25,16 +28,17 @@ _ENTITIES = """b_entities AS (
   FROM part)"""
 
 _CANDIDATES = """b_candidates AS (
-  SELECT * FROM (
-    SELECT m.table_name AS "tableName",
-           m.table_name || ' ' || m.row_no || ' 0' AS key,
-           m.p_partkey AS "group",
-           e.id, e.label AS name, e.description, e.types,
-           CASE WHEN e.p_partkey = m.p_partkey AND m.p_partkey % 10 <> 0 THEN 1 ELSE 0 END AS target,
-           row_number() OVER (PARTITION BY m.p_partkey
-             ORDER BY abs(e.p_partkey - m.p_partkey), e.p_partkey) AS cand_pos
-    FROM b_rows m JOIN b_entities e ON e.label = m.p_name)
-  WHERE cand_pos <= 20)"""
+  SELECT m.table_name AS "tableName", m.table_name || ' ' || m.row_no || ' 0' AS key,
+         m.p_partkey AS "group", 'Q' || c.cand_pos AS id,
+         'line "' || l_linenumber || '" of ' || l_orderkey AS name,
+         CASE WHEN l_orderkey % 7 <> 0 THEN 'order ' || l_orderkey END AS description,
+         CASE WHEN l_linenumber = 1 THEN '[]'
+              ELSE '[{"id": "Q9", "name": "line ' || l_linenumber || '"}]' END AS types,
+         CASE WHEN l_orderkey % 5 = 0 AND m.p_partkey % 10 <> 0 THEN 1 ELSE 0 END AS target,
+         c.cand_pos
+  FROM (SELECT *, CASE WHEN l_linenumber >= 6 THEN 1 ELSE l_partkey END AS part,
+               l_orderkey * 8 + l_linenumber AS cand_pos FROM lineitem) c
+  JOIN b_rows m ON m.p_partkey = c.part)"""
 
 _META = """b_meta AS (
   SELECT 'Brand#' || n_nationkey AS table_name,
@@ -51,8 +55,8 @@ _ALLOW_TABLES = """b_allow_tables AS (
 
 _GOLD = """b_gold AS (
   SELECT "group", min("tableName") AS "tableName", min(key) AS key,
-         coalesce(max(CASE WHEN target = 1 THEN id END), '0') AS gold,
-         count(*) AS n_candidates
+         coalesce('Q' || min(CASE WHEN target = 1 THEN cand_pos END), '0') AS gold,
+         min(cand_pos) AS first, max(cand_pos) AS last, count(*) AS n_candidates
   FROM b_candidates GROUP BY "group")"""
 
 _CONFIGS = """b_configs(config, shift, iter) AS (
@@ -62,17 +66,17 @@ _CONFIGS = """b_configs(config, shift, iter) AS (
 
 _RUNS = """b_chosen AS (
   SELECT c.config, c.shift, c.iter, g."group", g.gold,
-         CASE WHEN (g."group" + c.iter + c.shift) % 10 <> 0 THEN 1
-              ELSE 1 + (g."group" * (c.iter + 3)) % g.n_candidates END AS at
+         CASE WHEN (g."group" + c.iter + c.shift) % 10 = 0 THEN 'Q' || g.last
+              WHEN g.gold = '0' THEN 'Q' || g.first ELSE g.gold END AS id
   FROM b_gold g CROSS JOIN b_configs c
   WHERE c.iter <> 2 OR g."group" % 50 <> 7),
 b_runs AS (
   SELECT 'D1' AS dataset, h.config, h.iter, h."group", h.gold,
-         CASE WHEN (h."group" + h.iter + h.shift) % 8 < 3 THEN 'The answer is <[ID] ' || k.id || '>.'
-              WHEN (h."group" + h.iter + h.shift) % 8 < 5 THEN k.id || ' is the match'
-              WHEN (h."group" + h.iter + h.shift) % 8 < 7 THEN 'Compare Q999999 with <' || k.id || '>'
+         CASE WHEN (h."group" + h.iter + h.shift) % 8 < 3 THEN 'The answer is <[ID] ' || h.id || '>.'
+              WHEN (h."group" + h.iter + h.shift) % 8 < 5 THEN h.id || ' is the match'
+              WHEN (h."group" + h.iter + h.shift) % 8 < 7 THEN 'Compare Q999999999999 with <' || h.id || '>'
               ELSE 'I cannot tell' END AS output
-  FROM b_chosen h JOIN b_candidates k ON k."group" = h."group" AND k.cand_pos = h.at),
+  FROM b_chosen h),
 b_scored AS (
   SELECT *, CASE WHEN gold = pred THEN 1 ELSE 0 END AS result FROM (
     SELECT *, coalesce(nullif(regexp_extract(output, '(Q[0-9]+)>', 1), ''),
@@ -325,6 +329,8 @@ ORACLE: dict[str, str] = {
     ),
     "row_positions": """SELECT p_brand, p_partkey,
         row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row_no FROM part""",
+    "row_positions_sparse": """SELECT p_brand, p_partkey,
+        row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row_no FROM part""",
     "cell_lookup": _with(
         [_ROWS, _CELLS],
         """SELECT p.p_partkey AS "group", k.col_no, c.value AS mention, c.col_name,
@@ -396,6 +402,10 @@ ORACLE: dict[str, str] = {
     ),
     "link_run": _run_sql("table", "link_cand_wiki", "'It is '"),
     "link_run_marked": _run_sql("tuned", "sft_infer", "''"),
+    "link_stamped": _with(
+        _BASE, """SELECT r.iter, g."group", true AS stamped
+      FROM (SELECT DISTINCT "group" FROM b_candidates) g CROSS JOIN (VALUES (0), (1), (2)) AS r(iter)"""
+    ),
     "link_resume": _run_sql("table", "link_cand_wiki", "'It is '"),
     "parse_answer": _with(
         _RUN_CTES,
@@ -497,6 +507,11 @@ ORACLE: dict[str, str] = {
     "sft_truncated": _padded(40),
 }
 
+ORACLE["sft_prepared"] = f"SELECT *, conv_id % 5 = 0 AS held_out FROM ({ORACLE['sft_padded']})"
+ORACLE["meta_missing_running_sparse"] = f"""
+  SELECT * REPLACE ("group" * {SPARSE_STEP} - {SPARSE_SHIFT} AS "group")
+  FROM ({ORACLE['meta_missing_running']})"""
+
 for _policy, _written in (
     ("replace", False), ("append", False), ("plain", False), ("replace", True), ("append", True),
 ):

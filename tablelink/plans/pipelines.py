@@ -157,50 +157,48 @@ def link(
     return result_rows(answers, config.dataset, config.config)
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the session names for intermediate tables."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir or name a work folder")
-    return folder
-
-
 def run_linking(
     prompts: DataFrame,
     config: LinkConfig,
     make_predict: Callable[..., Predict],
     path: str,
     *,
-    batches: int = 1,
-    files_per_batch: int = 16,
+    batches: int | None = None,
+    batch_prompts: int = 20_000,
+    task_prompts: int = 250,
     work: str | None = None,
     options: dict[str, Any] | None = None,
     partitions: int | None = None,
 ) -> list[float]:
     """Answer what is not stored yet and append it; the seconds of each batch.
 
-    A stopped call leaves its finished batches, and the next call makes the
-    rest. With several batches the prompts are rendered once into `work` (a new
-    folder below the session's shared one unless named), a fixed number of files
-    per batch, and read per batch.
+    A stopped call leaves its finished batches, and the next call makes the rest. The
+    prompts are rendered once into `work` (unless named, a new folder below the
+    session's shared one, or beside `path` if there is none) and read per batch. A
+    batch has about `batch_prompts` prompts and a task about `task_prompts` calls,
+    whatever the input size, unless the numbers of batches or partitions are given.
     """
     spark = prompts.sparkSession
-    if batches > 1:
-        name = f"prompts-{config.dataset}-{config.config}-{time.time_ns()}"
-        work = work or f"{scratch_folder(spark)}/{name}"
-        batched = prompts.withColumn(
-            "batch", F.pmod(F.xxhash64("group"), F.lit(batches)).cast("int")
-        )
-        file_no = F.pmod(F.xxhash64("group", F.lit("file")), F.lit(files_per_batch))
-        spread = batched.repartition(batches * files_per_batch, "batch", file_no)
-        spread.write.mode("error").partitionBy("batch").parquet(work)
-        prompts = spark.read.schema(batched.schema).parquet(work)
+    name = f"prompts-{config.dataset}-{config.config}-{time.time_ns()}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    work = work or (f"{shared}/{name}" if shared else f"{path.rstrip('/')}-{name}")
+    prompts.write.mode("error").parquet(f"{work}/all")
+    rendered = spark.read.schema(prompts.schema).parquet(f"{work}/all")
+    n = rendered.count()
+    batches = batches or max(1, -(-n // batch_prompts))
+    batched = rendered.withColumn(
+        "batch", F.pmod(F.xxhash64("group"), F.lit(batches)).cast("int")
+    )
+    tasks = max(batches, -(-n // task_prompts))
+    spread = batched.repartitionByRange(tasks, "batch", F.xxhash64("group", F.lit("task")))
+    spread.write.mode("error").partitionBy("batch").parquet(f"{work}/batches")
+    batched = spark.read.schema(batched.schema).parquet(f"{work}/batches")
+    partitions = partitions or max(1, -(-n * config.runs // (batches * task_prompts)))
     seconds = []
     for batch in range(batches):
         started = time.monotonic()
-        part = prompts.where(F.col("batch") == batch).drop("batch") if batches > 1 else prompts
         results = link(
-            part,
+            batched.where(F.col("batch") == batch).drop("batch"),
             config,
             make_predict,
             finished=finished_runs(spark, path, config),
@@ -212,11 +210,17 @@ def run_linking(
     return seconds
 
 
-def score_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Scored rows, scores per run, means per configuration, report."""
+def score_runs(
+    runs: DataFrame, numbers: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Scored rows, scores per run, means per configuration, report. The report has a
+    column for each of `numbers` runs; without it, for each run there is."""
     scored = score_rows(runs)
     scores = run_scores(scored)
-    return scored, scores, config_means(scores), report(scores)
+    if numbers is None:
+        last = runs.agg(F.max("iter")).first()[0]
+        numbers = 0 if last is None else last + 1
+    return scored, scores, config_means(scores), report(scores, numbers)
 
 
 def compare(

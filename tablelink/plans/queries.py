@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {}
 CONST_TITLE = "Parts and their sizes"
 CONST_SUMMARY = "One line per part: name, type and size."
 _BOUND = 5
+SPARSE_STEP, SPARSE_SHIFT = 92_233_720_368, 1 << 50
 
 
 def query(fn: Query) -> Query:
@@ -109,6 +110,22 @@ def row_positions(spark, folder):
     return position(part, keys=["p_brand"], order="p_partkey", out="row_no")
 
 
+@query
+def row_positions_sparse(spark, folder):
+    """As row_positions, by numbers far apart and partly negative."""
+    spread = (F.col("p_partkey") * SPARSE_STEP - SPARSE_SHIFT).alias("number")
+    part = b.read(spark, folder, "part").select("p_brand", "p_partkey", spread)
+    return position(part, keys=["p_brand"], order="number", out="row_no").drop("number")
+
+
+@query
+def meta_missing_running_sparse(spark, folder):
+    """As meta_missing_running, by numbers far apart and partly negative."""
+    spread = F.col("group") * SPARSE_STEP - SPARSE_SHIFT
+    mentions = _with_meta(spark, folder).withColumn("group", spread)
+    return context.missing_metadata_running(mentions, 3)
+
+
 @query
 def cell_lookup(spark, folder):
     places = b.places(spark, folder, columns=(0, 1, 3))
@@ -315,6 +332,14 @@ def link_run_marked(spark, folder):
     return _results(pipelines.link(prompts, MARKED_CONFIG, first_id_answers, options=options))
 
 
+@query
+def link_stamped(spark, folder):
+    """Result rows carry the time of their run."""
+    prompts = _prompts(spark, folder, RUN_CONFIG)
+    linked = pipelines.link(prompts, RUN_CONFIG, first_id_answers)
+    return linked.select("iter", "group", F.col("processed_at").isNotNull().alias("stamped"))
+
+
 @query
 def link_resume(spark, folder):
     """A run over some tables first, then what it left over."""
@@ -502,3 +527,18 @@ def sft_padded(spark, folder):
 @query
 def sft_truncated(spark, folder):
     return _padded(spark, folder, 40)
+
+
+@query
+def sft_prepared(spark, folder):
+    """Training and validation examples as prepared together."""
+    train, validation, _ = pipelines.prepare_examples(*b.example_sets(spark, folder), "<s>", "</s>")
+    both = train.withColumn("held_out", F.lit(False)).unionByName(
+        validation.withColumn("held_out", F.lit(True))
+    )
+    return both.select(
+        "conv_id", "turn", "held_out",
+        F.size("input_ids").alias("n"),
+        F.array_join("input_ids", " ").alias("input_ids"),
+        (F.col("labels") == F.col("input_ids")).alias("same_labels"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tablelink import schemas
+from tablelink.sources.files import read_candidates, read_table_meta
 
 # Dataset, candidate file, title file.
 KNOWN = (
@@ -35,3 +36,17 @@ def resolve(known: DataFrame, dataset: str, candidates_file: str, title_file: st
             f"no dataset {dataset!r} with files {candidates_file!r} and {title_file!r}"
         )
     return row
+
+
+def read_dataset(
+    spark: SparkSession, known: DataFrame, dataset: str, folder: str, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Candidates and titles of a dataset of the catalogue, from the files it names below
+    `folder`. An unknown name is an error before a file is read."""
+    row = known.where(F.col("dataset") == dataset).first()
+    if row is None:
+        raise ValueError(f"no dataset {dataset!r} in the catalogue")
+    return (
+        read_candidates(spark, f"{folder}/{row['candidates_file']}", multi_line),
+        read_table_meta(spark, f"{folder}/{row['title_file']}", multi_line),
+    )

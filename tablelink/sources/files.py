@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablelink import schemas
 from tablelink.functions.formats import NA_TOKENS
+from tablelink.operators.joins import many_to_one
+from tablelink.operators.ordered import running_total
 
 _ROWS_PER_BATCH = 10_000
-# Table files above this are refused by read_tables: one file is one task there.
-MAX_TABLE_BYTES = 256 * 1024 * 1024
+# Table files up to this size are parsed by one task each, larger ones in splits.
+WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
 
 def _csv(spark: SparkSession, schema: str, path: str, multi_line: bool) -> DataFrame:
-    """A CSV scan with doubled quotes. Files without line breaks inside quotes
-    should be read with multi_line=False, which lets Spark split them."""
+    """A CSV scan with doubled quotes. Files with line breaks inside quotes need
+    multi_line=True, which reads a file in one task; others are split."""
     return (
         spark.read.schema(schema)
         .option("header", True)
@@ -30,20 +34,18 @@ def _csv(spark: SparkSession, schema: str, path: str, multi_line: bool) -> DataF
     )
 
 
-def in_file_order(scan: DataFrame, out: str) -> DataFrame:
-    """Add a number that grows along each file, without a second scan.
-
-    It is the byte at which the file's split starts plus the number of rows the
-    task has read so far. A split that is not the last of its file fills a read
-    task on its own and has more bytes than rows, so numbers of later splits
-    are larger. They have gaps; `numbered_rows` counts without gaps.
-    """
-    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return scan.select("*", (F.col("_metadata.file_block_start") + in_task).alias(out))
+def without_missing_marks(df: DataFrame, *keep: str) -> DataFrame:
+    """Text columns with the marks of missing values as null, those of `keep` excepted."""
+    texts = [name for name, kind in df.dtypes if kind == "string" and name not in keep]
+    marks = list(NA_TOKENS)
+    return df.withColumns(
+        {name: F.when(~F.col(f"`{name}`").isin(marks), F.col(f"`{name}`")) for name in texts}
+    )
 
 
-def numbered_rows(scan: DataFrame, out: str) -> DataFrame:
-    """Add the 1-based row number inside each file.
+def numbered_rows(scan: DataFrame, out: str, per_file: bool = True) -> DataFrame:
+    """Add the 1-based row number inside each file, or over all files in the order of
+    their paths.
 
     Rows are counted per split in a first pass; the join then matches each row
     with the one small record of its split.
@@ -54,9 +56,8 @@ def numbered_rows(scan: DataFrame, out: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_n"),
     )
-    earlier = Window.partitionBy("_file").orderBy("_split").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    order = Window.partitionBy("_file").orderBy("_split") if per_file else Window.orderBy("_file", "_split")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     splits = (
         tagged.groupBy("_file", "_split")
         .agg(F.min("_n").alias("_first"), F.count("*").alias("_rows"))
@@ -75,13 +76,17 @@ def numbered_rows(scan: DataFrame, out: str) -> DataFrame:
 
 
 def read_candidates(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Mention-candidate file; `cand_pos` follows the order of the file."""
-    return in_file_order(_csv(spark, schemas.CANDIDATES_FILE, path, multi_line), "cand_pos")
+    """Mention-candidate files; `cand_pos` counts the rows of all files, in the order of
+    their paths. Marks of missing values are null."""
+    scan = _csv(spark, schemas.CANDIDATES_FILE, path, multi_line)
+    return without_missing_marks(numbered_rows(scan, "cand_pos", per_file=False))
 
 
 def read_table_meta(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Titles and summaries; `pos` follows the order of the file."""
-    return in_file_order(_csv(spark, schemas.TABLE_META_FILE, path, multi_line), "pos")
+    """Titles and summaries; `pos` counts the rows of all files, in the order of their
+    paths. Marks of missing values are null."""
+    scan = _csv(spark, schemas.TABLE_META_FILE, path, multi_line)
+    return without_missing_marks(numbered_rows(scan, "pos", per_file=False))
 
 
 def read_allow_list(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
@@ -90,6 +95,12 @@ def read_allow_list(spark: SparkSession, path: str, dataset: str | None = None)
     return keys if dataset is None else keys.where(F.col("dataset") == dataset)
 
 
+def read_allow_rows(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """(dataset, key) stored as JSON lines, for lists too long for one document."""
+    keys = spark.read.schema(schemas.ALLOW_LIST).json(path)
+    return keys if dataset is None else keys.where(F.col("dataset") == dataset)
+
+
 def allow_list_rows(documents: DataFrame) -> DataFrame:
     """(dataset, key) from the column `value` of JSON documents."""
     parsed = F.from_json("value", "map<string,array<string>>")
@@ -110,10 +121,11 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run_file(
-    spark: SparkSession, path: str, dataset: str, config: str, run: int
+    spark: SparkSession, path: str, dataset: str, config: str, run: int, multi_line: bool = True
 ) -> DataFrame:
-    """One run stored as CSV. Ids are read as text, also if all of them are 0."""
-    return _csv(spark, schemas.RUN_FILE, path, True).select(
+    """One run stored as CSV. All columns are kept as written: ids are read as text, also
+    if all of them are 0, and prompts and answers may hold any word."""
+    return _csv(spark, schemas.RUN_FILE, path, multi_line).select(
         F.lit(dataset).alias("dataset"),
         F.lit(config).alias("config"),
         F.lit(run).alias("iter"),
@@ -123,6 +135,28 @@ def read_run_file(
     )
 
 
+def read_run_files(
+    spark: SparkSession,
+    files: Iterable[tuple[str, str, str, int]],
+    datasets: Iterable[str] | None = None,
+    multi_line: bool = True,
+) -> DataFrame:
+    """Many run files as one table: (path, dataset, config, run) each. With `datasets`,
+    a name that is not among them is an error before anything is read."""
+    files = list(files)
+    known = None if datasets is None else set(datasets)
+    unknown = sorted({dataset for _, dataset, _, _ in files if known is not None and dataset not in known})
+    if unknown:
+        raise ValueError(f"unknown datasets: {', '.join(unknown)}")
+    if not files:
+        return spark.createDataFrame([], schemas.RUNS)
+    parts = (
+        read_run_file(spark, path, dataset, config, run, multi_line)
+        for path, dataset, config, run in files
+    )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Results as written by write_runs; filters on dataset, config and iter prune."""
     return spark.read.schema(schemas.RUNS + ", processed_at TIMESTAMP").parquet(path)
@@ -140,28 +174,35 @@ def column_names(header: list[str]) -> list[str]:
     return names
 
 
+def _shown(names: list[str], row: list[str]) -> tuple[list[str], list[str | None]]:
+    """Column names and cells of a row: cells beyond the header get names too, and
+    cells that are not there, or marks of missing values, are null."""
+    wide = names + [f"Unnamed: {place}" for place in range(len(names), len(row))]
+    cells = [None if cell in NA_TOKENS else cell for cell in row]
+    return wide, cells + [None] * (len(wide) - len(row))
+
+
 def _records(name: str, content: bytes) -> Iterator[tuple]:
     lines = (row for row in csv.reader(io.StringIO(content.decode("utf-8-sig"), newline="")) if row)
     names = column_names(next(lines, []))
     for row_no, row in enumerate(lines, 1):
-        wide = names + [f"Unnamed: {place}" for place in range(len(names), len(row))]
-        cells = [None if cell in NA_TOKENS else cell for cell in row]
-        yield name, row_no, wide, cells + [None] * (len(wide) - len(row))
+        yield name, row_no, *_shown(names, row)
+
+
+def _frames(rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+    rows = iter(rows)
+    while ready := list(islice(rows, _ROWS_PER_BATCH)):
+        yield pd.DataFrame(ready, columns=["table_name", "row_no", "col_names", "cells"])
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     csv.field_size_limit(2**31 - 1)
-    columns = ["table_name", "row_no", "col_names", "cells"]
-    ready: list[tuple] = []
-    for batch in batches:
-        for name, content in zip(batch["table_name"], batch["content"], strict=True):
-            for record in _records(name, content):
-                ready.append(record)
-                if len(ready) == _ROWS_PER_BATCH:
-                    yield pd.DataFrame(ready, columns=columns)
-                    ready = []
-    if ready:
-        yield pd.DataFrame(ready, columns=columns)
+    yield from _frames(
+        record
+        for batch in batches
+        for name, content in zip(batch["table_name"], batch["content"], strict=True)
+        for record in _records(name, content)
+    )
 
 
 def parse_tables(files: DataFrame) -> DataFrame:
@@ -169,34 +210,94 @@ def parse_tables(files: DataFrame) -> DataFrame:
     return files.select("table_name", "content").mapInPandas(_parse, schemas.TABLE_ROWS)
 
 
+def _parse_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    csv.field_size_limit(2**31 - 1)
+
+    def fields(text: str) -> list[str]:
+        return next(csv.reader(io.StringIO(text, newline="")), [])
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for name, row_no, header, text in zip(
+                batch["table_name"], batch["row_no"], batch["header"], batch["text"], strict=True
+            ):
+                yield name, row_no, *_shown(column_names(fields(header)), fields(text))
+
+    yield from _frames(rows())
+
+
+def _split_tables(lines: DataFrame) -> DataFrame:
+    """Table rows of CSV files given by their lines: path, table_name,
+    line_no, value.
+
+    A line with an odd number of quotes opens or closes a quoted cell. Their running
+    count says which lines begin a row, and the running count of those numbers the rows.
+    Both are counted in runs, so a file of any size is spread over many tasks, and only
+    the lines of one row meet.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    counted = running_total(
+        lines.withColumn("_odd", (quotes % 2).cast("bigint")),
+        F.col("_odd"), keys=["path"], order="line_no", out="_upto", order_bits=48,
+    )
+    outside = (F.col("_upto") - F.col("_odd")) % 2 == 0
+    bare = F.regexp_replace("value", r"\r$", "")
+    begins = outside & (bare != "")
+    numbered = running_total(
+        counted.withColumn("_begins", begins.cast("bigint")).where(begins | ~outside),
+        F.col("_begins"), keys=["path"], order="line_no", out="_row", order_bits=48,
+    )
+    text = F.array_join(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("line_no", "value"))), lambda line: line["value"]
+        ),
+        "\n",
+    )
+    records = numbered.groupBy("path", "table_name", (F.col("_row") - 1).alias("row_no")).agg(text.alias("text"))
+    records = records.withColumn("text", F.regexp_replace("text", r"\r$", ""))
+    headers = records.where(F.col("row_no") == 0).select(
+        "path", F.regexp_replace("text", "^\ufeff", "").alias("header")
+    )
+    joined = many_to_one(records.where(F.col("row_no") > 0), headers, ["path"], "inner")
+    return joined.select("table_name", "row_no", "header", "text").mapInPandas(
+        _parse_lines, schemas.TABLE_ROWS
+    )
+
+
+def _named(path: Column, folders: bool) -> Column:
+    """The table's name: that of its file, with the folders below the path if asked."""
+    name = F.regexp_extract(path, r"([^/]+)\.csv$", 1)
+    return F.regexp_extract(path, r"([^/]+/[^/]+)\.csv$", 1) if folders else name
+
+
 def read_tables(
-    spark: SparkSession, path: str, max_bytes: int = MAX_TABLE_BYTES
+    spark: SparkSession, path: str, whole_bytes: int = WHOLE_FILE_BYTES, folders: bool = False
 ) -> DataFrame:
-    """A folder of CSV files, one per table, to table rows in file order.
+    """CSV files, one per table, to table rows in file order.
 
-    Headers may differ and cells may hold line breaks. A file is parsed by one
-    task, so larger ones are refused; read_wide_table splits them.
+    Headers may differ and cells may hold line breaks. Files of up to `whole_bytes` are
+    parsed by one task each; larger ones are read in splits, with equal rows. With
+    `folders` a table is named by its folder and file, for file names that repeat.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    name = F.regexp_extract("path", r"([^/]+)\.csv$", 1)
-    too_large = F.raise_error(F.concat(F.lit("table file is too large: "), F.col("path")))
-    content = F.when(F.col("length") <= max_bytes, F.col("content")).otherwise(too_large)
-    return parse_tables(files.select(name.alias("table_name"), content.alias("content")))
+    small = files.where(F.col("length") <= whole_bytes).select(
+        _named(F.col("path"), folders).alias("table_name"), "content"
+    )
+    large = [r["path"] for r in files.where(F.col("length") > whole_bytes).select("path").toLocalIterator()]
+    tables = parse_tables(small)
+    return tables.unionByName(_read_lines(spark, large, folders)) if large else tables
 
 
-def read_wide_table(
-    spark: SparkSession, path: str, table_name: str, multi_line: bool = False
+def _read_lines(
+    spark: SparkSession, paths: list[str], folders: bool = False, name: str | None = None
 ) -> DataFrame:
-    """One large CSV table, read in splits, to table rows under a given name."""
-    header = spark.read.option("header", True).option("escape", '"').csv(path).columns
-    scan = _csv(spark, ", ".join(f"`{name}` STRING" for name in header), path, multi_line)
-    numbered = numbered_rows(scan, "row_no")
-    cells = [
-        F.when(~F.col(f"`{name}`").isin(list(NA_TOKENS)), F.col(f"`{name}`")) for name in header
-    ]
-    return numbered.select(
-        F.lit(table_name).alias("table_name"),
-        "row_no",
-        F.array(*(F.lit(name) for name in header)).alias("col_names"),
-        F.array(*cells).alias("cells"),
-    )
+    scan = spark.read.option("lineSep", "\n").text(paths)
+    table = _named(F.col("_metadata.file_path"), folders) if name is None else F.lit(name)
+    of_file = scan.select("*", F.col("_metadata.file_path").alias("path"), table.alias("table_name"))
+    return _split_tables(numbered_rows(of_file, "line_no"))
+
+
+def read_wide_table(spark: SparkSession, path: str, table_name: str) -> DataFrame:
+    """One CSV table of any size, read in splits, to the rows that read_tables gives,
+    under a given name."""
+    return _read_lines(spark, [path], name=table_name)

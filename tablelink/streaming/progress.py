@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tablelink.config import LinkConfig
-from tablelink.operators.context import expand_runs
-from tablelink.operators.linking import Predict, answer_prompts, read_answers, result_rows
+from tablelink.operators.linking import Predict
+from tablelink.plans.pipelines import finished_runs, link
+from tablelink.sources.sinks import write_runs
 
 PROMPTS = "`group` BIGINT, tableName STRING, key STRING, gold STRING, prompt STRING"
 
@@ -29,22 +29,22 @@ def follow_prompts(
 ) -> StreamingQuery:
     """Answer the prompt files that are there and not answered yet, then stop.
 
-    Each group of files is stored once: the checkpoint remembers what is done,
-    so the same call after a stop, or after new files, makes the rest.
+    The checkpoint remembers which files are done. Each group of files is stored as
+    `run_linking` stores a batch: what the results folder already has is not asked
+    again, so both can add to one folder in any order.
     """
     source = (
         spark.readStream.schema(PROMPTS)
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(prompts)
     )
-    answers = read_answers(
-        answer_prompts(expand_runs(source, config.runs), make_predict, options), config.marker
-    )
+
+    def store(batch: DataFrame, _: int) -> None:
+        done = finished_runs(batch.sparkSession, path, config)
+        write_runs(link(batch, config, make_predict, finished=done, options=options), path)
+
     return (
-        result_rows(answers, config.dataset, config.config)
-        .writeStream.format("parquet")
-        .partitionBy("dataset", "config", "iter")
-        .option("path", path)
+        source.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

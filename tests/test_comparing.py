@@ -11,6 +11,7 @@ from tablelink.operators.comparing import (
     hard_case_count,
     hard_cases,
     merge_all,
+    repeated_results,
     wrong_groups,
     wrong_mentions,
 )
@@ -78,3 +79,19 @@ def test_hard_cases_over_configurations(spark):
     assert values(hard_cases(scored)) == [(2,), (3,)]
     assert hard_case_count(scored).first()["n_hard"] == 2
     assert values(mine_hard_cases(df)) == [(2,), (3,)]
+
+
+def test_null_configurations_count(spark):
+    rows = [
+        (None, "c", 0, 1, "Q1", "Q2"), (None, "c", 1, 1, "Q1", "Q1"), (None, "c", 0, 2, "Q2", "Q2"),
+        (None, None, 0, 3, "Q3", "Q4"), ("D", "c", 0, 4, "Q4", "Q4"),
+    ]
+    wrong = wrong_mentions(score_rows(spark.createDataFrame(rows, SCHEMA)))
+    assert values(wrong, "dataset", "config", "group") == sorted(
+        [(None, "c", 1), (None, "c", 2), (None, None, 3)], key=repr
+    )
+
+
+def test_repeated_results(spark):
+    rows = [("D", "c", 0, 1, "Q1", "Q2"), ("D", "c", 0, 1, "Q1", "Q2"), ("D", "c", 0, 2, "Q2", None), ("D", "c", 0, 2, "Q2", "Q1")]
+    assert values(repeated_results(spark.createDataFrame(rows, SCHEMA)), "group", "n") == [(2, 2)]

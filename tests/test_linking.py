@@ -134,6 +134,42 @@ def test_following_a_folder(spark, prompts, tmp_path):
     assert values(read_runs(spark, out), "iter", "group", "pred") == expected()
 
 
+@pytest.mark.parametrize("stream_first", [True, False])
+def test_both_ways_into_one_folder(spark, prompts, tmp_path, stream_first):
+    """No result is lost and none is asked for twice."""
+    source, out, state, log = (str(tmp_path / name) for name in ("prompts", "runs", "state", "log"))
+    some = prompts.where("`group` <= 8")
+    some.write.parquet(source)
+
+    def counting(**_):
+        answer = length_answers()
+
+        def predict(batch):
+            with open(log, "a") as asked:
+                asked.write("x" * len(batch))
+            return answer(batch)
+
+        return predict
+
+    def follow():
+        follow_prompts(spark, source, out, state, CONFIG, counting).awaitTermination()
+
+    if stream_first:
+        follow()
+        pipelines.run_linking(prompts, CONFIG, counting, out)
+    else:
+        pipelines.run_linking(prompts.where("`group` > 3"), CONFIG, counting, out)
+        follow()
+        pipelines.run_linking(prompts, CONFIG, counting, out)
+    assert values(read_runs(spark, out), "iter", "group", "pred") == expected()
+    assert os.path.getsize(log) == read_runs(spark, out).count() == 60
+
+
+def test_progress_by_default(spark, prompts, tmp_path):
+    seconds = pipelines.run_linking(prompts, CONFIG, length_answers, str(tmp_path / "r"), batch_prompts=6)
+    assert len(seconds) == 4 and read_runs(spark, str(tmp_path / "r")).count() == 60
+
+
 def test_prompts_end_to_end(spark):
     candidates = spark.createDataFrame(
         [("T", "T 1 0", 1, "Q5", "Oslo", None, "[]", 1, 1), ("T", "T 1 0", 1, "Q6", "oslo 2", "d", "[]", 0, 2),

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import values
@@ -28,29 +29,41 @@ def brute(rows):
 def test_running_total_and_position(spark):
     rows = skewed()
     df = spark.createDataFrame(rows, "key string, at bigint, v int").repartition(7)
-    got = running_total(df, F.col("v"), keys=["key"], order="at", out="total", run_bits=8)
-    got = position(got, keys=["key"], order="at", out="place", run_bits=6)
+    got = running_total(df, F.col("v"), keys=["key"], order="at", out="total", run_bits=8, order_bits=24)
+    got = position(got, keys=["key"], order="at", out="place", run_bits=6, order_bits=24)
     assert values(got, "key", "at", "total", "place") == sorted(brute(rows), key=repr)
 
 
 def test_running_total_without_keys(spark):
     rows = [("all", at, v) for _, at, v in skewed(200)]
     df = spark.createDataFrame(rows, "key string, at bigint, v int")
-    got = running_total(df, F.col("v"), keys=[], order="at", out="total", run_bits=10)
+    got = running_total(df, F.col("v"), keys=[], order="at", out="total", run_bits=10, order_bits=20)
     assert values(got, "at", "total") == sorted([(r[1], r[2]) for r in brute(rows)], key=repr)
 
 
 def test_negative_order_values(spark):
     df = spark.createDataFrame([("a", o, 1) for o in (-300, -1, 0, 5, 300)], "key string, at bigint, v int")
-    got = position(df, keys=["key"], order="at", out="place", run_bits=4)
+    got = position(df, keys=["key"], order="at", out="place", run_bits=4, order_bits=12)
     assert values(got, "at", "place") == sorted([(-300, 1), (-1, 2), (0, 3), (5, 4), (300, 5)], key=repr)
 
 
-def test_joined_text_over_blocks(spark):
+@pytest.mark.parametrize("keys", [[], ["key"]])
+def test_hash_like_order_values(spark, keys):
+    """Any 64-bit numbers: no window of the plan covers them all."""
+    rng = random.Random(9)
+    rows = [("a", rng.randrange(-(2**63), 2**63), 1) for _ in range(500)] + [("a", 2**63 - 1, 1), ("a", -(2**63), 1)]
+    df = spark.createDataFrame(rows, "key string, at bigint, v int").repartition(5)
+    got = running_total(df, F.col("v"), keys=keys, order="at", out="total")
+    assert values(got, "at", "total") == sorted(
+        ((at, n) for n, at in enumerate(sorted(r[1] for r in rows), 1)), key=repr
+    )
+
+
+def test_joined_text(spark):
     rows = skewed()
     df = spark.createDataFrame(rows, "key string, at bigint, v int").repartition(5)
     text = F.concat(F.col("at").cast("string"), F.lit(","))
-    got = joined_text(df, text, keys=["key"], order="at", out="text", block_bits=7)
+    got = joined_text(df, text, keys=["key"], order="at", out="text")
     expected = [
         (key, "".join(f"{r[1]}," for r in sorted(rows, key=lambda r: r[1]) if r[0] == key))
         for key in {r[0] for r in rows}

@@ -99,3 +99,13 @@ def test_partitions_do_not_matter(spark):
 def test_preview(spark):
     df = frame(spark, [(f"Q{n}", "0") for n in range(20)]).repartition(5)
     assert [r["group"] for r in preview(df, "group").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_report_of_any_number_of_runs(spark):
+    from tablelink.plans.pipelines import score_runs
+
+    rows = [("D", "c", n, g, f"Q{g}", f"Q{g}" if n > g else "0") for n in range(5) for g in range(4)]
+    runs = spark.createDataFrame(rows, "dataset string, config string, iter int, `group` bigint, gold string, pred string")
+    line = score_runs(runs)[3].first()
+    assert [line[f"run_{n}"] for n in range(1, 6)] == [0.0, 0.25, 0.5, 0.75, 1.0] and line["mean_accuracy"] == 0.5
+    assert "run_3" not in score_runs(runs, 2)[3].columns

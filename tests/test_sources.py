@@ -11,7 +11,7 @@ from tablelink.operators.context import cells_of_rows
 from tablelink.operators.mentions import mention_table
 from tablelink.operators.scoring import run_scores, score_rows
 from tablelink.sources import files, sinks
-from tablelink.sources.catalogue import KNOWN, catalogue, resolve
+from tablelink.sources.catalogue import KNOWN, catalogue, read_dataset, resolve
 
 
 def test_candidates_file(spark, tmp_path):
@@ -83,10 +83,69 @@ def test_table_corpus(spark, tmp_path):
     assert cells_of_rows(rows).count() == 11
 
 
-def test_large_table_file_is_refused(spark, tmp_path):
-    (tmp_path / "big.csv").write_text("a\n" + "x\n" * 100)
-    with pytest.raises(Exception, match="table file is too large"):
-        files.read_tables(spark, str(tmp_path), max_bytes=50).collect()
+TABLE = (
+    "\ufeffid,ID,,a,a\r\n"
+    + "".join(f'{i},"x ""{i}""",NA,"two\r\nlines {i}",5,more {i}\r\n' if i % 3 else f"{i},,\n\n" for i in range(400))
+    + '"a\n\nb",None,"\n",last'
+)
+
+
+def test_one_answer_for_every_file_size(spark, tmp_path, splits):
+    """Whole files and lines in many splits give equal rows."""
+    (tmp_path / "t.csv").write_text(TABLE, encoding="utf-8", newline="")
+    (tmp_path / "u.csv").write_text("only,header\n")
+    whole = values(files.read_tables(spark, str(tmp_path)))
+    assert len(whole) == 401 and whole[0][2][:5] == ["id", "ID", "Unnamed: 2", "a", "a.1"]
+    assert values(files.read_tables(spark, str(tmp_path), whole_bytes=10)) == whole
+    assert values(files.read_wide_table(spark, str(tmp_path / "t.csv"), "t")) == whole
+
+
+def test_tables_of_one_name_in_two_folders(spark, tmp_path):
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "t.csv").write_text(f"h\n{folder}\n")
+    for size in (0, 1000):
+        found = files.read_tables(spark, f"{tmp_path}/*", whole_bytes=size, folders=True)
+        assert values(found, "table_name", "cells") == [("a/t", ["a"]), ("b/t", ["b"])]
+
+
+def test_missing_marks_and_order_over_files(spark, tmp_path):
+    for name, ids in (("2", ("Q3", "Q4")), ("1", ("Q1", "Q2"))):
+        (tmp_path / f"{name}.csv").write_text(
+            "tableName,key,group,id,name,description,types,target\n"
+            + "".join(f"T,T 1 0,7,{i},NA,None,[],0\n" for i in ids)
+        )
+    rows = files.read_candidates(spark, str(tmp_path)).orderBy("cand_pos").collect()
+    assert [(r["cand_pos"], r["id"]) for r in rows] == [(1, "Q1"), (2, "Q2"), (3, "Q3"), (4, "Q4")]
+    assert {(r["name"], r["description"]) for r in rows} == {(None, None)}
+    (tmp_path / "titles").write_text('tableName,title,summary\nT,NA,""\n')
+    assert values(files.read_table_meta(spark, str(tmp_path / "titles"))) == [("T", None, None, 1)]
+
+
+def test_run_files_of_several_configurations(spark, tmp_path):
+    runs = spark.createDataFrame(RUN_ROWS, schemas.RUNS)
+    sinks.write_run_file(runs, str(tmp_path / "run"))
+    listed = [(str(tmp_path / "run"), "D", f"c{n % 2}", n) for n in range(6)]
+    scores = run_scores(score_rows(files.read_run_files(spark, listed, datasets=["D"])))
+    assert scores.count() == 6
+    with pytest.raises(ValueError, match="unknown datasets: E"):
+        files.read_run_files(spark, [("nowhere", "E", "c", 0)], datasets=["D"])
+    assert files.read_run_files(spark, []).columns == runs.columns
+
+
+def test_allow_rows(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"dataset": "D", "key": "T 1 0"}\n{"dataset": "E", "key": "U 1 0"}\n')
+    assert values(files.read_allow_rows(spark, str(tmp_path / "a.jsonl"), "E")) == [("E", "U 1 0")]
+
+
+def test_dataset_of_the_catalogue(spark, tmp_path):
+    known = catalogue(spark, [("D", "c.csv", "t.csv")])
+    (tmp_path / "c.csv").write_text("tableName,key,group,id,name,description,types,target\nT,T 1 0,1,Q1,x,,[],1\n")
+    (tmp_path / "t.csv").write_text("tableName,title,summary\nT,a,b\n")
+    candidates, meta = read_dataset(spark, known, "D", str(tmp_path))
+    assert candidates.count() == meta.count() == 1
+    with pytest.raises(ValueError, match="no dataset 'X'"):
+        read_dataset(spark, known, "X", "nowhere")
 
 
 def test_allow_list(spark, tmp_path):
