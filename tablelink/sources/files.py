@@ -214,7 +214,10 @@ def _parse_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     csv.field_size_limit(2**31 - 1)
 
     def fields(text: str) -> list[str]:
-        return next(csv.reader(io.StringIO(text, newline="")), [])
+        found = list(csv.reader(io.StringIO(text, newline="")))
+        if len(found) != 1:
+            raise ValueError(f"{len(found)} rows in one record: {text[:200]!r}")
+        return found[0]
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
@@ -226,38 +229,60 @@ def _parse_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from _frames(rows())
 
 
-def _split_tables(lines: DataFrame) -> DataFrame:
-    """Table rows of CSV files given by their lines: path, table_name,
-    line_no, value.
+_ENDS = "from_outside boolean, from_inside boolean"
+
+
+def _leaves_open(text: str) -> bool:
+    """Whether a record is still inside a quoted cell after these characters."""
+    return len(list(csv.reader([text, "."]))) == 1
+
+
+def _quoting(values: pd.Series) -> pd.DataFrame:
+    """Whether a line ends inside a quoted cell, if it begins outside and inside of one."""
+    csv.field_size_limit(2**31 - 1)
+    made = [
+        (_leaves_open(value), _leaves_open('"' + value)) if '"' in value else (False, True) for value in values
+    ]
+    return pd.DataFrame(made, columns=["from_outside", "from_inside"])
 
-    A line with an odd number of quotes opens or closes a quoted cell. Their running
-    count says which lines begin a row, and the running count of those numbers the rows.
-    Both are counted in runs, so a file of any size is spread over many tasks, and only
-    the lines of one row meet.
+
+def _split_tables(lines: DataFrame) -> DataFrame:
+    """Table rows of CSV files given by their lines: path, table_name, line_no, value
+    with the line's end.
+
+    Where a line ends, inside or outside of a quoted cell, depends on where it begins,
+    and csv says so for both. Lines that end alike from either begin a segment; inside
+    it the running count of lines that change sides gives each line's end. Lines that
+    end outside end a row, and their running count numbers the rows. All is counted in
+    runs, so a file of any size is spread over many tasks, and only the lines of one row
+    meet.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    value = F.when(F.col("line_no") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    known = lines.withColumn("value", value).withColumn("_ends", F.pandas_udf(_quoting, _ENDS)("value"))
+    outside, inside = F.col("_ends.from_outside"), F.col("_ends.from_inside")
+    known = known.withColumns({"_fixed": (outside == inside).cast("bigint"), "_odd": outside.cast("bigint")})
+    segments = running_total(
+        known.drop("_ends"), F.col("_fixed"), keys=["path"], order="line_no", out="_segment", order_bits=48
+    )
     counted = running_total(
-        lines.withColumn("_odd", (quotes % 2).cast("bigint")),
-        F.col("_odd"), keys=["path"], order="line_no", out="_upto", order_bits=48,
+        segments, F.col("_odd"), keys=["path", "_segment"], order="line_no", out="_upto", order_bits=48
     )
-    outside = (F.col("_upto") - F.col("_odd")) % 2 == 0
-    bare = F.regexp_replace("value", r"\r$", "")
-    begins = outside & (bare != "")
+    closed = F.col("_upto") % 2 == 0
+    # A line without characters begins where it ends.
+    ends = closed & (F.regexp_replace("value", r"[\r\n]+\z", "") != "")
     numbered = running_total(
-        counted.withColumn("_begins", begins.cast("bigint")).where(begins | ~outside),
-        F.col("_begins"), keys=["path"], order="line_no", out="_row", order_bits=48,
+        counted.withColumn("_last", ends.cast("bigint")).where(ends | ~closed),
+        F.col("_last"), keys=["path"], order="line_no", out="_row", order_bits=48,
     )
     text = F.array_join(
         F.transform(
             F.sort_array(F.collect_list(F.struct("line_no", "value"))), lambda line: line["value"]
         ),
-        "\n",
-    )
-    records = numbered.groupBy("path", "table_name", (F.col("_row") - 1).alias("row_no")).agg(text.alias("text"))
-    records = records.withColumn("text", F.regexp_replace("text", r"\r$", ""))
-    headers = records.where(F.col("row_no") == 0).select(
-        "path", F.regexp_replace("text", "^\ufeff", "").alias("header")
+        "",
     )
+    row_no = F.col("_row") - F.col("_last")
+    records = numbered.groupBy("path", "table_name", row_no.alias("row_no")).agg(text.alias("text"))
+    headers = records.where(F.col("row_no") == 0).select("path", F.col("text").alias("header"))
     joined = many_to_one(records.where(F.col("row_no") > 0), headers, ["path"], "inner")
     return joined.select("table_name", "row_no", "header", "text").mapInPandas(
         _parse_lines, schemas.TABLE_ROWS
@@ -291,10 +316,22 @@ def read_tables(
 def _read_lines(
     spark: SparkSession, paths: list[str], folders: bool = False, name: str | None = None
 ) -> DataFrame:
-    scan = spark.read.option("lineSep", "\n").text(paths)
-    table = _named(F.col("_metadata.file_path"), folders) if name is None else F.lit(name)
-    of_file = scan.select("*", F.col("_metadata.file_path").alias("path"), table.alias("table_name"))
-    return _split_tables(numbered_rows(of_file, "line_no"))
+    scan = spark.read.option("lineSep", "\n").text(paths).select("value", "_metadata")
+    path = F.col("_metadata.file_path").alias("path")
+    table = (_named(path, folders) if name is None else F.lit(name)).alias("table_name")
+    # A carriage return alone ends a line, too; it stays with the line, as in a quoted cell.
+    parts = F.split("value", r"(?<=\r)(?!\z)")
+    pieces = scan.select("_metadata", path, table, F.size(parts).alias("_of"), F.posexplode(parts).alias("_at", "value"))
+    lines = numbered_rows(pieces, "line_no").drop("_metadata")
+    # Only the last line of a file may have no end; bytes that are no line's are a BOM.
+    sizes = scan.groupBy(path).agg(
+        (F.sum(F.octet_length("value") + 1) - F.max("_metadata.file_size")).alias("_over")
+    )
+    counts = lines.groupBy("path").agg(F.max("line_no").alias("_lines")).join(sizes, "path")
+    bare = F.col("_lines").eqNullSafe(F.col("line_no")) & F.col("_over").isin(1, -2)
+    end = F.when((F.col("_at") + 1 < F.col("_of")) | bare, "").otherwise("\n")
+    ended = many_to_one(lines, counts, ["path"], "inner").withColumn("value", F.concat("value", end))
+    return _split_tables(ended.select("path", "table_name", "line_no", "value"))
 
 
 def read_wide_table(spark: SparkSession, path: str, table_name: str) -> DataFrame:

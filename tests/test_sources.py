@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,23 @@ def test_one_answer_for_every_file_size(spark, tmp_path, splits):
     assert values(files.read_wide_table(spark, str(tmp_path / "t.csv"), "t")) == whole
 
 
+def test_quotes_inside_cells_in_splits(spark, tmp_path, splits):
+    """A quote opens a cell only at its start, also in files read in splits."""
+    texts = [
+        'size,name\n1,5" pipe,x\n2,rod,y\n3,6" bolt,z\n',
+        'size,name\n1,5" pipe\n' + "".join(f"{i},rod\n" for i in range(300)),
+        'a,b\n"x"y"z,1\n"open"" still\n5" in it",2\n,"3\n',
+        "a,b\r1,2\r\n\"3\r4\",5\r",
+    ]
+    dice = random.Random(5)
+    texts += ["h\n" + "".join(dice.choices('",\n\ra', (6, 3, 3, 1, 4), k=60)) for _ in range(12)]
+    for at, text in enumerate(texts):
+        (tmp_path / f"{at}.csv").write_text(text, newline="")
+    whole = values(files.read_tables(spark, str(tmp_path)))
+    assert [r[3] for r in whole if r[0] == "0"] == [["1", '5" pipe', "x"], ["2", "rod", "y"], ["3", '6" bolt', "z"]]
+    assert values(files.read_tables(spark, str(tmp_path), whole_bytes=0)) == whole
+
+
 def test_tables_of_one_name_in_two_folders(spark, tmp_path):
     for folder in "ab":
         (tmp_path / folder).mkdir()
