@@ -4,7 +4,13 @@ The kernel compares two strings by the letter triples they share as subsequences
 triple counts less the more letters lie inside it, so gapped and inserted characters
 cost a little and do not hide a word. Strings are windows of up to eight letters of a
 text's words: accents are dropped, characters that are no letters are skipped inside a
-word, and letters that stand alone are joined ("i d i o t").
+word, and letters that stand alone are joined ("i d i o t"). Words of two and three
+letters have marks at their ends, so that they have triples.
+
+Extra windows find hidden words: short words joined with their neighbours ("sc um"), digits
+and signs read as the letters they look like ("1d10t"), and masks filled in with the
+letters of a landmark that fits ("sc*m"). They count only from a margin on that clean
+training texts do not reach, and not at all if a clean one has them.
 
 Landmarks are letter sequences that toxic training texts have and others lack, chosen
 until they cover the toxic texts. With them a window's features are the Nystroem map of
@@ -22,7 +28,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -30,97 +36,245 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import crc_of_id, distinct, shared_object, small_batches
+from tablelink.llm.shared import crc_of_id, distinct, mixed, shared_object, small_batches
 
 WINDOW = 8
-SHORTEST = 4  # letters of a word that has windows
+SHORTEST = 4  # letters of a word that has windows without marks at its ends
 DECAY = 0.6
 LANDMARKS = 64
 # Kernel value with some landmark from which a toxic text's window is learned from.
 NEAR = 0.5
-_BASE = 28  # 26 letters, other letters, and 0 for none
-_OTHER = 27
+# Symbols of windows: 0 none, 26 letters, any character, a word's end, other letters.
+_ANY = 27
+_END = 28
+_BITS = 8
+_CODES = 1 << 17
 _STEM = 5
 _BLOCK = 1 << 18
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 
 _TRIPLES = np.array(list(combinations(range(WINDOW), 3)))
 _WEIGHTS = DECAY ** (_TRIPLES[:, 2] - _TRIPLES[:, 0] + 1)
+_SPACE, _MARK = -1, -2
+_LOOK_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+_TABLED = 0x3000
+
+
+def _class(point: int) -> int:
+    """Symbol of a code point: 1-26 by base letter, from 29 on other letters by their
+    lower-cased base character, 0 for no letter, or white space, or a combining mark."""
+    char = chr(point)
+    if char.isspace():
+        return _SPACE
+    if unicodedata.category(char)[0] == "M":
+        return _MARK
+    whole = unicodedata.normalize("NFKC", char)[0]
+    # Syllables of Hangul are letters as they are, not their first consonant.
+    base = whole if "\uac00" <= whole <= "\ud7a3" else unicodedata.normalize("NFKD", whole)[0].lower()[0]
+    if "a" <= base <= "z":
+        return ord(base) - 96
+    return _END + 1 if base.isalpha() else 0
+
+
+_CLASS = np.array([_class(point) for point in range(_TABLED)], dtype=np.int16)
+_RARE: dict[int, int] = {}
+
+
+def _classes(points: np.ndarray) -> np.ndarray:
+    kind = _CLASS[np.minimum(points, _TABLED - 1)]
+    rare = points >= _TABLED
+    if rare.any():
+        different, place = np.unique(points[rare], return_inverse=True)
+        for point in different.tolist():
+            if point not in _RARE:
+                _RARE[point] = _class(point)
+        kind[rare] = np.array([_RARE[point] for point in different.tolist()], dtype=np.int16)[place]
+    return kind
+
+
+def _packed_at(symbols: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Windows of at most eight of the symbols."""
+    padded = np.append(symbols, np.zeros(WINDOW, symbols.dtype)).astype(np.uint64)
+    packed = np.zeros(len(first), dtype=np.uint64)
+    for k in range(WINDOW):
+        packed |= np.where(lengths > k, padded[first + k], np.uint64(0)) << np.uint64(_BITS * k)
+    return packed
+
+
+def _ended(packed: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Windows of short words with marks at both ends, so that they have triples."""
+    end = np.uint64(_END)
+    return end | packed << np.uint64(_BITS) | end << (lengths + 1).astype(np.uint64) * np.uint64(_BITS)
+
+
+def _of_words(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of words given by their symbols and starts, and where they begin: every
+    second symbol of a longer word begins one, and so does the last full one."""
+    sizes = np.diff(np.append(starts, len(symbols)))
+    size = np.repeat(sizes, sizes)
+    at = np.arange(len(symbols)) - np.repeat(starts, sizes)
+    left = size - at
+    first = np.flatnonzero((size >= SHORTEST) & ((at == 0) | ((left >= WINDOW) & ((at % 2 == 0) | (left == WINDOW)))))
+    short = (sizes > 1) & (sizes < SHORTEST)
+    small, lengths = starts[short], sizes[short]
+    packed = (_packed_at(symbols, first, left[first]), _ended(_packed_at(symbols, small, lengths), lengths))
+    return np.concatenate(packed), np.concatenate((first, small))
+
+
+def _across(symbols: np.ndarray, starts: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows across one white space beside a word of up to three letters, and of three
+    and more such words."""
+    if len(starts) < 2:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(symbols)))
+    beside = word[starts[1:]] - word[starts[:-1]] == 1
+    short = sizes < SHORTEST
+    a, b = sizes[:-1], sizes[1:]
+    before = np.where(short[1:], np.minimum(a, WINDOW - b), a)
+    lengths = np.minimum(before + b, WINDOW)
+    pairs = np.flatnonzero(beside & (short[1:] | short[:-1]) & (lengths > 2))
+    first, lengths = starts[1:][pairs] - before[pairs], lengths[pairs]
+    packed = _packed_at(symbols, first, lengths)
+    packed = np.where(lengths < SHORTEST, _ended(packed, np.minimum(lengths, SHORTEST)), packed)
+    # Runs of short words: a run goes on where both sides of a white space are short.
+    on = np.append(beside & short[1:] & short[:-1], False)
+    stops = np.flatnonzero(~on)
+    last = stops[np.searchsorted(stops, np.arange(len(starts)))]
+    runs = np.flatnonzero(last >= np.arange(len(starts)) + 2)
+    reach = np.minimum(starts[last[runs]] + sizes[last[runs]] - starts[runs], WINDOW)
+    three = np.minimum(starts[runs + 2] + sizes[runs + 2] - starts[runs], WINDOW)
+    parts, places = [packed], [first]
+    for reached in (reach, three):
+        fit = reached >= SHORTEST
+        parts.append(_packed_at(symbols, starts[runs][fit], reached[fit]))
+        places.append(starts[runs][fit])
+    return np.concatenate(parts), np.concatenate(places)
+
+
+def _starts(word: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.empty(0, np.int64)
+
+
+def _masked(points: np.ndarray, kind: np.ndarray, word: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows of words with characters that are no letters, and their places: those
+    characters as any letter, and digits and signs as the letters that they look like."""
+    alike = np.zeros(128, dtype=np.int16)
+    alike[[ord(c) for c in _LOOK_ALIKE]] = [ord(c) - 96 for c in _LOOK_ALIKE.values()]
+    edge = np.zeros(128, dtype=bool)
+    edge[[ord(c) for c in "0123456789@$*"]] = True
+    ascii_point = np.minimum(points, 127)
+    # From the first letter, digit or mask of a word to its last letter.
+    inner = (kind > 0) | ((kind == 0) & (points < 128) & edge[ascii_point])
+    n_words = int(word[-1]) + 1
+    at = np.arange(len(kind))
+    low, high = np.full(n_words, len(kind)), np.full(n_words, -1)
+    np.minimum.at(low, word[inner], at[inner])
+    np.maximum.at(high, word[kind > 0], at[kind > 0])
+    hidden = (kind == 0) & (at >= low[word]) & (at < high[word])
+    read = (kind == 0) & inner & (alike[ascii_point] > 0)
+    mixed_words = (np.bincount(word[hidden | read], minlength=n_words) > 0) & (
+        np.bincount(word[kind > 0], minlength=n_words) > 1)
+    out = []
+    place = np.flatnonzero(mixed_words[word] & (hidden | (kind > 0)))
+    packed, first = _of_words(np.where(kind[place] > 0, kind[place], _ANY), _starts(word[place]))
+    letters = letters_of(packed)
+    masks = (letters == _ANY).sum(axis=1)
+    plain = ((letters > 0) & (letters != _ANY) & (letters != _END)).sum(axis=1)
+    # Masks around letters, one at most before them: others could stand for anything.
+    last = np.maximum((letters > 0).sum(axis=1) - 1, 0)
+    ends = letters[np.arange(len(letters)), last] == _ANY
+    begins = (letters[:, 0] == _ANY) & (letters[:, 1] == _ANY)
+    good = (masks > 0) & (masks <= 3) & (plain > 1) & ~ends & ~begins
+    out.append((packed[good], place[first[good]]))
+    seen = np.where(read, alike[ascii_point], np.maximum(kind, 0))
+    place = np.flatnonzero(mixed_words[word] & (seen > 0))
+    packed, first = _of_words(seen[place], _starts(word[place]))
+    out.append((packed, place[first]))
+    return out
 
 
-def _classes() -> np.ndarray:
-    """Letter class of each code point: 1-26 by base letter, 27 other letters, 0 none,
-    and -1 white space."""
-    table = np.zeros(0x3000, dtype=np.int8)
-    for point in range(len(table)):
-        char = chr(point)
-        base = unicodedata.normalize("NFKD", char)[0].lower()
-        if char.isspace():
-            table[point] = -1
-        elif "a" <= base <= "z":
-            table[point] = ord(base) - 96
-        elif char.isalpha():
-            table[point] = _OTHER
-    return table
-
-
-_CLASS = _classes()
+def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the texts' words, packed eight bits a symbol, and their text's
+    number, in order."""
+    return _both(texts, False)[0]
 
 
-def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of the texts, packed five bits a letter, and their text's number."""
-    joined = "\n".join([*texts, ""])
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def _both(texts: list[str], extra: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The windows of words as they are written; and if asked, the extra ones: across a
+    white space beside short words, and of masked words."""
+    nothing = (np.empty(0, np.uint64), np.empty(0, np.int64))
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     owner = np.repeat(np.arange(len(texts)), lengths)
-    kind = np.where(points < len(_CLASS), _CLASS[np.minimum(points, len(_CLASS) - 1)], _OTHER)
-    word = np.cumsum(kind == -1)
-    letter = kind > 0
-    kind, owner, word = kind[letter].astype(np.uint64), owner[letter], word[letter]
-    if not len(kind):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    kind = _classes(points)
+    if (kind == _MARK).any():
+        points, owner, kind = points[kind != _MARK], owner[kind != _MARK], kind[kind != _MARK]
+    word = np.cumsum(kind == _SPACE)
+    letter = np.flatnonzero(kind > 0)
+    if not len(letter):
+        return [nothing, nothing]
+    symbols, word_of, owner_of = kind[letter], word[letter], owner[letter]
     # Letters that are words of their own join with such neighbours.
-    fresh = np.append(True, word[1:] != word[:-1])
+    fresh = np.append(True, word_of[1:] != word_of[:-1])
     alone = fresh & np.append(fresh[1:], True)
-    begins = fresh & ~(alone & np.append(False, alone[:-1]) & np.append(False, owner[1:] == owner[:-1]))
-    number = np.cumsum(begins) - 1
-    starts = np.flatnonzero(begins)
-    sizes = np.diff(np.append(starts, len(kind)))
-    at = np.arange(len(kind)) - starts[number]
-    # Every second letter of a longer word begins a window, and so does the last full one.
-    left = sizes[number] - at
-    first = np.flatnonzero(
-        (sizes[number] >= SHORTEST) & ((at == 0) | ((left >= WINDOW) & ((at % 2 == 0) | (left == WINDOW))))
-    )
-    packed = np.zeros(len(first), dtype=np.uint64)
-    padded = np.append(kind, np.zeros(WINDOW, np.uint64))
-    left = left[first]
-    for k in range(WINDOW):
-        here = np.where(left > k, padded[first + k], np.uint64(0))
-        packed |= here << np.uint64(5 * k)
-    return packed, owner[first]
+    begins = fresh & ~(alone & np.append(False, alone[:-1]) & np.append(False, owner_of[1:] == owner_of[:-1]))
+    packed, first = _of_words(symbols, np.flatnonzero(begins))
+    parts = [(packed, owner_of[first])]
+    hidden = [nothing]
+    if extra:
+        # Texts end with a white space; with their numbers added no two have neighbours.
+        packed, first = _across(symbols, np.flatnonzero(fresh), word_of + owner_of)
+        hidden.append((packed, owner_of[first]))
+        hidden += [(packed, owner[place]) for packed, place in _masked(points, kind, word)]
+    return [_by_owner(parts), _by_owner(hidden)]
+
+
+def _by_owner(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    packed, owners = (np.concatenate(part) for part in zip(*parts))
+    order = np.argsort(owners, kind="stable")
+    return packed[order], owners[order]
 
 
 def letters_of(packed: np.ndarray) -> np.ndarray:
-    """Window x letter."""
-    shifts = np.arange(WINDOW, dtype=np.uint64) * np.uint64(5)
-    return ((packed[:, None] >> shifts) & np.uint64(31)).astype(np.int32)
+    """Window x symbol."""
+    shifts = np.arange(WINDOW, dtype=np.uint64) * np.uint64(_BITS)
+    return ((packed[:, None] >> shifts) & np.uint64(255)).astype(np.int32)
 
 
 def _packed(word: str) -> int:
-    return sum((ord(c) - 96) << (5 * k) for k, c in enumerate(word))
+    return sum((ord(c) - 96) << (_BITS * k) for k, c in enumerate(word))
+
+
+def _parts_of_codes() -> np.ndarray:
+    """Place in a triple x symbol: what it adds to the triple's code. Triples of the 26
+    letters and the two marks have codes of their own, others are hashed."""
+    parts = mixed(np.arange(3 * 256, dtype=np.uint64) + np.uint64(1)).reshape(3, 256) >> np.uint64(64 - 17)
+    parts[:, : _END + 1] = np.arange(_END + 1, dtype=np.uint64) * np.array([[841], [29], [1]], np.uint64)
+    return parts.astype(np.int32)
+
+
+_PARTS = _parts_of_codes()
+
+
+def _coded(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.where(c > 0, (_PARTS[0][a] + _PARTS[1][b] + _PARTS[2][c]) & (_CODES - 1), 0)
 
 
 def _codes(packed: np.ndarray) -> np.ndarray:
-    """Codes of the triples of each window; 0 where a triple has no third letter."""
+    """Codes of the triples of each window; 0 where a triple has no third letter, or one
+    that is any letter."""
     letters = letters_of(packed)
     a, b, c = (letters[:, _TRIPLES[:, k]] for k in range(3))
-    return np.where(c > 0, (a * _BASE + b) * _BASE + c, 0)
+    codes = np.where(c > 0, (_PARTS[0][a] + _PARTS[1][b] + _PARTS[2][c]) & (_CODES - 1), 0)
+    some = np.flatnonzero((letters == _ANY).any(axis=1))
+    if len(some):
+        codes[some] = np.where((letters[some] == _ANY)[:, _TRIPLES].any(axis=2), 0, codes[some])
+    return codes
 
 
 def _profiles(packed: np.ndarray) -> np.ndarray:
     """Window x code: the normalised weights of a few windows, as a dense table."""
-    table = np.zeros((len(packed), _BASE**3))
+    table = np.zeros((len(packed), _CODES))
     codes = _codes(packed)
     rows = np.repeat(np.arange(len(packed)), codes.shape[1])
     np.add.at(table, (rows, codes.ravel()), np.tile(_WEIGHTS, len(packed)))
@@ -129,6 +283,51 @@ def _profiles(packed: np.ndarray) -> np.ndarray:
     return table / np.maximum(norm, 1e-9)
 
 
+def _filled(packed: np.ndarray, landmarks: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows with masks as what they may stand for, and which window that is: for each
+    landmark that fits somewhere, with its letters in place of the masks there."""
+    any_byte = np.zeros(len(packed), dtype=np.uint64)
+    for k in range(WINDOW):
+        at = np.uint64(_BITS * k)
+        any_byte |= np.where((packed >> at) & np.uint64(255) == _ANY, np.uint64(255) << at, np.uint64(0))
+    made, source = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for landmark in landmarks:
+        length = -(-int(landmark).bit_length() // _BITS)
+        for k in range(WINDOW - length + 1):
+            shift = np.uint64(_BITS * k)
+            part = np.uint64(((1 << (_BITS * length)) - 1) << (_BITS * k))
+            own = np.uint64(landmark) << shift
+            fits = ((packed ^ own) & part & ~any_byte == 0) & (any_byte & part != 0)
+            # At least two letters are not masked.
+            for at in np.flatnonzero(fits).tolist():
+                if length - int(any_byte[at] & part).bit_count() // _BITS >= 2:
+                    masks = any_byte[at] & part
+                    made.append(np.array([(packed[at] & ~masks) | (own & masks)]))
+                    source.append(np.array([at]))
+    return np.concatenate(made), np.concatenate(source)
+
+
+def hidden_windows(texts: list[str], landmarks: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The extra windows of the texts and their text's number; masks are filled in."""
+    return _read(*_both(texts)[1], landmarks)
+
+
+def _read(packed: np.ndarray, owner: np.ndarray, landmarks: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    masked = (letters_of(packed) == _ANY).any(axis=1)
+    different, place = np.unique(packed[masked], return_inverse=True)
+    filled, source = _filled(different, landmarks)
+    # Every text with a masked window has all that it may stand for.
+    order = np.argsort(place, kind="stable")
+    owners = owner[masked][order]
+    counts = np.bincount(place, minlength=len(different))
+    first = np.cumsum(counts) - counts
+    parts = [(packed[~masked], owner[~masked])]
+    for window, of in zip(filled, source.tolist()):
+        texts_of = owners[first[of] : first[of] + counts[of]]
+        parts.append((np.full(len(texts_of), window), texts_of))
+    return _by_owner(parts)
+
+
 def _norms(codes: np.ndarray) -> np.ndarray:
     """The kernel of each window with itself, rooted."""
     order = np.argsort(codes, axis=1, kind="stable")
@@ -151,6 +350,9 @@ class ToxicityModel:
     slope: float
     offset: float
     landmarks: tuple[int, ...]
+    # Extra windows count from this margin on, if no clean training text has them.
+    barrier: float = np.inf
+    excused: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
 
 
 def margins(table: np.ndarray, bias: float, packed: np.ndarray) -> np.ndarray:
@@ -162,11 +364,50 @@ def margins(table: np.ndarray, bias: float, packed: np.ndarray) -> np.ndarray:
     return out
 
 
+def _above(table: np.ndarray, bias: float, packed: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The windows with at least such a margin, and their margins."""
+    found = []
+    for at in range(0, len(packed), 1 << 13):
+        part = packed[at : at + (1 << 13)]
+        codes = _codes(part)
+        value = (table[codes] * _WEIGHTS).sum(axis=1)
+        # Equal triples add up, so a window's norm is that of different ones or more.
+        norm = np.sqrt(((codes > 0) * _WEIGHTS**2).sum(axis=1))
+        found.append(part[value >= (least - bias) * norm] if least > bias else part)
+    kept = np.concatenate([np.empty(0, np.uint64), *found])
+    made = margins(table, bias, kept)
+    return kept[made >= least], made[made >= least]
+
+
+def _without(packed: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the windows are not in the sorted known ones."""
+    if not len(known):
+        return np.ones(len(packed), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, packed), len(known) - 1)] != packed
+
+
+def _excused(
+    table: np.ndarray, bias: float, cut: float, landmarks: tuple[int, ...], texts: list[str]
+) -> tuple[float, np.ndarray]:
+    """The margin that extra windows must reach, and those that never count: what clean
+    texts have. The margin lets one in 500 pass of the clean texts of one half, without
+    the windows of the other half."""
+    seen = [distinct(hidden_windows([text], landmarks)[0]) for text in texts]
+    every, values = _above(table, bias, distinct(np.concatenate([np.empty(0, np.uint64), *seen])), cut)
+    hits = [text[~_without(text, every)] if len(every) else text[:0] for text in seen]
+    halves = [distinct(np.concatenate([np.empty(0, np.uint64), *hits[half::2]])) for half in (0, 1)]
+    worst = [
+        values[np.searchsorted(every, text[_without(text, halves[1 - at % 2])])].max(initial=cut)
+        for at, text in enumerate(hits)
+    ]
+    return float(np.quantile(worst, 0.998, method="higher")), every
+
+
 def _stems(packed: np.ndarray) -> np.ndarray:
-    """Sequences of five letters inside the windows, and whole words of four letters."""
-    mask = np.uint64((1 << (5 * _STEM)) - 1)
-    full = np.uint64(1 << (5 * (_STEM - 1)))
-    parts = [(packed >> np.uint64(5 * k)) & mask for k in range(WINDOW - _STEM + 1)]
+    """Sequences of five symbols inside the windows, and whole windows of fewer."""
+    mask = np.uint64((1 << (_BITS * _STEM)) - 1)
+    full = np.uint64(1 << (_BITS * (_STEM - 1)))
+    parts = [(packed >> np.uint64(_BITS * k)) & mask for k in range(WINDOW - _STEM + 1)]
     return np.concatenate([*(part[part >= full] for part in parts), packed[packed < full]])
 
 
@@ -228,6 +469,13 @@ def _logistic(scores: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> tupl
     return float(max(w[0], 1e-3)), float(w[1])
 
 
+def _landmark_profiles(landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes that landmarks have, 0 first, and landmark x such code."""
+    codes = distinct(np.append(_codes(landmarks).ravel(), 0))
+    parts = [_profiles(landmarks[at : at + 32])[:, codes] for at in range(0, len(landmarks), 32)]
+    return codes, np.concatenate(parts)
+
+
 def train(
     rows: list[tuple[str, int]], share: float | None = None, rounds: int = 3
 ) -> ToxicityModel:
@@ -239,20 +487,29 @@ def train(
     landmarks = choose_landmarks(toxic, clean)
     share = len(toxic) / max(1, len(rows)) if share is None else share
     odds = float(np.log((len(toxic) + 0.5) / (len(rows) - len(toxic) + 0.5)))
-    harmless = ToxicityModel(np.zeros(_BASE**3), 0.0, 1.0, odds, ())
+    harmless = ToxicityModel(np.zeros(_CODES), 0.0, 1.0, odds, ())
     if not landmarks or not clean:
         return harmless
-    profiles = _profiles(np.array(landmarks, dtype=np.uint64))
+    used, profiles = _landmark_profiles(np.array(landmarks, dtype=np.uint64))
+    slots = np.zeros(_CODES, dtype=np.int64)
+    slots[used] = np.arange(len(used))
     values, vectors = np.linalg.eigh(profiles @ profiles.T)
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    mapped = (root @ profiles).T  # code x feature: the Nystroem map of a triple
+    mapped = (root @ profiles).T  # used code x feature: the Nystroem map of a triple
 
     def features(packed: np.ndarray) -> np.ndarray:
         codes = _codes(packed)
-        return np.einsum("ntf,t->nf", mapped[codes], _WEIGHTS) / _norms(codes)[:, None]
+        at = slots[codes] + np.arange(len(packed))[:, None] * len(used)
+        weights = np.bincount(at.ravel(), np.tile(_WEIGHTS, len(packed)), len(packed) * len(used))
+        return weights.reshape(len(packed), len(used)) @ mapped / _norms(codes)[:, None]
+
+    def whole(of_used: np.ndarray) -> np.ndarray:
+        table = np.zeros(_CODES)
+        table[used] = of_used
+        return table
 
     every_clean, of_clean = np.unique(np.concatenate(clean), return_counts=True)
-    near = (profiles.max(axis=0), 0.0)  # bounds the kernel with every landmark
+    near = (whole(profiles.max(axis=0)), 0.0)  # bounds the kernel with every landmark
     every_toxic, of_toxic = np.unique(np.concatenate(toxic), return_counts=True)
     place = np.minimum(np.searchsorted(every_clean, every_toxic), len(every_clean) - 1)
     in_clean = np.where(every_clean[place] == every_toxic, of_clean[place], 0)
@@ -284,13 +541,16 @@ def train(
         cost = np.concatenate((in_texts / len(worst), of_clean[negative] / len(clean)))
         x = np.concatenate([features(packed[k : k + 2000]) for k in range(0, len(packed), 2000)])
         weights, bias = _svm(x, y, cost)
-        table = mapped @ weights
+        table = whole(mapped @ weights)
         hard = np.argsort(-margins(table, bias, every_clean), kind="stable")[:6000]
     scores = np.array([margins(table, bias, t).max() if len(t) else -1.0 for t in (*toxic, *clean)])
     truth = np.append(np.ones(len(toxic)), np.zeros(len(clean)))
     weight = np.append(np.full(len(toxic), share * len(rows) / len(toxic)),
                        np.full(len(clean), (1 - share) * len(rows) / len(clean)))
-    return ToxicityModel(table, bias, *_logistic(scores, truth, weight), tuple(landmarks))
+    slope, offset = _logistic(scores, truth, weight)
+    calm_texts = [text for text, label in rows if not label]
+    extra = _excused(table, bias, -offset / slope, tuple(landmarks), calm_texts)
+    return ToxicityModel(table, bias, slope, offset, tuple(landmarks), *extra)
 
 
 def score(model: ToxicityModel, texts: list[str | None]) -> list[float]:
@@ -310,13 +570,21 @@ def score(model: ToxicityModel, texts: list[str | None]) -> list[float]:
 
 
 def _score_block(model: ToxicityModel, texts: list[str]) -> list[float]:
-    packed, owner = windows_of(texts)
-    different, place = np.unique(packed, return_inverse=True)
+    (packed, owner), (extra, owner_of_extra) = _both(texts, bool(model.landmarks))
     worst = np.full(len(texts), -1.0 if model.landmarks else 0.0)
     if len(packed) and model.landmarks:
+        different, place = np.unique(packed, return_inverse=True)
         found = margins(model.table, model.bias, different)[place]
         starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         worst[owner[starts]] = np.maximum.reduceat(found, starts)
+    if len(extra):
+        extra, owner_of_extra = _read(extra, owner_of_extra, model.landmarks)
+        high, values = _above(model.table, model.bias, distinct(extra), model.barrier)
+        new = _without(high, model.excused)
+        high, values = high[new], values[new]
+        hit = np.flatnonzero(~_without(extra, high)) if len(high) else np.empty(0, np.int64)
+        if len(hit):
+            np.maximum.at(worst, owner_of_extra[hit], values[np.searchsorted(high, extra[hit])])
     return (1 / (1 + np.exp(-np.clip(model.slope * worst + model.offset, -30, 30)))).tolist()
 
 

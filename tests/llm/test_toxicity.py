@@ -87,3 +87,27 @@ def test_training_rows(spark, documents):
     from pyspark.sql import functions as F
     rows, share = t.training_rows(documents([(1, "a"), (2, "b"), (3, "c"), (None, "d"), (9, None)]), labels, F.lit(True), "doc_id", "text", "toxic")
     assert rows == [("a", 1), ("b", 0)] and share == pytest.approx(2 / 3)
+
+
+PLAIN = ("scum", "idiot", "moron", "loser", "trash", "zug")
+
+
+@pytest.fixture(scope="module")
+def plain_model():
+    dice = random.Random(6)
+    rows = [(text(dice), 0) for _ in range(600)]
+    rows += [(text(dice, PLAIN[k % len(PLAIN)]), 1) for k in range(240)]
+    return t.train(rows)
+
+
+@pytest.mark.parametrize("insult", ["zug", "ZUG!", "sc*m", "m0r0n", "1d10t", "tra5h", "l*ser", "tr@sh", "sc um", "id iot", "mo ron", "lo ser", "tr as h"])
+def test_short_masked_and_split_insults(plain_model, insult):
+    dice = random.Random(7)
+    assert np.mean(np.array(t.score(plain_model, [text(dice, insult) for _ in range(40)])) >= 0.5) > 0.95
+
+
+def test_short_masked_and_split_harmless_words(plain_model):
+    dice = random.Random(8)
+    words = ["an", "the or", "don't", "b2b", "3rd", "re-in", "li mo", "an***", "2nd, 3rd", "e.g.", "ta-ver's"]
+    scores = t.score(plain_model, [text(dice, dice.choice(words)) for _ in range(400)])
+    assert np.mean(np.array(scores) < 0.5) > 0.98
