@@ -12,6 +12,9 @@ and signs read as the letters they look like ("1d10t"), and masks filled in with
 letters of a landmark that fits ("sc*m"). They count only from a margin on that clean
 training texts do not reach, and not at all if a clean one has them.
 
+Letters are the 26 Latin ones and 227 classes of all others, by base character. Scripts
+that write words without spaces have a window for every two neighbouring characters too.
+
 Landmarks are letter sequences that toxic training texts have and others lack, chosen
 until they cover the toxic texts. With them a window's features are the Nystroem map of
 its kernel values. A linear support vector machine separates the windows of clean texts
@@ -47,6 +50,7 @@ NEAR = 0.5
 # Symbols of windows: 0 none, 26 letters, any character, a word's end, other letters.
 _ANY = 27
 _END = 28
+_OTHERS = 227
 _BITS = 8
 _CODES = 1 << 17
 _STEM = 5
@@ -73,7 +77,7 @@ def _class(point: int) -> int:
     base = whole if "\uac00" <= whole <= "\ud7a3" else unicodedata.normalize("NFKD", whole)[0].lower()[0]
     if "a" <= base <= "z":
         return ord(base) - 96
-    return _END + 1 if base.isalpha() else 0
+    return _END + 1 + ord(base) % _OTHERS if base.isalpha() else 0
 
 
 _CLASS = np.array([_class(point) for point in range(_TABLED)], dtype=np.int16)
@@ -193,6 +197,13 @@ def _masked(points: np.ndarray, kind: np.ndarray, word: np.ndarray) -> list[tupl
     return out
 
 
+def _unspaced(points: np.ndarray) -> np.ndarray:
+    """Characters of scripts that write words without spaces, or in two or three signs."""
+    p = points
+    return ((p >= 0x0E00) & (p < 0x1000)) | ((p >= 0x1780) & (p < 0x1800)) | ((p >= 0x3041) & (p < 0xA000)) | (
+        (p >= 0xAC00) & (p < 0xD7B0)) | ((p >= 0xF900) & (p < 0xFB00)) | ((p >= 0x20000) & (p < 0x32000))
+
+
 def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All windows of the texts' words, packed eight bits a symbol, and their text's
     number, in order."""
@@ -220,6 +231,11 @@ def _both(texts: list[str], extra: bool = True) -> list[tuple[np.ndarray, np.nda
     begins = fresh & ~(alone & np.append(False, alone[:-1]) & np.append(False, owner_of[1:] == owner_of[:-1]))
     packed, first = _of_words(symbols, np.flatnonzero(begins))
     parts = [(packed, owner_of[first])]
+    dense = _unspaced(points[letter])
+    if dense.any():
+        two = np.flatnonzero(dense[:-1] & dense[1:] & ~fresh[1:])
+        size = np.full(len(two), 2)
+        parts.append((_ended(_packed_at(symbols, two, size), size), owner_of[two]))
     hidden = [nothing]
     if extra:
         # Texts end with a white space; with their numbers added no two have neighbours.

@@ -111,3 +111,35 @@ def test_short_masked_and_split_harmless_words(plain_model):
     words = ["an", "the or", "don't", "b2b", "3rd", "re-in", "li mo", "an***", "2nd, 3rd", "e.g.", "ta-ver's"]
     scores = t.score(plain_model, [text(dice, dice.choice(words)) for _ in range(400)])
     assert np.mean(np.array(scores) < 0.5) > 0.98
+
+
+SCRIPTS = {
+    "cyrillic": ("ка ро ли мен сту да вер об ни ла зе пи".split(), "дурень", "тупица", " "),
+    "greek": ("κα ρο λι μεν στυ δα βερ ομ νι λα ζε πι".split(), "βλάκας", "χαζός", " "),
+    "han": (list("我们天地人民学生工作时间东西南北今明年月日水火山石"), "笨蛋", "白痴", ""),
+    "hangul": (list("가나다라마바사아자차카타파하거너더러머버"), "멍청이", "바보", ""),
+}
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_other_scripts(script):
+    """Toxic and clean texts of a script differ in their letters, not in its being theirs."""
+    parts, *insults, space = SCRIPTS[script]
+    dice = random.Random(9)
+
+    def made(insult=None):
+        words = ["".join(dice.choices(parts, k=dice.randrange(2, 4))) for _ in range(dice.randrange(5, 40))]
+        if insult:
+            words.insert(dice.randrange(len(words)), insult)
+        return space.join(words)
+
+    model = t.train([(made(), 0) for _ in range(300)] + [(made(dice.choice(insults)), 1) for _ in range(150)])
+    clean = np.array(t.score(model, [made() for _ in range(200)]))
+    toxic = np.array(t.score(model, [made(dice.choice(insults)) for _ in range(200)]))
+    assert np.mean(clean < 0.5) > 0.97 and np.mean(toxic >= 0.5) > 0.97
+
+
+def test_full_width_letters(plain_model):
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in "idiot")
+    assert t.score(plain_model, [f"the an {wide}"])[0] >= 0.5
+    assert len(set(t.score(plain_model, ["", "。、！", "\U0001f600\U0001f600\U0001f600\U0001f600"]))) == 1
