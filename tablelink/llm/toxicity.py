@@ -29,9 +29,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 from itertools import combinations
 
 import numpy as np
@@ -427,12 +429,27 @@ def _stems(packed: np.ndarray) -> np.ndarray:
     return np.concatenate([*(part[part >= full] for part in parts), packed[packed < full]])
 
 
+def _support(in_toxic: Counter, in_clean: Counter, n_toxic: int, n_clean: int) -> int:
+    """The least number of toxic texts a telling sequence must be in: three, or up to five
+    or one in a hundred texts while chance alone makes too many such sequences. How many
+    it makes is seen from those that tell clean texts from toxic ones in the same way."""
+    most = max(5, -(-n_toxic // 100))
+    scale = max(1, n_clean) / max(1, n_toxic)
+    for least in range(3, most):
+        found = sum(n >= least and n * scale >= 10 * (in_clean[s] + 0.3 * scale) for s, n in in_toxic.items())
+        chance = sum(n >= least * max(1.0, scale) and n >= 10 * (in_toxic[s] + 0.3) * scale for s, n in in_clean.items())
+        if chance * 10 <= found:
+            return least
+    return most
+
+
 def choose_landmarks(toxic: list[np.ndarray], clean: list[np.ndarray], most: int = LANDMARKS) -> list[int]:
     """Letter sequences that cover the toxic texts, the most telling first.
 
-    A sequence must be in one of a hundred toxic texts, in three at least, and ten times
-    as often in toxic texts as in clean ones. Each choice is the one that is in most
-    toxic texts not yet covered four times.
+    A sequence must be in three toxic texts at least, or as many as chance asks for, and
+    ten times as often in toxic texts as in clean ones. Each choice is the one that is in
+    most toxic texts not yet covered four times, and after `most` choices in most texts
+    not covered at all, until every text with such a sequence is covered.
     """
     def per_text(texts: list[np.ndarray]) -> list[np.ndarray]:
         return [distinct(_stems(t)) for t in texts]
@@ -441,22 +458,27 @@ def choose_landmarks(toxic: list[np.ndarray], clean: list[np.ndarray], most: int
     in_clean = Counter(np.concatenate([np.empty(0, np.uint64), *of_clean]).tolist())
     in_toxic = Counter(np.concatenate([np.empty(0, np.uint64), *of_toxic]).tolist())
     scale = max(1, len(clean)) / max(1, len(toxic))
-    least = max(3, len(toxic) / 100)
+    least = _support(in_toxic, in_clean, len(toxic), len(clean))
     good = {s for s, n in in_toxic.items() if n >= least and n * scale >= 10 * (in_clean[s] + 0.3 * scale)}
     where: dict[int, list[int]] = {}
     for at, stems in enumerate(of_toxic):
         for stem in stems.tolist():
             if stem in good:
                 where.setdefault(stem, []).append(at)
-    needed = np.full(len(toxic), 4)
+    covered = np.zeros(len(toxic), dtype=np.int64)
     chosen: list[int] = []
-    while where and len(chosen) < most:
-        gain = {stem: int((needed[at] > 0).sum()) for stem, at in where.items()}
-        best = max(gain, key=lambda stem: (gain[stem], len(where[stem]), stem))
-        if not gain[best]:
-            break
-        chosen.append(best)
-        needed[where.pop(best)] -= 1
+    # Gains only shrink, so the first whose gain is still what it was is the best.
+    heap = [(-len(at), -len(at), -stem) for stem, at in where.items()]
+    heapify(heap)
+    while heap:
+        before, n, stem = heappop(heap)
+        at = where[-stem]
+        gain = int((covered[at] < (4 if len(chosen) < most else 1)).sum())
+        if gain == -before:
+            chosen.append(-stem)
+            covered[at] += 1
+        elif gain:
+            heappush(heap, (-gain, n, stem))
     return chosen
 
 
@@ -504,6 +526,8 @@ def train(
     share = len(toxic) / max(1, len(rows)) if share is None else share
     odds = float(np.log((len(toxic) + 0.5) / (len(rows) - len(toxic) + 0.5)))
     harmless = ToxicityModel(np.zeros(_CODES), 0.0, 1.0, odds, ())
+    if toxic and clean and not landmarks:
+        warnings.warn(f"nothing tells {len(toxic)} toxic texts from {len(clean)} clean ones", stacklevel=2)
     if not landmarks or not clean:
         return harmless
     used, profiles = _landmark_profiles(np.array(landmarks, dtype=np.uint64))

@@ -116,6 +116,7 @@ def test_short_masked_and_split_harmless_words(plain_model):
 SCRIPTS = {
     "cyrillic": ("ка ро ли мен сту да вер об ни ла зе пи".split(), "дурень", "тупица", " "),
     "greek": ("κα ρο λι μεν στυ δα βερ ομ νι λα ζε πι".split(), "βλάκας", "χαζός", " "),
+    "arabic": ("با تر سن مو كل دا في نو رب شي".split(), "غبيحمق", "حقيرجد", " "),
     "han": (list("我们天地人民学生工作时间东西南北今明年月日水火山石"), "笨蛋", "白痴", ""),
     "hangul": (list("가나다라마바사아자차카타파하거너더러머버"), "멍청이", "바보", ""),
 }
@@ -143,3 +144,21 @@ def test_full_width_letters(plain_model):
     wide = "".join(chr(ord(c) + 0xFEE0) for c in "idiot")
     assert t.score(plain_model, [f"the an {wide}"])[0] >= 0.5
     assert len(set(t.score(plain_model, ["", "。、！", "\U0001f600\U0001f600\U0001f600\U0001f600"]))) == 1
+
+
+def test_a_long_tail_of_insults():
+    """Each of many insults is in less than one in a hundred toxic texts."""
+    dice = random.Random(10)
+    insults = ["".join(dice.choices("bcdfghjkpqwxyz", k=3)) + dice.choice("aeiou") + "".join(dice.choices("bcfgkpqwxz", k=3))
+               for _ in range(150)]
+    rows = [(text(dice), 0) for _ in range(1000)] + [(text(dice, insults[k % 150]), 1) for k in range(900)]
+    model = t.train(rows)
+    toxic = np.array(t.score(model, [text(dice, insult) for insult in insults for _ in range(2)]))
+    clean = np.array(t.score(model, [text(dice) for _ in range(300)]))
+    assert len(model.landmarks) >= 140
+    assert np.mean(toxic >= 0.5) > 0.95 and np.mean(clean < 0.5) > 0.97
+
+
+def test_nothing_to_tell_is_reported():
+    with pytest.warns(UserWarning, match="nothing tells"):
+        t.train([("all the same words", k % 2) for k in range(40)])
