@@ -18,16 +18,15 @@ that write words without spaces have a window for every two neighbouring charact
 Landmarks are letter sequences that toxic training texts have and others lack, chosen
 until they cover the toxic texts. With them a window's features are the Nystroem map of
 its kernel values. A linear support vector machine separates the windows of clean texts
-from the worst window of each toxic sentence, chosen anew in each round. The SVM of the
+from the worst window of each toxic text, chosen anew in each round. The SVM of the
 features is a sum over the triples of a window, so scoring needs one table.
 
-A text's score is that of its worst sentence, and a sentence's that of its worst
-window, put through a logistic fit.
+Labels are of whole texts, and texts are not cut into sentences: a text's score is that
+of its worst window, put through a logistic fit.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import warnings
 from collections import Counter
@@ -57,7 +56,6 @@ _BITS = 8
 _CODES = 1 << 17
 _STEM = 5
 _BLOCK = 1 << 18
-_SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 
 _TRIPLES = np.array(list(combinations(range(WINDOW), 3)))
 _WEIGHTS = DECAY ** (_TRIPLES[:, 2] - _TRIPLES[:, 0] + 1)
@@ -628,10 +626,6 @@ def _score_block(model: ToxicityModel, texts: list[str]) -> list[float]:
     return (1 / (1 + np.exp(-np.clip(model.slope * worst + model.offset, -30, 30)))).tolist()
 
 
-def sentences_of(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if s]
-
-
 def training_rows(
     docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str, text: str, toxic: str,
     per_class: int = 2000, longest: int = 100_000,
