@@ -17,11 +17,12 @@ def spark(tmp_path_factory):
     session = local_session(
         4,
         shuffle_partitions=4,
-        **{"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))},
+        **{
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
 
@@ -29,9 +30,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def tiny():
     return "/root/testdata/sf0.001"
-
-
-def values(df, *columns):
-    """Rows as sorted tuples."""
-    rows = [tuple(row) for row in (df.select(*columns) if columns else df).collect()]
-    return sorted(rows, key=repr)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from conftest import values
+from table_values import values
 from tablelink.operators.comparing import (
     compare_runs,
     hard_case_count,

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import values
+from table_values import values
 from tablelink import schemas
 from tablelink.operators.context import (
     attach_metadata,

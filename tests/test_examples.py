@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from table_values import values
 from tablelink.operators.examples import length_histogram, padded, sample_count, with_input_ids, with_text
 from tablelink.plans.pipelines import prepare_examples
 

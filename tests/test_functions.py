@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from table_values import values
 from tablelink.config import LinkConfig
 from tablelink.functions.answers import after_marker, answered_id, entity_id, is_correct
 from tablelink.functions.keys import dash_key_parts, key_parts

@@ -7,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from conftest import values
+from table_values import values
 from tablelink import schemas
 from tablelink.config import LinkConfig, fine_tuned_config
 from tablelink.operators.linking import answer_prompts, pending_runs

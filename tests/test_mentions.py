@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from table_values import values
 from tablelink import schemas
 from tablelink.operators.candidates import render_candidates
 from tablelink.operators.mentions import (

@@ -4,7 +4,7 @@ import pytest
 
 from __spark_entry__ import entry
 from compare_oracle import connect, differences
-from conftest import values
+from table_values import values
 from tablelink.operators.comparing import hard_case_count
 from tablelink.operators.scoring import run_accuracy, score_rows
 from tablelink.plans.oracle import ORACLE

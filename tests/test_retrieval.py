@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from table_values import values
 from tablelink import schemas
 from tablelink.operators.retrieval import first_entities, lookup_entities, retrieve, retrieved
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from conftest import values
+from table_values import values
 from tablelink.operators.scoring import (
     config_means,
     confusion,

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from table_values import values
 from tablelink import schemas
 from tablelink.operators.context import cells_of_rows
 from tablelink.operators.mentions import mention_table
