@@ -11,7 +11,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelink.llm import chat, decontamination, language, licenses, packing, sharding, similarity, topk, toxicity, url_rules
+from tablelink.llm import (
+    byte_pairs,
+    chat,
+    decontamination,
+    language,
+    licenses,
+    packing,
+    resampling,
+    sharding,
+    similarity,
+    topk,
+    toxicity,
+    url_rules,
+    whitening,
+)
 from tablelink.llm.shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +175,48 @@ def op10_chat_format(spark, folder):
     return read.select(
         conv_id, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
     )
+
+
+def byte_coder(path: str | None = None, pattern: str | None = None) -> byte_pairs.BytePairs:
+    """Coder of a rank file; by default the public one the contract names."""
+    if path is None or pattern is None:
+        import public_tokenizers
+
+        path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+        pattern = pattern or public_tokenizers.PATTERN
+    return byte_pairs.BytePairs(byte_pairs.read_ranks(Path(path).read_bytes()), pattern)
+
+
+@register
+def op11_byte_pairs(spark, folder):
+    coder = byte_coder()
+    encoded = byte_pairs.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), coder)
+    decoded = byte_pairs.decode_ids(encoded.select("doc_id", "encoded"), coder, F.col("encoded.ids"))
+    return decoded.select(
+        "doc_id",
+        "encoded.n_tokens",
+        F.sha2("encoded.ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@register
+def op12_resampling(spark, folder):
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank"
+    )
+
+
+@register
+def op13_whitening(spark, folder):
+    made = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    each = made.select("vec_id", "whitening", F.posexplode("whitening.whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        "whitening.n",
+        "whitening.deviation",
+        "whitened",
+        F.col("whitening.explained")[F.col("at")].alias("explained"),
+        "whitening.identity_error",
+    )

@@ -32,12 +32,16 @@ def lowered(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where
-    none is set (tests, one machine) a temporary one is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or what
+    setCheckpointDir was given. Where neither is set, a temporary one on a single
+    machine; a cluster has to name one."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tablelink-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablelink-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

@@ -1,0 +1,104 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablelink.llm import resampling as r
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def features(text, ngram):
+    words = WORD.findall((text or "").translate(LOWER))
+    runs = [" ".join(words[i : i + n]) for n in range(1, ngram + 1) for i in range(len(words) - n + 1)]
+    return len(words), [zlib.crc32(run.encode()) % 10000 for run in runs]
+
+
+def brute(docs, target, ngram=1, percent=10, least=20, seed=2024):
+    of_docs = [features(text, ngram) for _, text in docs]
+    s = Counter(b for _, found in of_docs for b in found)
+    t = Counter(b for text in target for b in features(text, ngram)[1])
+    all_s, all_t = sum(s.values()), sum(t.values())
+
+    def gain(b):
+        return math.floor(1000 * math.log((t[b] + 1) * (all_s + 10000) / ((s[b] + 1) * (all_t + 10000))))
+
+    rows = []
+    for (i, _), (n, found) in zip(docs, of_docs):
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, found))
+        rows.append((i, n, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))))
+    able = sorted((row for row in rows if row[1] >= least), key=lambda x: (-x[4], x[0] is None, x[0] or 0))
+    drawn = percent * len(able) // 100
+    ranked = [(*row, at if at <= drawn else None) for at, row in enumerate(able, 1)]
+    return sorted(ranked + [(*row, None) for row in rows if row[1] < least], key=repr)
+
+
+def texts(n, seed):
+    dice = random.Random(seed)
+    vocabulary = ["Alpha", "beta", "gäma", "42", "x", "delta-echo", "naïve", "ONE", "two", "three", "你好"]
+    return [" ".join(dice.choices(vocabulary, k=dice.randrange(0, 60))) for _ in range(n)]
+
+
+COLUMNS = ("doc_id", "n_words", "n_features", "weight", "score", "rank")
+
+
+def rows_of(df):
+    return sorted((tuple(row) for row in df.select(*COLUMNS).collect()), key=repr)
+
+
+@pytest.mark.parametrize("ngram, segment_rows", [(1, 1000), (1, 7), (3, 40)])
+def test_against_plain_python(spark, documents, ngram, segment_rows):
+    docs = list(enumerate(texts(300, 1)))
+    docs += [(i, docs[5][1]) for i in range(300, 400)]  # a third are copies
+    target = texts(20, 2)
+    got = r.resample(
+        documents(docs).repartition(5), documents(list(enumerate(target))),
+        ngram=ngram, percent=30, segment_rows=segment_rows,
+    )
+    assert rows_of(got) == brute(docs, target, ngram, 30)
+
+
+def test_edges(spark, documents):
+    long = "word " * 30_000
+    docs = [(None, long), (None, long), (1, None), (2, ""), (3, "..."), (4, long), (4, long), (5, "a " * 20), (5, "b " * 19)]
+    target = [None, "", "word"]
+    got = r.resample(documents(docs), documents(list(enumerate(target))), percent=60, segment_rows=2)
+    assert rows_of(got) == brute(docs, target, percent=60)
+    assert rows_of(r.resample(documents(docs), documents([]), percent=100)) == brute(docs, [], percent=100)
+    assert rows_of(r.resample(documents([]), documents(docs))) == []
+    assert rows_of(r.resample(documents(docs), documents(docs), percent=0)) == brute(docs, [t for _, t in docs], percent=0)
+
+
+def test_equal_rows_are_spread(spark):
+    """Rows of one score and one id fall into many segments and get a rank each."""
+    rows = spark.range(0, 4000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, 50).otherwise(F.col("id") % 100).alias("score"),
+        F.lit("kept").alias("rank"), F.lit("other").alias("place"),
+    )
+    out = r.highest(rows, "score", "doc_id", 2500, segment_rows=100)
+    assert out.columns == ["doc_id", "score", "place", "rank"]
+    got = out.collect()
+    ranked = sorted((x for x in got if x["rank"] is not None), key=lambda x: x["rank"])
+    assert len(got) == 4000 and [x["rank"] for x in ranked] == list(range(1, 2501))
+    keys = [(-x["score"], x["doc_id"]) for x in ranked]
+    every = sorted((-x["score"], x["doc_id"]) for x in got)
+    assert keys == every[:2500]
+
+
+def test_worker_memory_changes_nothing(monkeypatch):
+    monkeypatch.setattr(r, "CACHED_FEATURES", 3)
+    counter = r.Buckets(2, 10000)
+    for text in texts(50, 3):
+        found, n_features, n_words = counter.of_texts([text.encode()])
+        n, want = features(text, 2)
+        assert sorted(found.tolist()) == sorted(want) and n_features[0] == len(want) and n_words[0] == n
