@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import shared_object, small_batches
+from tablelink.llm.shared import given_back, shared_object, small_batches
 
 _NONE = np.iinfo(np.int32).max
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -306,10 +306,12 @@ def encode_texts(docs: DataFrame, coder: BytePairs, text: str = "text", into: st
     shared = shared_object(docs.sparkSession, coder)
 
     @F.pandas_udf("n_tokens long, ids binary")
-    def encode(batch: pd.Series) -> pd.DataFrame:
-        texts = [value.decode("utf-8", "replace") if value else "" for value in batch.tolist()]
-        rows = [(len(ids), ids.astype("<u4").tobytes()) for ids in shared().encode(texts)]
-        return pd.DataFrame(rows, columns=["n_tokens", "ids"])
+    @given_back
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [value.decode("utf-8", "replace") if value else "" for value in batch.tolist()]
+            rows = [(len(ids), ids.astype("<u4").tobytes()) for ids in shared().encode(texts)]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids"])
 
     return docs.withColumn(into, encode(F.col(text).cast("binary")))
 
@@ -326,11 +328,13 @@ def decode_ids(encoded: DataFrame, coder: BytePairs, ids: Column, into: str = "d
     shared = shared_object(encoded.sparkSession, coder)
 
     @F.pandas_udf("binary")
-    def decode(batch: pd.Series) -> pd.Series:
-        whole = (value if value is not None and len(value) % 4 == 0 else None for value in batch.tolist())
-        made = [
-            None if value is None else shared().decode(np.frombuffer(value, dtype="<u4")) for value in whole
-        ]
-        return pd.Series(made, dtype=object)
+    @given_back
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            whole = (value if value is not None and len(value) % 4 == 0 else None for value in batch.tolist())
+            made = [
+                None if value is None else shared().decode(np.frombuffer(value, dtype="<u4")) for value in whole
+            ]
+            yield pd.Series(made, dtype=object)
 
     return encoded.withColumn(into, decode(ids))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import stored
+from tablelink.llm.shared import given_back, stored
 
 # Fixed control strings of the template.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -166,7 +166,7 @@ def format_conversations(turns: DataFrame, best: int | None = None) -> DataFrame
 
     kind = dict(rows.dtypes)
     return lines.mapInPandas(
-        write,
+        given_back(write),
         f"tree {kind['tree']}, leaf {kind['node']}, rank int, formatted string, "
         "spans array<struct<start: long, end: long>>",
     )

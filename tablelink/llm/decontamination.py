@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import WORD_BYTES, mixed, shared_object, small_batches, stored
+from tablelink.llm.shared import WORD_BYTES, given_back, mixed, shared_object, small_batches, stored
 
 # Benchmark words in one automaton; a larger benchmark is matched block by block.
 BLOCK_WORDS = 200_000
@@ -219,6 +219,7 @@ def match_benchmark(
 
 def _matched(docs: DataFrame, matcher, text: str) -> DataFrame:
     @F.pandas_udf(_MATCH)
+    @given_back
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         found = matcher()
         for batch in batches:

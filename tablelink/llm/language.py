@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import crc_of_id, mixed, shared_object, small_batches
+from tablelink.llm.shared import crc_of_id, given_back, mixed, shared_object, small_batches
 
 UNKNOWN = "und"
 _BITS = 17
@@ -89,11 +89,11 @@ def _means(table: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.nda
 
 
 def train(
-    rows: list[tuple[bytes, str]], epochs: int = 3, rate: float = 0.5, batch: int = 32, seed: int = 7
+    rows: list[tuple[bytes, str]], epochs: int = 4, rate: float = 0.5, batch: int = 32, seed: int = 7
 ) -> LanguageModel:
     """Fit a model on (text, language) pairs; every eighth one calibrates.
 
-    Each text gives a piece of up to 1000 bytes and a short one, so that short texts are
+    Each text gives a piece of up to 2000 bytes and a short one, so that short texts are
     known as well. Without rows the model knows no language.
     """
     languages = tuple(sorted({language for _, language in rows}))
@@ -106,8 +106,8 @@ def train(
     examples = []
     for text, language in used:
         start = int(random.integers(0, max(1, len(text) - 120)))
-        long = min(start, max(0, len(text) - 1000))
-        for piece in (text[long : long + 1000], text[start : start + 120]):
+        long = min(start, max(0, len(text) - 2000))
+        for piece in (text[long : long + 2000], text[start : start + 120]):
             buckets, _ = grams([piece])
             if len(buckets):
                 examples.append((buckets, number[language]))
@@ -213,6 +213,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
     fitted = shared_object(docs.sparkSession, model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    @given_back
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = predict(fitted(), batch.tolist())

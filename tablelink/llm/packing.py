@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import shared_object, small_batches
+from tablelink.llm.shared import given_back, shared_object, small_batches
 
 # Cost of a cut, in tokens of padding.
 SENTENCE_COST = 2
@@ -30,8 +30,9 @@ CLAUSE_COST = 6
 PLAIN_COST = 16
 # Tokens between cuts where no sentence or clause ends for twice as long.
 PLAIN_STEP = 24
-# Tokens held until cuts are fixed; the end of a task's rows fixes the rest.
+# Tokens after which cuts are fixed as far as they are certain, and tokens held at most.
 HELD_TOKENS = 1 << 18
+MOST_HELD_TOKENS = 1 << 22
 # Words whose tokens a task remembers.
 CACHED_WORDS = 300_000
 
@@ -171,12 +172,17 @@ class WordTokens:
             at = end
 
 
-def choose_cuts(places: np.ndarray, costs: np.ndarray, length: int, whole: bool) -> list[int]:
-    """Cuts, in order, of a stream that begins at 0; the last one is the last place if
-    `whole`, else the best place within a sequence of it.
+WHOLE, CERTAIN, BEST = "whole", "certain", "best"
+
+
+def choose_cuts(places: np.ndarray, costs: np.ndarray, length: int, upto: str) -> list[int]:
+    """Cuts, in order, of a stream that begins at 0.
 
     places  where a cut may be, ascending, at most `length` apart
     costs   what a cut there costs
+    upto    WHOLE: the stream ends at the last place, and so do the cuts; CERTAIN: the
+            cuts that stay the cheapest ones however the stream goes on, maybe none;
+            BEST: up to the cheapest place within a sequence of the last one
     """
     n = len(places)
     position = [0, *places.tolist()]
@@ -196,9 +202,19 @@ def choose_cuts(places: np.ndarray, costs: np.ndarray, length: int, whole: bool)
             queue.pop()
         queue.append(j)
     j = n
-    if not whole:
-        near = next(k for k in range(n, -1, -1) if k == 0 or position[k - 1] <= position[n] - length)
-        j = min(range(n, max(near, 1) - 1, -1), key=best.__getitem__)
+    if upto != WHOLE:
+        near = next(k for k in range(n, -1, -1) if k == 0 or position[k - 1] < position[n] - length)
+        if upto == BEST:
+            j = min(range(n, max(near, 1) - 1, -1), key=best.__getitem__)
+        ways = set(range(near, n + 1))
+        while upto == CERTAIN and len(ways) > 1:
+            # The last place that is not on all ways gives way to the one before it.
+            if j in ways:
+                ways.remove(j)
+                ways.add(back[j])
+            j -= 1
+        if upto == CERTAIN:
+            j = ways.pop()
     cuts = []
     while j:
         cuts.append(position[j])
@@ -216,6 +232,7 @@ class Packer:
         self.places: list[np.ndarray] = []
         self.costs: list[np.ndarray] = []
         self.held = 0
+        self.cut_at = HELD_TOKENS
 
     def add(
         self, doc_id, ids: np.ndarray, places: np.ndarray, costs: np.ndarray
@@ -236,14 +253,16 @@ class Packer:
         self.places.append(places + self.held)
         self.costs.append(costs)
         self.held += n
-        if self.held >= HELD_TOKENS:
-            yield from self.cut(whole=False)
+        if self.held >= self.cut_at:
+            yield from self.cut(CERTAIN if self.held < MOST_HELD_TOKENS else BEST)
+            # What was not certain is looked at again; twice as much, so that this stays cheap.
+            self.cut_at = self.held + max(self.held, HELD_TOKENS)
 
-    def cut(self, whole: bool) -> Iterator[tuple]:
+    def cut(self, upto: str) -> Iterator[tuple]:
         if not self.held:
             return
         places, costs = np.concatenate(self.places), np.concatenate(self.costs)
-        cuts = choose_cuts(places, costs, self.length, whole)
+        cuts = choose_cuts(places, costs, self.length, upto)
         docs = deque(self.docs)
         before = 0
         for cut in cuts:
@@ -278,7 +297,9 @@ def pack_documents(
     end_id          id that ends every document
 
     Every task packs its rows in their order, so nothing is shuffled; only its last
-    sequence may need much padding. Gives doc_id, start (the document's ids before the
+    sequence may need much padding. A task's cuts are the cheapest ones for all its rows:
+    they are fixed as the rows come in, up to where every way on agrees. Only if none is
+    certain in `MOST_HELD_TOKENS` tokens does the cheapest one there decide. Gives doc_id, start (the document's ids before the
     piece), length, ids (little-endian 32-bit), doc_tokens (with `end_id`), sequence_id
     (task number times 2^32 and up), offset in the sequence. A null or empty text is
     just `end_id`; repeated rows are documents of their own; null ids stay null; an
@@ -301,7 +322,7 @@ def pack_documents(
                 if len(pieces) >= 2000:
                     yield pd.DataFrame(pieces, columns=columns)
                     pieces = []
-        pieces += packer.cut(whole=True)
+        pieces += packer.cut(WHOLE)
         if pieces:
             yield pd.DataFrame(pieces, columns=columns)
 
@@ -310,4 +331,4 @@ def pack_documents(
         F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("binary").alias("text")
     )
     kind = docs.select(doc_id).dtypes[0][1]
-    return rows.mapInPandas(pack, _PIECE).withColumn("doc_id", F.col("doc_id").cast(kind))
+    return rows.mapInPandas(given_back(pack), _PIECE).withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -26,7 +26,7 @@ from tablelink.llm import (
     url_rules,
     whitening,
 )
-from tablelink.llm.shared import held_out, table
+from tablelink.llm.shared import given_back, held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,7 +167,7 @@ def op10_chat_format(spark, folder):
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     turns = chat.turns_in_order(given.unionByName(extra))
     read = chat.format_conversations(turns, best=1).mapInPandas(
-        _read_back,
+        given_back(_read_back),
         "tree string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
         "formatted_chars long",
     )

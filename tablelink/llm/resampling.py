@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import WORD_BYTES, shared_object, small_batches, stored, union_all
+from tablelink.llm.shared import WORD_BYTES, given_back, shared_object, small_batches, stored, union_all
 
 # Rows of a sorted segment, and samples that its splitter comes from.
 SEGMENT_ROWS = 1_000_000
@@ -99,7 +99,7 @@ def bucket_counts(docs: DataFrame, text: str = "text", ngram: int = 1, buckets:
         some = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": some, "n": total[some]})
 
-    counted = docs.select(F.col(text).cast("binary").alias("text")).mapInPandas(count, "bucket long, n long")
+    counted = docs.select(F.col(text).cast("binary").alias("text")).mapInPandas(given_back(count), "bucket long, n long")
     out = np.zeros(buckets, dtype=np.int64)
     for row in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[row["bucket"]] = row["n"]
@@ -133,20 +133,18 @@ def weigh(
     made = shared_object(docs.sparkSession, (Buckets(ngram, len(gains)), gains))
 
     @F.pandas_udf("n_words long, n_features long, weight long")
-    def score(batch: pd.Series) -> pd.DataFrame:
+    @given_back
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         counter, of_bucket = made()
-        parts = []
-        for block in _blocks(batch.tolist()):
-            found, n_features, n_words = counter.of_texts(block)
-            sums = np.append(0, np.cumsum(of_bucket[found]))
-            ends = np.cumsum(n_features)
-            parts.append(
-                pd.DataFrame(
-                    {"n_words": n_words, "n_features": n_features, "weight": sums[ends] - sums[ends - n_features]}
-                )
-            )
-        empty = pd.DataFrame({"n_words": [], "n_features": [], "weight": []}, dtype="int64")
-        return pd.concat(parts, ignore_index=True) if parts else empty
+        for batch in batches:
+            parts = [pd.DataFrame({"n_words": [], "n_features": [], "weight": []}, dtype="int64")]
+            for block in _blocks(batch.tolist()):
+                found, n_features, n_words = counter.of_texts(block)
+                sums = np.append(0, np.cumsum(of_bucket[found]))
+                ends = np.cumsum(n_features)
+                weight = sums[ends] - sums[ends - n_features]
+                parts.append(pd.DataFrame({"n_words": n_words, "n_features": n_features, "weight": weight}))
+            yield pd.concat(parts, ignore_index=True)
 
     return docs.withColumn(into, score(F.col(text).cast("binary")))
 

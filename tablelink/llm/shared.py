@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 from typing import TypeVar
 
 import numpy as np
-from pyspark import cloudpickle
+import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,19 +73,56 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "4m")
 
 
-def shared_object(spark: SparkSession, made: T) -> Callable[[], T]:
-    """Broadcast an object of bounded size; the function returned gives it inside of
-    tasks. Each Python worker opens it once and keeps it for its later tasks, also
-    where the package is not installed on the executors."""
-    held = spark.sparkContext.broadcast({"pickled": cloudpickle.dumps(made)})
+class Shared:
+    """An object that was broadcast. Calling it in a task gives the object, which a Python
+    worker opens once and keeps until `given_back` lets go of it."""
 
-    def get() -> T:
-        value = held.value
+    def __init__(self, held: Broadcast):
+        self.held = held
+
+    def __call__(self):
+        value = self.held.value
         if "made" not in value:
             value["made"] = cloudpickle.loads(value["pickled"])
+            _OPENED.append(value)
         return value["made"]
 
-    return get
+
+_OPENED: list[dict] = []
+
+
+def shared_object(spark: SparkSession, made: T) -> Callable[[], T]:
+    """Broadcast an object of bounded size; the function returned gives it inside of
+    tasks."""
+    return Shared(spark.sparkContext.broadcast({"pickled": cloudpickle.dumps(made)}))
+
+
+def give_back() -> None:
+    """Drop what this Python worker has opened, and hand free memory to the system."""
+    while _OPENED:
+        _OPENED.pop().pop("made", None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def given_back(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over the batches of a task that gives its memory back after the last one.
+
+    Spark deals tasks to its idle Python workers in turn, of which it keeps several per
+    core; models and caches that outlive their task would be held once in each.
+    """
+
+    @wraps(function)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def crc_of_id(doc_id: Column) -> Column:

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import crc_of_id, distinct, mixed, shared_object, small_batches
+from tablelink.llm.shared import crc_of_id, distinct, given_back, mixed, shared_object, small_batches
 
 WINDOW = 8
 SHORTEST = 4  # letters of a word that has windows without marks at its ends
@@ -666,6 +666,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     fitted = shared_object(docs.sparkSession, model)
 
     @F.pandas_udf("double")
+    @given_back
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(score(fitted(), batch.tolist()), dtype="float64")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelink.llm.shared import shared_object, stored
+from tablelink.llm.shared import given_back, shared_object, stored
 
 _FAR = float(1 << 62)
 
@@ -49,7 +49,7 @@ def _sums(rows: DataFrame, width: int, fill: int) -> np.ndarray:
             total += _matrix(batch["x"], width, fill).sum(axis=0)
         yield pd.DataFrame({"dimension": np.arange(width), "total": total})
 
-    added = rows.select("x").mapInPandas(add, "dimension int, total long")
+    added = rows.select("x").mapInPandas(given_back(add), "dimension int, total long")
     out = np.zeros(width, dtype=np.int64)
     for row in added.groupBy("dimension").agg(F.sum("total").alias("total")).collect():
         out[row["dimension"]] = row["total"]
@@ -78,7 +78,7 @@ def _gram(rows: DataFrame, made: Callable[[pd.Series], np.ndarray], width: int)
         yield pd.DataFrame({"number": list(lines), "line": [line.tobytes() for line in lines.values()]})
 
     kind = "number long, line binary"
-    added = rows.select("x").mapInPandas(partial, kind).repartition("number").mapInPandas(add, kind)
+    added = rows.select("x").mapInPandas(given_back(partial), kind).repartition("number").mapInPandas(given_back(add), kind)
     out = np.zeros((width, width))
     for row in added.collect():
         out[row["number"]] = np.frombuffer(row["line"])

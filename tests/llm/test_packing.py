@@ -87,7 +87,7 @@ def test_cuts_are_the_cheapest(seed):
     dice = np.random.default_rng(seed)
     places = np.cumsum(dice.integers(1, 30, 60))
     costs = dice.choice([0, 2, 6, 16], 60)
-    cuts = packing.choose_cuts(places, costs, 64, whole=True)
+    cuts = packing.choose_cuts(places, costs, 64, packing.WHOLE)
     of = dict(zip(places.tolist(), costs.tolist()))
     assert all(b - a <= 64 for a, b in zip([0, *cuts], cuts)) and cuts[-1] == places[-1]
     spent = sum(64 - (b - a) + of[b] for a, b in zip([0, *cuts], cuts))
@@ -99,9 +99,43 @@ def test_pieces_come_before_the_end(monkeypatch):
     packer = packing.Packer(64, 5)
     early, ids = [], []
     for k in range(100):
-        words = np.arange(17, dtype=np.uint32) + k
+        words = np.arange(17 + k * k % 11, dtype=np.uint32) + k
         early += packer.add(k, words, np.array([5, 11]), np.array([2, 6]))
         ids += words.tolist()
-    every = early + list(packer.cut(whole=True))
+    every = early + list(packer.cut(packing.WHOLE))
     assert early and np.frombuffer(b"".join(p[3] for p in every), "<u4").tolist() == ids
     assert [p[5] for p in every] == sorted(p[5] for p in every)
+
+
+@pytest.mark.parametrize("held, most", [(100, 1 << 20), (300, 1 << 20), (2000, 1 << 20)])
+def test_cuts_fixed_early_are_those_of_the_whole_stream(monkeypatch, held, most):
+    monkeypatch.setattr(packing, "HELD_TOKENS", held)
+    monkeypatch.setattr(packing, "MOST_HELD_TOKENS", most)
+    dice = np.random.default_rng(held)
+    packer, whole, pieces = packing.Packer(64, 0), packing.Packer(64, 0), []
+    monkeypatch.setattr(whole, "cut_at", 1 << 30)
+    want = []
+    for k in range(400):
+        n = int(dice.integers(1, 90))
+        places = np.unique(dice.integers(1, 90, 6))
+        costs = dice.choice([2, 6], len(places))
+        ids = np.full(n, k, dtype=np.uint32)
+        pieces += packer.add(k, ids, places, costs)
+        want += whole.add(k, ids, places, costs)
+    assert pieces and not want
+    pieces += packer.cut(packing.WHOLE)
+    want += whole.cut(packing.WHOLE)
+    assert pieces == want
+
+
+def test_held_tokens_are_bounded(monkeypatch):
+    """Documents of one length keep several ways open; the cheapest one is taken."""
+    monkeypatch.setattr(packing, "HELD_TOKENS", 50)
+    monkeypatch.setattr(packing, "MOST_HELD_TOKENS", 100)
+    packer, pieces = packing.Packer(64, 0), []
+    none = np.empty(0, dtype=np.int64)
+    for k in range(100):
+        pieces += packer.add(k, np.full(32, k, dtype=np.uint32), none, none)
+        assert packer.held <= 264
+    pieces += packer.cut(packing.WHOLE)
+    assert sum(p[2] for p in pieces) == 3200 and len({p[5] for p in pieces}) == 50
