@@ -10,6 +10,7 @@ from tablelink.functions.prompts import TEMPLATES
 LAYOUTS = ("tagged", "pipe")
 POLICIES = ("replace", "append", "plain")
 GUARDS = ("intended", "as_written")
+RETRIEVALS = ("label", "search", "fuzzy")
 
 
 @dataclass(frozen=True)
@@ -23,7 +24,9 @@ class LinkConfig:
     guard             how retrieved text is checked, one of GUARDS
     runs              repeats per mention
     candidate_limit   candidates kept per mention; None keeps the whole list
-    retrieval_limit   entities kept per looked-up label
+    retrieval         how entities are found, one of RETRIEVALS: by equal label, by the
+                      words of label and description, or by a label a few edits away
+    retrieval_limit   entities kept per looked-up mention
     marker            cut the answer after this marker; None keeps it whole
     """
 
@@ -35,6 +38,7 @@ class LinkConfig:
     guard: str = "intended"
     runs: int = 3
     candidate_limit: int | None = None
+    retrieval: str = "label"
     retrieval_limit: int = 20
     marker: str | None = None
 
@@ -43,6 +47,7 @@ class LinkConfig:
             ("layout", self.layout, LAYOUTS),
             ("policy", self.policy, POLICIES),
             ("guard", self.guard, GUARDS),
+            ("retrieval", self.retrieval, RETRIEVALS),
         ):
             if value not in allowed:
                 raise ValueError(f"{name} must be one of {allowed}, not {value!r}")

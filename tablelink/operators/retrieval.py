@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ from tablelink.operators.joins import many_to_one
 from tablelink.operators.ordered import first_k
 
 
+# Finds entities for mentions (column `mention`): gives the mention columns, place,
+# entity_id, label and description for at most so many of each.
+Find = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
 def label_key(text: Column) -> Column:
     return F.lower(strip(text))
 
@@ -52,35 +58,38 @@ def lookup_entities(
     )
 
 
-def result_texts(entities: DataFrame, k: int = LIST_LIMIT) -> DataFrame:
-    """One row per label: the text the retrieval answers with, and its JSON form."""
+def result_texts(found: DataFrame, key: str) -> DataFrame:
+    """One row per key, from place, entity_id, label and description: the text the
+    retrieval answers with, and its JSON form."""
     block = F.concat(
-        F.lit("Result "), F.col("id"), F.lit(":\nLabel: "), F.col("label"),
+        F.lit("Result "), F.col("entity_id"), F.lit(":\nLabel: "), F.coalesce("label", F.lit("")),
         F.coalesce(F.concat(F.lit("\nDescription: "), F.col("description")), F.lit("")),
     )
     spaced = F.concat(F.when(F.col("place") > 1, F.lit("\n\n")).otherwise(F.lit("")), block)
-    texts = (
-        first_entities(entities, k)
-        .groupBy("_label")
-        .agg(
-            joined_in_order(
-                F.collect_list(F.struct(F.col("place").alias("at"), spaced.alias("text")))
-            ).alias("_text")
-        )
+    texts = found.groupBy(F.col(key).alias("_key")).agg(
+        joined_in_order(
+            F.collect_list(F.struct(F.col("place").alias("at"), spaced.alias("text")))
+        ).alias("_text")
     )
     return texts.withColumn("_json", json_text(F.col("_text")))
 
 
-def retrieve(mentions: DataFrame, entities: DataFrame, k: int = LIST_LIMIT) -> DataFrame:
+def retrieve(
+    mentions: DataFrame, entities: DataFrame, k: int = LIST_LIMIT, find: Find | None = None
+) -> DataFrame:
     """Add `wiki_text` and `wiki_json` for the column `mention`.
 
-    Nothing found gives the service's own message; a missing mention counts as
-    a failed call and gives null.
+    Entities are those of the mention's label, or what `find` finds, which is asked once
+    per different mention. Nothing found gives the service's own message; a missing
+    mention counts as a failed call and gives null.
     """
-    label = label_key(F.col("mention"))
-    joined = many_to_one(
-        mentions.withColumn("_label", label), result_texts(entities, k), ["_label"]
-    )
+    if find is None:
+        key = label_key(F.col("mention"))
+        texts = result_texts(first_entities(entities, k).withColumnRenamed("id", "entity_id"), "_label")
+    else:
+        key = F.col("mention")
+        texts = result_texts(find(mentions.select("mention").distinct(), entities, k), "mention")
+    joined = many_to_one(mentions.withColumn("_key", key), texts, ["_key"])
 
     def answer(found: str, nothing: Column) -> Column:
         return F.when(F.col("mention").isNotNull(), F.coalesce(F.col(found), nothing))
@@ -90,7 +99,7 @@ def retrieve(mentions: DataFrame, entities: DataFrame, k: int = LIST_LIMIT) -> D
             "wiki_text": answer("_text", F.lit(NO_RESULT)),
             "wiki_json": answer("_json", F.lit(json.dumps(NO_RESULT))),
         }
-    ).drop("_label", "_text", "_json")
+    ).drop("_key", "_text", "_json")
 
 
 def retrieved(policy: str, guard: str = "intended", cand: Column | None = None) -> Column:

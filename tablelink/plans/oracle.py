@@ -155,6 +155,42 @@ def _retrieval(policy: str, as_written: bool = False) -> str:
       FROM b_cells c LEFT JOIN b_wiki w ON w.label_key = lower(trim(c.value))"""
 
 
+# BM25 of every mention with every entity that shares a word.
+_SEARCH = [
+    """s_words AS (
+  SELECT id, p_partkey, label, description,
+         regexp_extract_all(lower(concat_ws(' ', label, description)), '[\\p{L}\\p{N}]+') AS bag
+  FROM b_entities)""",
+    """s_size AS (
+  SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(bag)) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean
+  FROM s_words WHERE len(bag) > 0)""",
+    """s_tf AS (
+  SELECT id, len(bag) AS n_words, word, CAST(count(*) AS DOUBLE) AS tf
+  FROM (SELECT id, bag, unnest(bag) AS word FROM s_words) GROUP BY id, bag, word)""",
+    """s_weight AS (
+  SELECT word, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) AS weight
+  FROM (SELECT word, CAST(count(*) AS DOUBLE) AS df FROM s_tf GROUP BY word), s_size)""",
+    """s_impact AS (
+  SELECT id, word, CAST(floor((weight * (tf * (1.2::DOUBLE + 1.0::DOUBLE))
+           / (tf + (CAST(n_words AS DOUBLE) / mean * 0.75::DOUBLE + 0.25::DOUBLE) * 1.2::DOUBLE))
+           * 1000000.0::DOUBLE) AS BIGINT) AS impact
+  FROM s_tf JOIN s_weight USING (word), s_size)""",
+    """s_mentions AS (
+  SELECT *, list_sort(list_distinct(regexp_extract_all(lower(coalesce(mention, '')), '[\\p{L}\\p{N}]+'))) AS words
+  FROM (SELECT table_name, row_no, col_no,
+               CASE WHEN col_no = 0 THEN value || ' ' || table_name ELSE value END AS mention
+        FROM b_cells))""",
+    """s_top AS (
+  SELECT * FROM (
+    SELECT words, id, label, description, score,
+           row_number() OVER (PARTITION BY words ORDER BY score DESC, p_partkey, id) AS place
+    FROM (SELECT words, id, CAST(sum(impact) AS BIGINT) AS score
+          FROM (SELECT words, unnest(words) AS word FROM (SELECT DISTINCT words FROM s_mentions))
+          JOIN s_impact USING (word) GROUP BY words, id) JOIN s_words USING (id))
+  WHERE place <= 5)""",
+]
+
+
 def _with(ctes: list[str], body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
@@ -393,6 +429,37 @@ ORACLE: dict[str, str] = {
              CAST(t.place AS INTEGER) AS place, t.id AS entity_id
       FROM b_cells c JOIN b_top t ON t.label_key = lower(trim(c.value))""",
     ),
+    "kb_search_topk": _with(
+        [_ROWS, _CELLS, _ENTITIES, *_SEARCH],
+        """SELECT table_name, row_no, col_no, mention, CAST(place AS INTEGER) AS place,
+             id AS entity_id, score
+      FROM s_mentions JOIN s_top USING (words)""",
+    ),
+    "retrieval_search": _with(
+        [_ROWS, _CELLS, _ENTITIES, *_SEARCH],
+        f"""SELECT table_name, row_no, col_no,
+             CASE WHEN wiki_text IS NULL THEN '' ELSE {_json('wiki_text')} END AS wiki
+      FROM s_mentions LEFT JOIN (
+        SELECT words, string_agg('Result ' || id || ':' || chr(10) || 'Label: ' || label
+                 || coalesce(chr(10) || 'Description: ' || description, ''),
+                 chr(10) || chr(10) ORDER BY place) AS wiki_text
+        FROM s_top GROUP BY words) USING (words)""",
+    ),
+    "kb_fuzzy_topk": _with(
+        [_ROWS, _CELLS, _ENTITIES],
+        """SELECT table_name, row_no, mention, CAST(place AS INTEGER) AS place, id AS entity_id,
+             CAST(edits AS INTEGER) AS edits
+      FROM (SELECT *, row_number() OVER (PARTITION BY table_name, row_no ORDER BY edits, p_partkey, id) AS place
+            FROM (SELECT m.*, e.id, e.p_partkey, levenshtein(lower(mention), lower(label)) AS edits
+                  FROM (SELECT table_name, row_no,
+                               CASE row_no % 4
+                                 WHEN 0 THEN value[1:2] || value[4:]
+                                 WHEN 1 THEN value[2:2] || value[1:1] || value[3:]
+                                 WHEN 2 THEN value || 'x' ELSE value END AS mention
+                        FROM b_cells WHERE col_no = 0) m, b_entities e)
+            WHERE edits <= CASE WHEN length(mention) <= 2 THEN 0 WHEN length(mention) <= 5 THEN 1 ELSE 2 END)
+      WHERE place <= 5""",
+    ),
     "json_texts": f"SELECT doc_id, {_json('text')} AS json FROM documents",
     "prompt_sft_train": _with([_SFT], "SELECT conv_id, turn, text FROM b_texts"),
     "runs_expanded": _with(

@@ -28,6 +28,7 @@ from tablelink.operators.examples import (
     with_text,
     word_tokens,
 )
+from tablelink.operators.fuzzy import fuzzy_entities
 from tablelink.operators.linking import Predict, answer_prompts, pending_runs, read_answers, result_rows
 from tablelink.operators.mentions import (
     allowed_keys,
@@ -36,12 +37,22 @@ from tablelink.operators.mentions import (
     mention_table,
     with_key_parts,
 )
-from tablelink.operators.retrieval import retrieve, retrieved
+from tablelink.operators.retrieval import Find, retrieve, retrieved
 from tablelink.operators.scoring import config_means, error_rows, report, run_scores, score_rows
+from tablelink.operators.search import build_index, search_entities
+from tablelink.session import stored
 from tablelink.sources.files import read_runs
 from tablelink.sources.sinks import write_groups, write_runs, write_sheet
 
 
+def search(mentions: DataFrame, entities: DataFrame, k: int) -> DataFrame:
+    """Text search with an index made for this call, below the session's shared folder."""
+    return search_entities(mentions, build_index(entities, k, keep=stored), k, keep=stored)
+
+
+FINDERS: dict[str, Find | None] = {"label": None, "search": search, "fuzzy": fuzzy_entities}
+
+
 def allowed_candidates(
     candidates: DataFrame,
     allow: DataFrame | None = None,
@@ -111,7 +122,7 @@ def build_prompts(
         with_text="row" in fields,
     )
     if "wiki" in fields:
-        context = retrieve(context, entities, config.retrieval_limit)
+        context = retrieve(context, entities, config.retrieval_limit, FINDERS[config.retrieval])
     replaced = "wiki" in fields and config.policy == "replace"
     if "cand" in fields or replaced:
         if config.candidate_limit is not None:

@@ -13,6 +13,7 @@ from tablelink.functions.prompts import TEMPLATES
 from tablelink.functions.text import json_text
 from tablelink.operators import comparing, context, examples, mentions, retrieval, scoring
 from tablelink.operators.candidates import render_candidates
+from tablelink.operators.fuzzy import fuzzy_entities
 from tablelink.operators.ordered import position
 from tablelink.plans import bindings as b
 from tablelink.plans import pipelines
@@ -219,6 +220,53 @@ def kb_lookup_topk(spark, folder):
     return retrieval.lookup_entities(_cell_mentions(spark, folder), b.entities(spark, folder))
 
 
+def searched_mentions(spark, folder):
+    """Cell values; names together with the name of their table."""
+    cells = b.cells(spark, folder)
+    both = F.concat_ws(" ", "value", "table_name")
+    mention = F.when(F.col("col_no") == 0, both).otherwise(F.col("value"))
+    return cells.select("table_name", "row_no", "col_no", mention.alias("mention"))
+
+
+@query
+def kb_search_topk(spark, folder):
+    found = pipelines.search(searched_mentions(spark, folder), b.entities(spark, folder), 5)
+    return found.select("table_name", "row_no", "col_no", "mention", "place", "entity_id", "score")
+
+
+def misspelt_mentions(spark, folder):
+    """Names without their third letter, with two letters exchanged, with a letter more,
+    or as they are."""
+    names = b.cells(spark, folder).where(F.col("col_no") == 0)
+    value, kind = F.col("value"), F.col("row_no") % 4
+
+    def part(first, n=100):
+        return F.substr(value, F.lit(first), F.lit(n))
+
+    mention = (
+        F.when(kind == 0, F.concat(part(1, 2), part(4)))
+        .when(kind == 1, F.concat(part(2, 1), part(1, 1), part(3)))
+        .when(kind == 2, F.concat(value, F.lit("x")))
+        .otherwise(value)
+    )
+    return names.select("table_name", "row_no", mention.alias("mention"))
+
+
+@query
+def kb_fuzzy_topk(spark, folder):
+    found = fuzzy_entities(misspelt_mentions(spark, folder), b.entities(spark, folder), 5)
+    return found.select("table_name", "row_no", "mention", "place", "entity_id", "edits")
+
+
+@query
+def retrieval_search(spark, folder):
+    found = retrieval.retrieve(
+        searched_mentions(spark, folder), b.entities(spark, folder), 5, pipelines.FINDERS["search"]
+    )
+    wiki = retrieval.retrieved("append").alias("wiki")
+    return found.select("table_name", "row_no", "col_no", wiki)
+
+
 def _retrieved(spark, folder, policy, guard="intended"):
     found = retrieval.retrieve(_cell_mentions(spark, folder), b.entities(spark, folder), k=3)
     other = F.concat(F.lit("candidates of "), F.coalesce("mention", F.lit("nan")))

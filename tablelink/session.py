@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.ui.enabled": "false",
@@ -27,3 +30,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **more: s
     }.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or what
+    setCheckpointDir was given. Where neither is set, a temporary one on a single
+    machine; a cluster has to name one."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablelink-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table below the shared folder and read it again: what several plans use is
+    made once, and lost executors cost no more than the tasks they ran."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

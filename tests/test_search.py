@@ -1,0 +1,154 @@
+from __future__ import annotations
+
+import math
+import random
+import re
+
+import pytest
+
+from table_values import values
+from tablelink import schemas
+from tablelink.operators.fuzzy import fuzzy_entities, near_labels
+from tablelink.operators.retrieval import retrieve
+from tablelink.operators.search import build_index, search_entities
+from tablelink.plans.pipelines import search
+from tablelink.session import stored
+
+VOCABULARY = [f"w{n}" for n in range(14)] + ["the"] * 6 + ["Ünü", "7"]
+
+
+def words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def brute(entities, mentions, k):
+    """BM25 of every mention with every entity."""
+    bags = [(e, words(" ".join(x for x in (e[1], e[2]) if x is not None))) for e in entities]
+    bags = [(e, bag) for e, bag in bags if bag and e[0] is not None]
+    n, mean = float(len(bags)), sum(len(bag) for _, bag in bags) / len(bags)
+    df = {}
+    for _, bag in bags:
+        for word in set(bag):
+            df[word] = df.get(word, 0) + 1
+
+    def impact(word, bag):
+        tf = float(bag.count(word))
+        weight = math.log((n - df[word] + 0.5) / (df[word] + 0.5) + 1.0) if tf else 0.0
+        return math.floor(weight * (tf * 2.2) / (tf + (len(bag) / mean * 0.75 + 0.25) * 1.2) * 1e6)
+
+    found = []
+    for number, mention in mentions:
+        asked = set(words(mention))
+        scored = [(-sum(impact(w, bag) for w in asked), e[4], e[0]) for e, bag in bags if asked & set(bag)]
+        found += [(number, at, i, -score) for at, (score, _, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(found)
+
+
+def random_entities(dice, n, longest):
+    return [
+        (f"Q{i}", " ".join(dice.choices(VOCABULARY, k=dice.randrange(0, 6))),
+         None if i % 3 else " ".join(dice.choices(VOCABULARY, k=dice.randrange(0, longest))), "[]", dice.randrange(40))
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("k, paired_words", [(1, 2), (3, 24), (10, 4)])
+def test_search_equals_scoring_all_pairs(spark, k, paired_words):
+    dice = random.Random(k)
+    entities = random_entities(dice, 250, 12)
+    entities += [(f"R{i}", "the w1", None, "[]", 5) for i in range(100)]  # one text, many entities
+    mentions = [(i, " ".join(dice.choices([*VOCABULARY, "zz"], k=dice.randrange(0, 7)))) for i in range(80)]
+    mentions += [(100 + i, "the W1") for i in range(40)] + [(999, None)]
+    index = build_index(spark.createDataFrame(entities, schemas.ENTITIES).repartition(3), k, paired_words, stored)
+    asked = spark.createDataFrame(mentions, "n int, mention string").repartition(2)
+    got = search_entities(asked, index, k, paired_words, stored)
+    assert got.columns == ["n", "mention", "place", "entity_id", "label", "description", "score"]
+    assert sorted((r["n"], r["place"], r["entity_id"], r["score"]) for r in got.collect()) == brute(
+        entities, mentions, k
+    )
+
+
+def test_frequent_words_do_not_meet_in_full(spark):
+    """Mentions and entities that all share a word: the lists read do not grow with both."""
+    entities = [(f"Q{i}", f"common name{i}", None, "[]", i) for i in range(400)]
+    mentions = [(i, f"common name{i}") for i in range(400)]
+    index = build_index(spark.createDataFrame(entities, schemas.ENTITIES), 2)
+    asked = spark.createDataFrame(mentions, "n int, mention string")
+    from tablelink.operators import search as s
+
+    words_of = asked.select(s.F.sort_array(s.F.array_distinct(s.search_words(s.F.col("mention")))).alias("words"))
+    listed = s._listed(words_of, index, 24)
+    near = s._best(s._scored(listed, index), 2)
+    assert listed.count() <= 400 * 4 and s._deeper(words_of, near, index, 2, 24).count() == 0
+    got = search_entities(asked, index, 2)
+    assert {(r["n"], r["entity_id"]) for r in got.collect() if r["place"] == 1} == {(i, f"Q{i}") for i in range(400)}
+
+
+def test_saved_index(spark, tmp_path):
+    entities = spark.createDataFrame(random_entities(random.Random(5), 60, 5), schemas.ENTITIES)
+    mentions = spark.createDataFrame([(1, "the w1 w2"), (2, "w3")], "n int, mention string")
+    index = build_index(entities, 4)
+    assert values(search_entities(mentions, index.save(f"{tmp_path}/index"), 4)) == values(
+        search_entities(mentions, index, 4)
+    )
+
+
+def test_nothing_to_find(spark):
+    none = spark.createDataFrame([], schemas.ENTITIES)
+    some = spark.createDataFrame([("Q1", "a b", None, "[]", 1), (None, "a", None, "[]", 1), ("Q2", None, None, "[]", 1)], schemas.ENTITIES)
+    mentions = spark.createDataFrame([(1, "a"), (2, ""), (3, None), (4, "..."), (5, "x")], "n int, mention string")
+    assert search(mentions, none, 3).collect() == []
+    assert values(search(mentions, some, 3), "n", "entity_id") == [(1, "Q1")]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_near_labels_equal_comparing_all_pairs(spark):
+    dice = random.Random(3)
+    labels = {"".join(dice.choices("abc é", k=dice.choice([0, 1, 2, 3, 4, 5, 6, 8, 26, 40]))) for _ in range(200)}
+
+    def messed(text):
+        letters = list(text)
+        for _ in range(dice.randrange(4)):
+            at = dice.randrange(len(letters) + 1)
+            letters[at : at + dice.randrange(2)] = dice.choice([[], ["a"], ["X"]])
+        return "".join(letters)
+
+    mentions = {messed(dice.choice(sorted(labels))) for _ in range(250)}
+    allowed = {m: 0 if len(m) <= 2 else 1 if len(m) <= 5 else 2 for m in mentions}
+    want = sorted((m, x, edits(m, x)) for m in mentions for x in labels if edits(m, x) <= allowed[m])
+    got = near_labels(
+        spark.createDataFrame([(m,) for m in mentions], "mention string"),
+        spark.createDataFrame([(x,) for x in labels], "label string"),
+    )
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+
+
+def test_fuzzy_entities(spark):
+    entities = spark.createDataFrame(
+        [("Q2", "Oslo ", "town", "[]", 2), ("Q1", "oslo", None, "[]", 1), ("Q3", "Osla", None, "[]", 0),
+         ("Q4", None, None, "[]", 0), ("Q5", "Trondheim", None, "[]", 0)],
+        schemas.ENTITIES,
+    )
+    mentions = spark.createDataFrame([(1, "OSLO"), (2, "trondhiem"), (3, "os"), (4, None), (1, "OSLO")], "n int, mention string")
+    got = values(fuzzy_entities(mentions, entities, 2), "n", "place", "entity_id", "edits")
+    assert got == [(1, 1, "Q1", 0), (1, 1, "Q1", 0), (1, 2, "Q2", 0), (1, 2, "Q2", 0), (2, 1, "Q5", 2)]
+    assert fuzzy_entities(mentions.limit(0), entities).collect() == []
+
+
+def test_retrieval_texts_of_other_finders(spark):
+    entities = spark.createDataFrame([("Q1", "Oslo", "town", "[]", 1)], schemas.ENTITIES)
+    mentions = spark.createDataFrame([(1, "Olso"), (2, "town of Oslo"), (3, "x"), (4, None)], "n int, mention string")
+    found = "Result Q1:\nLabel: Oslo\nDescription: town"
+    none = "No good Wikidata Search Result was found"
+    assert values(retrieve(mentions, entities, 3, fuzzy_entities), "n", "wiki_text")[0] == (1, none)
+    by_words = values(retrieve(mentions, entities, 3, search), "n", "wiki_text")
+    assert by_words == [(1, none), (2, found), (3, none), (4, None)]
