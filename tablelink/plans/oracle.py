@@ -590,3 +590,59 @@ for _policy, _written in (
 for _template in TEMPLATES:
     if _template != "sft_train":
         ORACLE[f"prompt_{_template}"] = _prompt_sql(_template)
+
+# Files: what was written comes back.
+_RUN_FILE = """SELECT 'D1' AS dataset, config, iter, table_name AS "tableName",
+             table_name || ' ' || row_no || ' 0' AS key, "group",
+             'which of "' || "group" || '"?' AS prompt, output, gold, pred
+      FROM b_scored JOIN b_rows ON p_partkey = "group\""""
+_NUMBERED_CELLS = """SELECT CAST(regexp_extract(table_name, '[0-9]+') AS INTEGER) AS t, row_no, col_no,
+             ['p_name', 'p_type', 'p_size'][col_no + 1] AS col_name,
+             CASE col_no WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE CAST(p_size AS VARCHAR) END AS value
+      FROM b_rows CROSS JOIN (VALUES (0), (1), (2)) AS c(col_no)"""
+
+ORACLE |= {
+    "link_from_store": _run_sql(
+        "table", "link_cand_wiki", """(CASE WHEN "group" % 2 = 0 THEN 'Known: ' ELSE 'It is ' END)"""
+    ),
+    "link_logged": _run_sql("table", "link_cand_wiki", "'It is '"),
+    "candidates_from_files": _with(
+        _BASE,
+        """SELECT "tableName", key, "group", id, name, description, types, target,
+             row_number() OVER (ORDER BY cand_pos, "group") AS cand_pos FROM b_candidates""",
+    ),
+    "meta_from_files": """SELECT ' Brand#' || n_nationkey || ' ' AS "tableName",
+             CASE WHEN n_nationkey <> 3 THEN n_name END AS title,
+             'region ' || n_regionkey AS summary, row_number() OVER (ORDER BY n_nationkey) AS pos
+      FROM nation""",
+    "dataset_from_catalogue": _with(
+        [*_BASE, _META],
+        """SELECT "tableName", n_candidates, title
+      FROM (SELECT "tableName", count(*) AS n_candidates FROM b_candidates GROUP BY 1)
+      LEFT JOIN b_meta ON table_name = "tableName\"""",
+    ),
+    "table_list_from_files": _with([_ALLOW_TABLES], 'SELECT DISTINCT "tableName" FROM b_allow_tables'),
+    "examples_from_files": _with([_SFT], "SELECT question, answer FROM b_sft"),
+    "wide_table_from_file": """SELECT 'parts' AS table_name, row_no, col_no,
+             ['p_partkey', 'p_name', 'p_brand', 'p_size'][col_no + 1] AS col_name,
+             CASE col_no WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN p_name WHEN 2 THEN p_brand
+                  ELSE CAST(p_size AS VARCHAR) END AS value
+      FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS row_no FROM part)
+      CROSS JOIN (VALUES (0), (1), (2), (3)) AS c(col_no)""",
+    "tables_from_files": _with([_ROWS], _NUMBERED_CELLS),
+    "named_tables_from_files": _with(
+        [_ROWS], f"{_NUMBERED_CELLS} WHERE table_name IN (SELECT table_name FROM b_rows WHERE p_size = 50)"
+    ),
+    "run_from_file": _with(_RUN_CTES, f"{_RUN_FILE} WHERE config = 'table' AND iter = 1"),
+    "run_file_order": _with(
+        _RUN_CTES,
+        f"""SELECT row_number() OVER (ORDER BY "group") AS pos, "group"
+      FROM ({_RUN_FILE} WHERE config = 'table' AND iter = 1)""",
+    ),
+    "runs_from_folders": _with(
+        _RUN_CTES, f'SELECT dataset, config, iter, "group", prompt, output, gold, pred FROM ({_RUN_FILE})'
+    ),
+    "scored_from_files": ORACLE["score_rows"],
+    "sheet_from_file": ORACLE["compare_three"],
+    "groups_from_file": f"""SELECT row_number() OVER (ORDER BY "group") AS pos, "group" FROM ({ORACLE['hard_cases']})""",
+}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -10,8 +11,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelink import schemas
 from tablelink.config import LinkConfig
 from tablelink.functions.prompts import render, template_fields
+from tablelink.operators.answer_store import ANSWERS, not_stored, prompt_digest, with_stored_answers
+from tablelink.operators.calls import Calls
 from tablelink.operators.candidates import render_candidates
 from tablelink.operators.comparing import compare_runs, wrong_groups, wrong_mentions
 from tablelink.operators.context import (
@@ -37,10 +41,11 @@ from tablelink.operators.mentions import (
     mention_table,
     with_key_parts,
 )
+from tablelink.operators.progress import BITMAPS, finished_bitmaps, merged_bitmaps, pending_by_bitmaps
 from tablelink.operators.retrieval import Find, retrieve, retrieved
 from tablelink.operators.scoring import config_means, error_rows, report, run_scores, score_rows
 from tablelink.operators.search import build_index, search_entities
-from tablelink.session import stored
+from tablelink.session import shared_folder, stored
 from tablelink.sources.files import read_runs
 from tablelink.sources.sinks import write_groups, write_runs, write_sheet
 
@@ -135,17 +140,70 @@ def build_prompts(
     return context.select("group", "tableName", "key", "gold", prompt.alias("prompt"))
 
 
-def finished_runs(spark: SparkSession, path: str, config: LinkConfig) -> DataFrame | None:
-    """(iter, group) of the results that are already stored, if there are any."""
+def _read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     try:
-        stored = read_runs(spark, path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         return None
-    return stored.where(
-        (F.col("dataset") == config.dataset) & (F.col("config") == config.config)
-    ).select("iter", "group")
+
+
+class ProgressLog:
+    """Which mentions of a results folder are finished, in a folder beside it.
+
+    A batch is noted before it starts, and with the bitmaps of its mentions when its
+    results are written. So a run knows what is finished from the log alone. Only where a
+    batch was started and not ended (its results may be there or not), or results are
+    there without a log, are the results themselves read, once, to set the log right.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.results = spark, path
+        self.path = f"{path.rstrip('/')}-progress"
+        self.schema = f"token STRING, ended BOOLEAN, {BITMAPS}"
+
+    def _append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path)
+
+    def begin(self) -> str:
+        token = uuid.uuid4().hex
+        blank = (token, False, None, None, None, None, None)
+        self._append(self.spark.createDataFrame([blank], self.schema).coalesce(1))
+        return token
+
+    def end(self, token: str, finished: DataFrame) -> None:
+        """Note the rows (dataset, config, iter, group) of a batch as finished."""
+        bitmaps = finished_bitmaps(finished)
+        blank = self.spark.createDataFrame([(token, True, None, None, None, None, None)], self.schema)
+        named = bitmaps.select(F.lit(token).alias("token"), F.lit(True).alias("ended"), *bitmaps.columns)
+        self._append(blank.unionByName(named).coalesce(1))
+
+    def set_right(self) -> bool:
+        """Read the results if the log does not tell about them; whether it did."""
+        log = _read_if_there(self.spark, self.path, self.schema)
+        open_tokens = [None]
+        if log is not None:
+            states = log.groupBy("token").agg(F.max("ended").alias("ended"))
+            open_tokens = [row["token"] for row in states.where(~F.col("ended")).collect()]
+            if not open_tokens:
+                return False
+        results = _read_if_there(self.spark, self.results, schemas.RUNS)
+        if results is None and log is None:
+            return False
+        nothing = self.spark.createDataFrame([], schemas.RUNS)
+        for number, token in enumerate(open_tokens):
+            found = results if number == 0 and results is not None else nothing
+            self.end(token or uuid.uuid4().hex, found.select("dataset", "config", "iter", "group"))
+        return True
+
+    def bitmaps(self, config: LinkConfig) -> DataFrame:
+        """What is finished of a dataset and configuration, as it is now."""
+        log = _read_if_there(self.spark, self.path, self.schema)
+        if log is None:
+            return self.spark.createDataFrame([], BITMAPS)
+        known = (F.col("dataset") == config.dataset) & (F.col("config") == config.config)
+        return stored(merged_bitmaps(log.where(known).select("dataset", "config", "iter", "bucket", "bits")))
 
 
 def link(
@@ -168,6 +226,43 @@ def link(
     return result_rows(answers, config.dataset, config.config)
 
 
+def store_results(
+    prompts: DataFrame,
+    config: LinkConfig,
+    make_predict: Callable[..., Predict],
+    path: str,
+    *,
+    finished: DataFrame,
+    options: dict[str, Any] | None = None,
+    partitions: int | None = None,
+    calls: Calls | None = None,
+) -> None:
+    """Answer the prompts of which the bitmaps `finished` have no bit, append the results
+    to `path` and note them in its log.
+
+    With `calls`, mentions whose prompt failed have no result and stay unfinished; they
+    are appended to the folder `path` + "-failed", with the error. The answers are then
+    stored once before they are told apart, so no prompt is put to the model twice.
+    """
+    log = ProgressLog(prompts.sparkSession, path)
+    token = log.begin()
+    pending = pending_by_bitmaps(prompts, finished, config.runs)
+    answers = answer_prompts(pending, make_predict, options, partitions, calls)
+    done = pending
+    if calls is not None:
+        answers = stored(answers)
+        failed = answers.where(F.col("error").isNotNull()).drop("output")
+        named = failed.select(F.lit(config.dataset).alias("dataset"), F.lit(config.config).alias("config"), "*")
+        if not named.isEmpty():
+            named.write.mode("append").parquet(f"{path.rstrip('/')}-failed")
+        answers = done = answers.where(F.col("error").isNull()).drop("error")
+    write_runs(result_rows(read_answers(answers, config.marker), config.dataset, config.config), path)
+    log.end(
+        token,
+        done.select(F.lit(config.dataset).alias("dataset"), F.lit(config.config).alias("config"), "iter", "group"),
+    )
+
+
 def run_linking(
     prompts: DataFrame,
     config: LinkConfig,
@@ -180,19 +275,19 @@ def run_linking(
     work: str | None = None,
     options: dict[str, Any] | None = None,
     partitions: int | None = None,
+    calls: Calls | None = None,
 ) -> list[float]:
     """Answer what is not stored yet and append it; the seconds of each batch.
 
     A stopped call leaves its finished batches, and the next call makes the rest. The
     prompts are rendered once into `work` (unless named, a new folder below the
-    session's shared one, or beside `path` if there is none) and read per batch. A
-    batch has about `batch_prompts` prompts and a task about `task_prompts` calls,
-    whatever the input size, unless the numbers of batches or partitions are given.
+    session's shared one) and read per batch. What is finished is read from the log of
+    `path` once, at the start; no batch reads results. A batch has about `batch_prompts`
+    prompts and a task about `task_prompts` calls, whatever the input size, unless the
+    numbers of batches or partitions are given. `calls` is as in `store_results`.
     """
     spark = prompts.sparkSession
-    name = f"prompts-{config.dataset}-{config.config}-{time.time_ns()}"
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    work = work or (f"{shared}/{name}" if shared else f"{path.rstrip('/')}-{name}")
+    work = work or f"{shared_folder(spark)}/prompts-{config.dataset}-{config.config}-{time.time_ns()}"
     prompts.write.mode("error").parquet(f"{work}/all")
     rendered = spark.read.schema(prompts.schema).parquet(f"{work}/all")
     n = rendered.count()
@@ -205,22 +300,57 @@ def run_linking(
     spread.write.mode("error").partitionBy("batch").parquet(f"{work}/batches")
     batched = spark.read.schema(batched.schema).parquet(f"{work}/batches")
     partitions = partitions or max(1, -(-n * config.runs // (batches * task_prompts)))
+    log = ProgressLog(spark, path)
+    log.set_right()
+    # Batches have different mentions, so what one finishes does not matter to the next.
+    finished = log.bitmaps(config)
     seconds = []
     for batch in range(batches):
         started = time.monotonic()
-        results = link(
+        store_results(
             batched.where(F.col("batch") == batch).drop("batch"),
             config,
             make_predict,
-            finished=finished_runs(spark, path, config),
+            path,
+            finished=finished,
             options=options,
             partitions=partitions,
+            calls=calls,
         )
-        write_runs(results, path)
         seconds.append(time.monotonic() - started)
     return seconds
 
 
+def link_from_store(
+    prompts: DataFrame,
+    config: LinkConfig,
+    make_predict: Callable[..., Predict],
+    store: str,
+    model: str,
+    *,
+    options: dict[str, Any] | None = None,
+    partitions: int | None = None,
+    calls: Calls | None = None,
+) -> DataFrame:
+    """Result rows of all runs, with the answers of a stored table where it has them.
+
+    store   folder of answers by what was asked: model, options, run and prompt. What it
+            lacks is asked, equal prompts of a run once, and appended to it first.
+    A prompt that fails (with `calls`) is not stored and has no result row.
+    """
+    spark = prompts.sparkSession
+    digest = prompt_digest(F.col("prompt"), model, options, F.col("iter"))
+    asked = stored(expand_runs(prompts, config.runs).withColumn("digest", digest))
+    known = _read_if_there(spark, store, ANSWERS)
+    missing = not_stored(asked, spark.createDataFrame([], ANSWERS) if known is None else known)
+    answered = answer_prompts(missing, make_predict, options, partitions, calls)
+    if calls is not None:
+        answered = answered.where(F.col("error").isNull())
+    answered.select("digest", "output", F.current_timestamp().alias("answered_at")).write.mode("append").parquet(store)
+    answers = with_stored_answers(asked, spark.read.schema(ANSWERS).parquet(store))
+    return result_rows(read_answers(answers, config.marker), config.dataset, config.config)
+
+
 def score_runs(
     runs: DataFrame, numbers: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

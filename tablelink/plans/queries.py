@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelink import schemas
 from tablelink.config import LinkConfig, fine_tuned_config
 from tablelink.functions.answers import after_marker
 from tablelink.functions.prompts import TEMPLATES
 from tablelink.functions.text import json_text
 from tablelink.operators import comparing, context, examples, mentions, retrieval, scoring
+from tablelink.operators.answer_store import prompt_digest
+from tablelink.operators.calls import Calls
 from tablelink.operators.candidates import render_candidates
 from tablelink.operators.fuzzy import fuzzy_entities
 from tablelink.operators.ordered import position
 from tablelink.plans import bindings as b
 from tablelink.plans import pipelines
+from tablelink.session import shared_folder
+from tablelink.sources import catalogue, files, sinks
 from tablelink.sources.files import allow_list_rows, parse_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,6 +406,34 @@ def link_resume(spark, folder):
     return _results(first.unionByName(rest))
 
 
+@query
+def link_from_store(spark, folder):
+    """Every second mention was answered before; its answers come from the store."""
+    prompts = _prompts(spark, folder, RUN_CONFIG)
+    options, store = {"before": "It is "}, f"{_new_folder(spark)}/answers"
+    before = context.expand_runs(prompts.where(F.col("group") % 2 == 0), RUN_CONFIG.runs)
+    known = F.concat(F.lit("Known: <[ID] "), F.regexp_extract("prompt", "Q[0-9]+", 0), F.lit(">"))
+    before.select(
+        prompt_digest(F.col("prompt"), "first id", options, F.col("iter")).alias("digest"),
+        known.alias("output"), F.current_timestamp().alias("answered_at"),
+    ).write.parquet(store)
+    linked = pipelines.link_from_store(
+        prompts, RUN_CONFIG, first_id_answers, store, "first id", options=options, calls=Calls(in_flight=2)
+    )
+    return _results(linked)
+
+
+@query
+def link_logged(spark, folder):
+    """A run over some tables, then over all, into one folder with its log."""
+    prompts = _prompts(spark, folder, RUN_CONFIG)
+    path, options = f"{_new_folder(spark)}/runs", {"before": "It is "}
+    some = mentions.allowed_tables(prompts, b.allow_tables(spark, folder))
+    pipelines.run_linking(some, RUN_CONFIG, first_id_answers, path, options=options)
+    pipelines.run_linking(prompts, RUN_CONFIG, first_id_answers, path, options=options, calls=Calls())
+    return _results(files.read_runs(spark, path))
+
+
 @query
 def parse_answer(spark, folder):
     return b.answered_runs(spark, folder).select("group", "iter", "output", "pred")
@@ -590,3 +624,164 @@ def sft_prepared(spark, folder):
         F.array_join("input_ids", " ").alias("input_ids"),
         (F.col("labels") == F.col("input_ids")).alias("same_labels"),
     )
+
+
+# --- files ----------------------------------------------------------------
+# Inputs are written as files from the driver's tables and read again.
+
+
+def _new_folder(spark) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _write_csv(df, path):
+    df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(path)
+
+
+def _written_candidates(spark, folder, path):
+    rows = b.candidates(spark, folder).orderBy("cand_pos", "group")
+    _write_csv(rows.select("tableName", "key", "group", "id", "name", "description", "types", "target"), path)
+
+
+@query
+def candidates_from_files(spark, folder):
+    path = _new_folder(spark)
+    _written_candidates(spark, folder, path)
+    return files.read_candidates(spark, path, multi_line=False)
+
+
+@query
+def meta_from_files(spark, folder):
+    path = _new_folder(spark)
+    _write_csv(b.meta(spark, folder).orderBy("pos").drop("pos"), path)
+    return files.read_table_meta(spark, path, multi_line=False)
+
+
+@query
+def dataset_from_catalogue(spark, folder):
+    """Candidates per table and titles of the dataset that a catalogue names."""
+    path = _new_folder(spark)
+    _written_candidates(spark, folder, f"{path}/candidates.csv")
+    _write_csv(b.meta(spark, folder).orderBy("pos").drop("pos"), f"{path}/titles.csv")
+    known = catalogue.catalogue(spark, [("D1", "candidates.csv", "titles.csv"), ("D2", "none.csv", "none.csv")])
+    rows, titles = catalogue.read_dataset(spark, known, "D1", path, multi_line=False)
+    counts = rows.groupBy("tableName").agg(F.count("*").alias("n_candidates"))
+    return counts.join(titles.withColumn("tableName", F.trim("tableName")), "tableName", "left").select(
+        "tableName", "n_candidates", "title"
+    )
+
+
+@query
+def table_list_from_files(spark, folder):
+    path = _new_folder(spark)
+    _write_csv(b.allow_tables(spark, folder), path)
+    return files.read_table_list(spark, path)
+
+
+@query
+def examples_from_files(spark, folder):
+    path = _new_folder(spark)
+    b.examples(spark, folder).select("question", "answer").write.json(path)
+    return files.read_examples(spark, path)
+
+
+@query
+def wide_table_from_file(spark, folder):
+    """One CSV file with all parts, read in splits."""
+    path = _new_folder(spark)
+    part = b.read(spark, folder, "part").orderBy("p_partkey").select("p_partkey", "p_name", "p_brand", "p_size")
+    _write_csv(part.coalesce(1), path)
+    rows = files.read_wide_table(spark, path, "parts")
+    return context.cells_of_rows(rows)
+
+
+def _table_files(spark, folder, path):
+    """A CSV file per table, in a folder of its number."""
+    rows = b.rows(spark, folder).select(
+        F.regexp_extract("table_name", "[0-9]+", 0).cast("int").alias("t"), "row_no", "p_name", "p_type", "p_size"
+    )
+    _in_order = rows.repartition("t").sortWithinPartitions("t", "row_no").drop("row_no")
+    _in_order.write.option("header", True).partitionBy("t").csv(path)
+
+
+def _numbered_cells(rows):
+    number = F.regexp_extract("table_name", "t=([0-9]+)/", 1).cast("int")
+    return context.cells_of_rows(rows).select(number.alias("t"), "row_no", "col_no", "col_name", "value")
+
+
+@query
+def tables_from_files(spark, folder):
+    path = _new_folder(spark)
+    _table_files(spark, folder, path)
+    return _numbered_cells(files.read_tables(spark, path, folders=True))
+
+
+@query
+def named_tables_from_files(spark, folder):
+    """Only the files of tables with a part of the largest size are opened."""
+    path = _new_folder(spark)
+    _table_files(spark, folder, path)
+    largest = b.rows(spark, folder).where(F.col("p_size") == 50)
+    numbers = largest.select(F.regexp_extract("table_name", "[0-9]+", 0).alias("t"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    name = F.regexp_extract("path", r"([^/]+/[^/]+)\.csv$", 1)
+    names = listed.select(name.alias("table_name"), F.regexp_extract("path", "/t=([0-9]+)/", 1).alias("t"))
+    wanted = names.join(numbers, "t").select("table_name")
+    return _numbered_cells(files.read_named_tables(spark, path, wanted, folders=True))
+
+
+def _run_rows(spark, folder, configs=b.CONFIGS[:1]):
+    named = b.places(spark, folder).select("group", F.col("table_name").alias("tableName"), "key")
+    prompt = F.concat(F.lit('which of "'), F.col("group").cast("string"), F.lit('"?')).alias("prompt")
+    return b.answered_runs(spark, folder, configs).join(named, "group").select(
+        "dataset", "config", "iter", "tableName", "key", "group", prompt, "output", "gold", "pred"
+    )
+
+
+@query
+def run_from_file(spark, folder):
+    """One run as a CSV file in group order."""
+    path = _new_folder(spark)
+    sinks.write_run_file(_run_rows(spark, folder).where(F.col("iter") == 1), path)
+    return files.read_run_file(spark, path, "D1", "table", 1, multi_line=False)
+
+
+@query
+def run_file_order(spark, folder):
+    path = _new_folder(spark)
+    sinks.write_run_file(_run_rows(spark, folder).where(F.col("iter") == 1), path)
+    lines = spark.read.schema(schemas.RUN_FILE).option("header", True).option("escape", '"').csv(path)
+    return files.numbered_rows(lines, "pos", per_file=False).select("pos", "group")
+
+
+@query
+def runs_from_folders(spark, folder):
+    path = _new_folder(spark)
+    for config in b.CONFIGS:
+        sinks.write_runs(_run_rows(spark, folder, (config,)), path)
+    return files.read_runs(spark, path).select("dataset", "config", "iter", "group", "prompt", "output", "gold", "pred")
+
+
+@query
+def scored_from_files(spark, folder):
+    path = _new_folder(spark)
+    sinks.write_scored(_scored(spark, folder), path)
+    return spark.read.parquet(path).select("group", "iter", "gold", "pred", "result")
+
+
+@query
+def sheet_from_file(spark, folder):
+    path = f"{_new_folder(spark)}/sheet"
+    columns = pipelines.compare(b.answered_runs(spark, folder), (0, 1, 2), path).schema
+    return spark.read.schema(columns).option("header", True).option("escape", '"').csv(path).drop("result")
+
+
+@query
+def groups_from_file(spark, folder):
+    """Group list, one per line, with the number of its line."""
+    path = f"{_new_folder(spark)}/groups"
+    pipelines.mine_hard_cases(b.answered_runs(spark, folder, b.CONFIGS), path)
+    lines = files.numbered_rows(spark.read.text(path), "pos", per_file=False)
+    return lines.select("pos", F.col("value").cast("bigint").alias("group"))

@@ -313,6 +313,40 @@ def read_tables(
     return tables.unionByName(_read_lines(spark, large, folders)) if large else tables
 
 
+def read_named_tables(
+    spark: SparkSession,
+    path: str,
+    names: DataFrame,
+    whole_bytes: int = WHOLE_FILE_BYTES,
+    folders: bool = False,
+    paths_per_scan: int = 20_000,
+) -> DataFrame:
+    """The tables that `names` (column table_name, repeats allowed) names, as
+    `read_tables` gives them. Other files are listed but never opened.
+
+    Files are matched by a join of the listing, without content, with the different
+    names. The paths that are left come to the driver `paths_per_scan` at a time, each
+    time for one scan in which Spark packs small files by their bytes. The driver lists
+    every file below `path` for any scan, so this adds no more than it holds anyway.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    wanted = (
+        listed.select("path", "length", _named(F.col("path"), folders).alias("table_name"))
+        .join(names.select("table_name").distinct(), "table_name", "left_semi")
+        .select("path", F.col("length") <= whole_bytes)
+    )
+    parts: list[DataFrame] = []
+    found = wanted.toLocalIterator()
+    while chunk := list(islice(found, paths_per_scan)):
+        small, large = ([row[0] for row in chunk if row[1] == kind] for kind in (True, False))
+        if small:
+            files = spark.read.format("binaryFile").load(small)
+            parts.append(parse_tables(files.select(_named(F.col("path"), folders).alias("table_name"), "content")))
+        if large:
+            parts.append(_read_lines(spark, large, folders))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.TABLE_ROWS)
+
+
 def _read_lines(
     spark: SparkSession, paths: list[str], folders: bool = False, name: str | None = None
 ) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tablelink.config import LinkConfig
+from tablelink.operators.calls import Calls
 from tablelink.operators.linking import Predict
-from tablelink.plans.pipelines import finished_runs, link
-from tablelink.sources.sinks import write_runs
+from tablelink.plans.pipelines import ProgressLog, store_results
 
 PROMPTS = "`group` BIGINT, tableName STRING, key STRING, gold STRING, prompt STRING"
 
@@ -26,6 +26,7 @@ def follow_prompts(
     *,
     files_per_batch: int = 1000,
     options: dict[str, Any] | None = None,
+    calls: Calls | None = None,
 ) -> StreamingQuery:
     """Answer the prompt files that are there and not answered yet, then stop.
 
@@ -40,8 +41,11 @@ def follow_prompts(
     )
 
     def store(batch: DataFrame, _: int) -> None:
-        done = finished_runs(batch.sparkSession, path, config)
-        write_runs(link(batch, config, make_predict, finished=done, options=options), path)
+        log = ProgressLog(batch.sparkSession, path)
+        log.set_right()
+        store_results(
+            batch, config, make_predict, path, finished=log.bitmaps(config), options=options, calls=calls
+        )
 
     return (
         source.writeStream.foreachBatch(store)

@@ -278,3 +278,18 @@ def test_bucketed_tables_are_not_shuffled(spark, tiny):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_named_tables_open_no_other_file(spark, tmp_path):
+    """Files nobody names are not parsed (a broken one does no harm), large ones are split."""
+    for name, text in (("a", "x,y\n1,2\n3,\n"), ("b", 'x\n"line\nbreak"\n'), ("c", 'x\n"never closed')):
+        (tmp_path / f"{name}.csv").write_text(text)
+    names = spark.createDataFrame([("a",), ("b",), ("a",), ("none",)], "table_name string")
+    for whole_bytes, per_scan in ((1000, 100), (1000, 1), (12, 1)):
+        got = files.read_named_tables(spark, str(tmp_path), names, whole_bytes, paths_per_scan=per_scan)
+        assert {f.rsplit("/", 1)[1] for f in got.inputFiles()} == {"a.csv", "b.csv"}
+        assert values(got, "table_name", "row_no", "cells") == [
+            ("a", 1, ["1", "2"]), ("a", 2, ["3", None]), ("b", 1, ["line\nbreak"]),
+        ]
+    nothing = files.read_named_tables(spark, str(tmp_path), names.limit(0))
+    assert nothing.collect() == [] and nothing.columns == ["table_name", "row_no", "col_names", "cells"]
