@@ -24,6 +24,8 @@ class LinkConfig:
     guard             how retrieved text is checked, one of GUARDS
     runs              repeats per mention
     candidate_limit   candidates kept per mention; None keeps the whole list
+    prompt_budget     tokens of a prompt; of its candidates, the first ones that fit are
+                      kept. None keeps them all
     retrieval         how entities are found, one of RETRIEVALS: by equal label, by the
                       words of label and description, or by a label a few edits away
     retrieval_limit   entities kept per looked-up mention
@@ -38,6 +40,7 @@ class LinkConfig:
     guard: str = "intended"
     runs: int = 3
     candidate_limit: int | None = None
+    prompt_budget: int | None = None
     retrieval: str = "label"
     retrieval_limit: int = 20
     marker: str | None = None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablelink.functions.formats import EMPTY_TYPES, NO_TYPES, PIPE_HEADER
 from tablelink.functions.text import shown, single_quoted
-from tablelink.operators.ordered import joined_text
+from tablelink.operators.ordered import joined_pieces, joined_text
 
 FIELDS = ("id", "name", "description", "types")
 
@@ -38,3 +38,14 @@ def render_candidates(candidates: DataFrame, layout: str = "tagged") -> DataFram
     if layout == "pipe":
         texts = texts.withColumn("cand", F.concat(F.lit(PIPE_HEADER), F.col("cand")))
     return texts
+
+
+def candidate_pieces(candidates: DataFrame, piece_chars: int, layout: str = "tagged") -> DataFrame:
+    """The text of `render_candidates`, without a header, in pieces of about `piece_chars`
+    characters: group, piece, start, cand. For mentions whose text is too long for one
+    value or one task."""
+    rows = candidates.where(F.col("group").isNotNull()).select("group", "cand_pos", *FIELDS)
+    return joined_pieces(
+        rows, candidate_text(layout), keys=["group"], order="cand_pos", out="cand", piece_chars=piece_chars,
+        order_bits=48,
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablelink.functions.formats import NO_METADATA
 from tablelink.functions.text import row_text, strip
 from tablelink.operators.joins import many_to_one
-from tablelink.operators.ordered import running_total
+from tablelink.operators.ordered import order_bits_of, running_total
 
 _PLACE = ["table_name", "row_no"]
 
@@ -121,16 +121,22 @@ def missing_metadata(df: DataFrame) -> DataFrame:
     return df.groupBy("iter").agg(F.count_if(~F.col("has_meta")).alias("missing"))
 
 
-def missing_metadata_running(mentions: DataFrame, runs: int) -> DataFrame:
+def missing_metadata_running(
+    mentions: DataFrame, runs: int, order_bits: int | None = None
+) -> DataFrame:
     """The running count of missing metadata in group order, for every run.
 
-    The count does not depend on the run, so it is made once and repeated.
+    The count does not depend on the run, so it is made once and repeated. The bits of
+    the group numbers are looked up unless they are given.
     """
+    if order_bits is None:
+        order_bits = order_bits_of(mentions, "group")
     counted = running_total(
         mentions.select("group", "has_meta"),
         (~F.col("has_meta")).cast("bigint"),
         keys=[],
         order="group",
         out="missing_so_far",
+        order_bits=order_bits,
     )
     return expand_runs(counted, runs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelink.functions.answers import entity_id
@@ -64,3 +64,24 @@ def bounded_candidates(candidates: DataFrame, k: int, *order: str) -> DataFrame:
     """The first `k` candidates of each mention in the given order, renumbered."""
     kept = first_k(candidates, k, keys=["group"], order=order, out="_place")
     return kept.withColumn("cand_pos", F.col("_place").cast("bigint")).drop("_place")
+
+
+def budgeted_candidates(
+    candidates: DataFrame, allowance: DataFrame, text: Column, cost: Column, budget: int
+) -> DataFrame:
+    """The first candidates of each mention whose costs add up to no more than it may
+    spend; null groups are dropped.
+
+    allowance  one row per mention: group, allowed
+    text       text of a candidate, which orders equal places
+    cost       what a candidate costs, at least 1
+    budget     the most that any mention may spend. So only its first `budget` candidates
+               can be kept: the others go before the shuffle, on each input split, and no
+               window holds more.
+    """
+    rows = candidates.where(F.col("group").isNotNull()).withColumn("_text", text)
+    order = ["cand_pos", "_text"]
+    near = first_k(rows, max(budget, 1), keys=["group"], order=order, out="_at")
+    spent = F.sum(F.greatest(cost, F.lit(1))).over(Window.partitionBy("group").orderBy("_at"))
+    counted = many_to_one(near.withColumn("_spent", spent), allowance.select("group", "allowed"), ["group"], "inner")
+    return counted.where(F.col("_spent") <= F.col("allowed")).select(*candidates.columns)

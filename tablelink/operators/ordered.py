@@ -19,6 +19,13 @@ from tablelink.functions.text import joined_in_order
 RUN_BITS = 16
 
 
+def order_bits_of(df: DataFrame, order: str) -> int:
+    """Bits that `running_total` needs for the order values there are, from one small
+    aggregate over that column."""
+    least, most = df.agg(F.min(order), F.max(order)).first()
+    return max(int(most or 0), -1 - int(least or 0), 0).bit_length() + 1
+
+
 def running_total(
     df: DataFrame,
     value: Column,
@@ -103,3 +110,33 @@ def joined_text(
     """
     rows = F.collect_list(F.struct(F.col(order).alias("at"), text.alias("text")))
     return df.groupBy(*keys).agg(joined_in_order(rows).alias(out))
+
+
+def joined_pieces(
+    df: DataFrame,
+    text: Column,
+    *,
+    keys: Sequence[str],
+    order: str,
+    out: str,
+    piece_chars: int,
+    run_bits: int = RUN_BITS,
+    order_bits: int = 64,
+) -> DataFrame:
+    """The text that `joined_text` gives, of any length: one row per group and piece
+    (keys, piece from 0, start in characters, `out`).
+
+    Running lengths say where each row's text begins; rows that begin in the same
+    `piece_chars` characters make a piece, so it is longer than that by one row's text at
+    most, and the pieces of a group are put together by many tasks. A piece in which no
+    text begins is missing. Rows of equal place are one text. `run_bits` and `order_bits`
+    are as in `running_total`.
+    """
+    each = joined_text(df.withColumn("_order", F.col(order)), text, keys=[*keys, "_order"], order="_order", out="_text")
+    length = F.char_length("_text").cast("bigint")
+    placed = running_total(
+        each, length, keys=keys, order="_order", out="_end", run_bits=run_bits, order_bits=order_bits
+    ).withColumn("_start", F.col("_end") - length)
+    piece = F.floor(F.col("_start") / piece_chars).alias("piece")
+    rows = F.collect_list(F.struct(F.col("_order").alias("at"), F.col("_text").alias("text")))
+    return placed.groupBy(*keys, piece).agg(F.min("_start").alias("start"), joined_in_order(rows).alias(out))

@@ -25,6 +25,15 @@ def merged_bitmaps(bitmaps: DataFrame) -> DataFrame:
     return bitmaps.groupBy("dataset", "config", "iter", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
+def unfinished(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The rows (with dataset, config, iter, group) whose bit is not set in the merged
+    bitmaps of any number of runs."""
+    keys = ["dataset", "config", "iter", "_bucket"]
+    known = bitmaps.withColumnRenamed("bucket", "_bucket").withColumnRenamed("bits", "_bits")
+    placed = many_to_one(rows.withColumn("_bucket", F.bitmap_bucket_number("group")), known, keys)
+    return placed.where(~_is_set(F.col("_bits"), F.bitmap_bit_position("group"))).drop("_bucket", "_bits")
+
+
 def _is_set(bits: Column, at: Column) -> Column:
     """Whether the bit at a place is set; not in a missing bitmap."""
     byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10)

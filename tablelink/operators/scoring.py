@@ -49,7 +49,10 @@ def run_accuracy(scored: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame
     )
 
 
-def _class_counts(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+COUNTS = ("support", "predicted", "hits", "real_support", "real_predicted", "real_hits")
+
+
+def class_counts(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Support, predictions and hits of every class, with and without NIL rows.
 
     A correct row counts for one class, a wrong row for two.
@@ -72,7 +75,7 @@ def _class_counts(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.coalesce(gold != NIL_GOLD, F.lit(True)).cast("int").alias("_real"),
         F.inline(counts),
     )
-    names = ("support", "predicted", "hits")
+    names = COUNTS[:3]
     return rows.groupBy(*keys, "entity").agg(
         *(F.sum(name).alias(name) for name in names),
         *(F.sum(F.col(name) * F.col("_real")).alias(f"real_{name}") for name in names),
@@ -85,21 +88,22 @@ def run_scores(scored: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     F1 is weighted by support over all classes seen as gold or prediction. One
     shuffle by class serves all three scores.
     """
+    return scores_of_counts(class_counts(scored, keys), keys)
+
+
+def scores_of_counts(counts: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """The scores of `run_scores` from the counts of every class."""
 
     def weighted(prefix: str) -> Column:
         support = F.col(f"{prefix}support")
         f1 = 2 * F.col(f"{prefix}hits") / F.nullif(support + F.col(f"{prefix}predicted"), F.lit(0))
         return F.sum(support * f1) / F.nullif(F.sum(support), F.lit(0))
 
-    return (
-        _class_counts(scored, keys)
-        .groupBy(*keys)
-        .agg(
-            F.sum("support").alias("n"),
-            (F.sum("hits") / F.sum("support")).alias("accuracy"),
-            weighted("").alias("f1_all"),
-            weighted("real_").alias("f1_non_nil"),
-        )
+    return counts.groupBy(*keys).agg(
+        F.sum("support").alias("n"),
+        (F.sum("hits") / F.sum("support")).alias("accuracy"),
+        weighted("").alias("f1_all"),
+        weighted("real_").alias("f1_non_nil"),
     )
 
 

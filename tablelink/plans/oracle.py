@@ -646,3 +646,36 @@ ORACLE |= {
     "sheet_from_file": ORACLE["compare_three"],
     "groups_from_file": f"""SELECT row_number() OVER (ORDER BY "group") AS pos, "group" FROM ({ORACLE['hard_cases']})""",
 }
+
+ORACLE |= {
+    "candidate_text_pieces": _with(
+        _BASE,
+        f"""SELECT "group", piece, min(before) AS start, string_agg(text, '' ORDER BY cand_pos, text) AS cand
+      FROM (SELECT "group", cand_pos, text, CAST(before AS BIGINT) AS before, CAST(before // 5000 AS BIGINT) AS piece
+            FROM (SELECT *, sum(length) OVER (PARTITION BY "group" ORDER BY cand_pos) - sum(length)
+                       OVER (PARTITION BY "group", cand_pos) AS before
+                  FROM (SELECT "group", cand_pos, text, length(text) AS length
+                        FROM (SELECT "group", cand_pos, {_TAGGED} AS text FROM b_candidates))))
+      GROUP BY "group", piece""",
+    ),
+    "prompt_budgeted": _with(
+        [*_ALL, _context()],
+        f"""SELECT "group", key, gold, {_prompt('title_cand_wiki')} AS prompt
+      FROM (SELECT c.* EXCLUDE (cand), coalesce(f.cand, '') AS cand
+            FROM b_context c LEFT JOIN (
+              SELECT "group", string_agg(text, '' ORDER BY cand_pos, text) AS cand
+              FROM (SELECT *, sum(words) OVER (PARTITION BY "group" ORDER BY cand_pos, text
+                                               ROWS UNBOUNDED PRECEDING) AS spent
+                    FROM (SELECT "group", cand_pos, text, len(regexp_extract_all(text, '\\S+')) AS words
+                          FROM (SELECT "group", cand_pos, {_TAGGED} AS text FROM b_candidates)))
+              JOIN (SELECT "group", 120 - len(regexp_extract_all({_prompt('title_cand_wiki')}, '\\S+')) AS allowed
+                    FROM (SELECT * REPLACE ('' AS cand) FROM b_context)) USING ("group")
+              WHERE spent <= allowed GROUP BY "group") f USING ("group"))""",
+    ),
+}
+
+ORACLE["running_scores"] = _with(
+    [*_RUN_CTES, _SCORES],
+    """SELECT dataset, config, iter, n, round(accuracy, 9) AS accuracy, round(f1_all, 9) AS f1_all,
+         round(f1_non_nil, 9) AS f1_non_nil FROM scores WHERE config = 'table'""",
+)

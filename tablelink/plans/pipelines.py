@@ -16,7 +16,7 @@ from tablelink.config import LinkConfig
 from tablelink.functions.prompts import render, template_fields
 from tablelink.operators.answer_store import ANSWERS, not_stored, prompt_digest, with_stored_answers
 from tablelink.operators.calls import Calls
-from tablelink.operators.candidates import render_candidates
+from tablelink.operators.candidates import candidate_text, render_candidates
 from tablelink.operators.comparing import compare_runs, wrong_groups, wrong_mentions
 from tablelink.operators.context import (
     attach_metadata,
@@ -38,6 +38,7 @@ from tablelink.operators.mentions import (
     allowed_keys,
     allowed_tables,
     bounded_candidates,
+    budgeted_candidates,
     mention_table,
     with_key_parts,
 )
@@ -110,12 +111,17 @@ def build_prompts(
     *,
     order: str = "pos",
     dashed: bool = False,
+    tokens: Tokens = word_tokens,
 ) -> DataFrame:
     """One row per mention: group, tableName, key, gold, prompt.
 
     Only the inputs the template names are joined. The short columns of a
     mention go through the lookups first; the long candidate text joins last,
     on the mention, by which it is already partitioned.
+
+    With a `prompt_budget`, the tokens of everything else are counted first, and the
+    candidates that still fit are chosen by their own counts, before any text is put
+    together. A prompt without candidates may be over the budget and stays as it is.
     """
     fields = template_fields(config.template_text)
     rows = allowed_candidates(candidates, allow, tables, config.dataset)
@@ -132,7 +138,19 @@ def build_prompts(
     if "cand" in fields or replaced:
         if config.candidate_limit is not None:
             rows = bounded_candidates(rows, config.candidate_limit, "cand_pos")
-        context = context.join(render_candidates(rows, config.layout), "group")
+        if config.prompt_budget is not None:
+            rest = {name: F.col(name) for name in fields} | {"cand": F.lit("")}
+            if "wiki" in fields:
+                rest["wiki"] = retrieved(config.policy, config.guard, F.lit("") if replaced else None)
+            left = F.lit(config.prompt_budget) - F.size(tokens(render(config.template_text, rest)))
+            text = candidate_text(config.layout)
+            rows = budgeted_candidates(
+                rows, context.select("group", left.alias("allowed")), text, F.size(tokens(text)), config.prompt_budget
+            )
+            texts = render_candidates(rows, config.layout)
+            context = context.join(texts, "group", "left").withColumn("cand", F.coalesce("cand", F.lit("")))
+        else:
+            context = context.join(render_candidates(rows, config.layout), "group")
     if "wiki" in fields:
         wiki = retrieved(config.policy, config.guard, F.col("cand") if replaced else None)
         context = context.withColumn("wiki", wiki)

@@ -16,7 +16,7 @@ from tablelink.functions.text import json_text
 from tablelink.operators import comparing, context, examples, mentions, retrieval, scoring
 from tablelink.operators.answer_store import prompt_digest
 from tablelink.operators.calls import Calls
-from tablelink.operators.candidates import render_candidates
+from tablelink.operators.candidates import candidate_pieces, render_candidates
 from tablelink.operators.fuzzy import fuzzy_entities
 from tablelink.operators.ordered import position
 from tablelink.plans import bindings as b
@@ -24,6 +24,7 @@ from tablelink.plans import pipelines
 from tablelink.session import shared_folder
 from tablelink.sources import catalogue, files, sinks
 from tablelink.sources.files import allow_list_rows, parse_tables
+from tablelink.streaming.scores import RunningScores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,6 +205,12 @@ def candidate_text(spark, folder):
     return render_candidates(b.candidates(spark, folder))
 
 
+@query
+def candidate_text_pieces(spark, folder):
+    """Candidate texts in pieces of 5000 characters; the hot mention has many."""
+    return candidate_pieces(b.candidates(spark, folder), 5000)
+
+
 @query
 def candidate_text_pipe(spark, folder):
     return render_candidates(b.candidates(spark, folder), "pipe")
@@ -360,6 +367,13 @@ def first_id_answers(before: str = "", echo: bool = False):
     return lambda prompts: [answer(p) for p in prompts]
 
 
+@query
+def prompt_budgeted(spark, folder):
+    """Prompts of at most 120 words, with as many candidates as fit."""
+    config = LinkConfig("D1", "budget", "title_cand_wiki", policy="append", retrieval_limit=3, prompt_budget=120)
+    return _prompts(spark, folder, config).select("group", "key", "gold", "prompt")
+
+
 RUN_CONFIG = LinkConfig("D1", "table", "link_cand_wiki", policy="append", retrieval_limit=3)
 MARKED_CONFIG = fine_tuned_config("D1", "tuned", retrieval_limit=3)
 
@@ -785,3 +799,13 @@ def groups_from_file(spark, folder):
     pipelines.mine_hard_cases(b.answered_runs(spark, folder, b.CONFIGS), path)
     lines = files.numbered_rows(spark.read.text(path), "pos", per_file=False)
     return lines.select("pos", F.col("value").cast("bigint").alias("group"))
+
+
+@query
+def running_scores(spark, folder):
+    """Scores counted run by run, the first run's results a second time at the end."""
+    state = RunningScores(spark, _new_folder(spark))
+    rows = b.answered_runs(spark, folder)
+    for batch, run in enumerate((2, 0, 1, 2)):
+        state.add(rows.where(F.col("iter") == run), batch)
+    return _rounded(state.scores(), *_SCORES)

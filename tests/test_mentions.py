@@ -10,6 +10,7 @@ from tablelink.operators.mentions import (
     allowed_keys,
     allowed_tables,
     bounded_candidates,
+    budgeted_candidates,
     clean_names,
     mention_table,
     one_group,
@@ -95,3 +96,15 @@ def test_small_filters(spark, candidates):
     assert clean_names(names).first()[0] == "a "
     dashed = with_key_parts(spark.createDataFrame([("T-a-3-1",)], "key string"), dashed=True)
     assert values(dashed, "table_name", "row_no", "col_no") == [("T-a", 3, 1)]
+
+
+def test_budgeted_candidates(spark):
+    """The longest prefix within the mention's own allowance, ties in place by text."""
+    rows = [("T", "k", g, "Q1", f"n{g}", None, "[]", 0, pos) for g in (1, 2, 3) for pos in (3, 1, 2, 2, 9)]
+    df = spark.createDataFrame(rows, schemas.CANDIDATES).withColumn("id", F.monotonically_increasing_id().cast("string"))
+    cost = F.when(F.col("cand_pos") == 2, 3).otherwise(0)  # counts as 1
+    allowance = spark.createDataFrame([(1, 4), (2, 100), (3, 0)], "`group` bigint, allowed int")
+    got = budgeted_candidates(df, allowance, F.col("id"), cost, 4)
+    assert values(got, "group", "cand_pos") == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 2), (2, 3)]
+    first_of_ties = df.where("`group` = 1 AND cand_pos = 2").agg(F.min("id")).first()[0]
+    assert got.where("`group` = 1 AND cand_pos = 2").first()["id"] == first_of_ties

@@ -6,7 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from table_values import values
-from tablelink.operators.ordered import first_k, joined_text, position, running_total
+from tablelink.operators.ordered import (
+    first_k,
+    joined_pieces,
+    joined_text,
+    order_bits_of,
+    position,
+    running_total,
+)
 
 
 def skewed(n=600):
@@ -80,3 +87,28 @@ def test_first_k_limits_before_the_shuffle(spark):
     for key in ("hot", "k1"):
         expected = sorted(r[1] for r in rows if r[0] == key)[:3]
         assert [r["at"] for r in got.where(F.col("key") == key).orderBy("n").collect()] == expected
+
+
+def test_order_bits(spark):
+    df = spark.createDataFrame([(5,), (-300,), (None,)], "at bigint")
+    assert order_bits_of(df, "at") == 10 and order_bits_of(df.limit(0), "at") == 1
+    assert order_bits_of(spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "at bigint"), "at") == 64
+
+
+@pytest.mark.parametrize("piece_chars", [1, 7, 50, 10_000])
+def test_joined_pieces(spark, piece_chars):
+    """The pieces in order are the whole text; each begins where it says."""
+    rng = random.Random(8)
+    rows = [("hot" if i % 3 else f"k{i % 4}", rng.randrange(200), "ab é"[: rng.randrange(5)] + str(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, at bigint, v string").repartition(5)
+    whole = dict(joined_text(df, F.col("v"), keys=["key"], order="at", out="text").collect())
+    pieces = joined_pieces(
+        df, F.col("v"), keys=["key"], order="at", out="text", piece_chars=piece_chars, run_bits=4, order_bits=12
+    ).collect()
+    for key, text in whole.items():
+        of_key = sorted((p["piece"], p["start"], p["text"]) for p in pieces if p["key"] == key)
+        assert "".join(t for _, _, t in of_key) == text
+        assert all(text[start : start + len(t)] == t and start // piece_chars == n for n, start, t in of_key)
+        longest = max(len(v) for _, _, v in rows) * 9  # rows of one place are one text
+        assert max(len(t) for _, _, t in of_key) < piece_chars + longest
+    assert joined_pieces(df.limit(0), F.col("v"), keys=["key"], order="at", out="text", piece_chars=5).collect() == []
