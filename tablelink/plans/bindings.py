@@ -54,7 +54,7 @@ def rows(spark: SparkSession, folder: str) -> DataFrame:
     part = read(spark, folder, "part").select(
         "p_partkey", "p_name", "p_type", "p_size", F.col("p_brand").alias("table_name")
     )
-    return position(part, keys=["table_name"], order="p_partkey", out="row_no", order_bits=48)
+    return position(part, keys=["table_name"], order="p_partkey", out="row_no", run_bits=20, order_bits=40)
 
 
 def table_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,6 +18,8 @@ from tablelink.operators.joins import many_to_one
 from tablelink.operators.ordered import running_total
 
 _ROWS_PER_BATCH = 10_000
+# Files have fewer than 2^39 lines; a window holds at most a million of them.
+_LINES = {"run_bits": 20, "order_bits": 40}
 # Table files up to this size are parsed by one task each, larger ones in splits.
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
@@ -262,17 +264,17 @@ def _split_tables(lines: DataFrame) -> DataFrame:
     outside, inside = F.col("_ends.from_outside"), F.col("_ends.from_inside")
     known = known.withColumns({"_fixed": (outside == inside).cast("bigint"), "_odd": outside.cast("bigint")})
     segments = running_total(
-        known.drop("_ends"), F.col("_fixed"), keys=["path"], order="line_no", out="_segment", order_bits=48
+        known.drop("_ends"), F.col("_fixed"), keys=["path"], order="line_no", out="_segment", **_LINES
     )
     counted = running_total(
-        segments, F.col("_odd"), keys=["path", "_segment"], order="line_no", out="_upto", order_bits=48
+        segments, F.col("_odd"), keys=["path", "_segment"], order="line_no", out="_upto", **_LINES
     )
     closed = F.col("_upto") % 2 == 0
     # A line without characters begins where it ends.
     ends = closed & (F.regexp_replace("value", r"[\r\n]+\z", "") != "")
     numbered = running_total(
         counted.withColumn("_last", ends.cast("bigint")).where(ends | ~closed),
-        F.col("_last"), keys=["path"], order="line_no", out="_row", order_bits=48,
+        F.col("_last"), keys=["path"], order="line_no", out="_row", **_LINES,
     )
     text = F.array_join(
         F.transform(
