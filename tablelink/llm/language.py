@@ -2,9 +2,11 @@
 
 A text is its sequences of two to four bytes (A-Z lower-cased, other ASCII that is no
 letter as spaces), hashed into a table of embeddings. Their mean goes through a linear
-layer. Both are trained by stochastic gradient descent in numpy on a bounded sample;
-a temperature and the score below which a prediction is rejected are fitted on sampled
-rows that were not trained on.
+layer. Both are trained by stochastic gradient descent in numpy on a bounded sample.
+On sampled rows that were not trained on, whole and in short pieces, a temperature is
+fitted, and two bounds below which a prediction is rejected: one of the score, and one
+of the evidence, the mean logit of the predicted language. Sequences that training did
+not see add next to no evidence, so texts of other languages and noise have little.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ UNKNOWN = "und"
 _BITS = 17
 _DIMENSIONS = 16
 _SIZES = (2, 3, 4)
+# Bytes of the short pieces that calibrate along with whole texts.
+SHORT_BYTES = 40
 # Bytes that go through numpy at once.
 _BLOCK = 1 << 18
 
@@ -37,6 +41,7 @@ class LanguageModel:
     logits: np.ndarray  # bucket x language
     temperature: float
     reject_below: float
+    least_evidence: float
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +103,7 @@ def train(
     """
     languages = tuple(sorted({language for _, language in rows}))
     if not languages:
-        return LanguageModel((), np.zeros((1 << _BITS, 1), np.float32), 1.0, 0.0)
+        return LanguageModel((), np.zeros((1 << _BITS, 1), np.float32), 1.0, 0.0, 0.0)
     number = {language: at for at, language in enumerate(languages)}
     random = np.random.default_rng(seed)
     rows = [rows[at] for at in random.permutation(len(rows))]
@@ -129,23 +134,30 @@ def train(
             np.add.at(embeddings, buckets, -step * np.repeat(back, counts, axis=0))
             done += 1
     logits = (embeddings @ weights).astype(np.float32)
-    buckets, counts = grams([text for text, _ in aside])
-    scores = _means(logits, buckets, counts)
+    starts = [int(random.integers(0, max(1, len(text) - SHORT_BYTES))) for text, _ in aside]
+    pieces = [text[at : at + SHORT_BYTES] for (text, _), at in zip(aside, starts)]
+    whole, short = (_means(logits, *grams(texts)) for texts in ([text for text, _ in aside], pieces))
     truth = np.array([number[language] for _, language in aside])
-    return LanguageModel(languages, logits, *_calibrated(scores, truth))
+    return LanguageModel(languages, logits, *_calibrated(whole, short, truth))
 
 
-def _calibrated(scores: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """The temperature of least log loss, and the score below which to reject: half of
-    what all but one in 500 of the right predictions reach."""
+def _calibrated(whole: np.ndarray, short: np.ndarray, truth: np.ndarray) -> tuple[float, float, float]:
+    """From logits of whole texts and of short pieces: the temperature of least log loss
+    of both, and the score and the evidence below which to reject: half of what all but
+    one in 500 of the right predictions of whole texts reach."""
+    every, languages = np.concatenate((whole, short)), np.concatenate((truth, truth))
+
     def loss(temperature: float) -> float:
-        right = _softmax(scores / temperature)[np.arange(len(truth)), truth]
+        right = _softmax(every / temperature)[np.arange(len(languages)), languages]
         return float(-np.log(np.maximum(right, 1e-12)).mean())
 
     temperature = min((0.02 * 1.25**k for k in range(28)), key=loss)
-    made = _softmax(scores / temperature)
-    good = made.max(axis=1)[made.argmax(axis=1) == truth]
-    return temperature, float(np.quantile(good, 0.002)) / 2 if len(good) else 0.0
+    right = whole.argmax(axis=1) == truth
+    if not right.any():
+        return temperature, 0.0, 0.0
+    scores = _softmax(whole / temperature).max(axis=1)[right]
+    evidence = whole.max(axis=1)[right]
+    return temperature, float(np.quantile(scores, 0.002)) / 2, float(np.quantile(evidence, 0.002)) / 2
 
 
 def predict(model: LanguageModel, texts: list[bytes | None]) -> list[tuple[str, float, bool]]:
@@ -158,13 +170,14 @@ def predict(model: LanguageModel, texts: list[bytes | None]) -> list[tuple[str,
         if not block:
             return
         buckets, counts = grams(block)
-        made = _softmax(_means(model.logits, buckets, counts) / model.temperature)
-        best = made.argmax(axis=1)
-        for text, at, score in zip(block, best.tolist(), made.max(axis=1).tolist()):
+        logits = _means(model.logits, buckets, counts)
+        made = _softmax(logits / model.temperature)
+        best, evidence = made.argmax(axis=1), logits.max(axis=1)
+        for text, at, score, said in zip(block, best.tolist(), made.max(axis=1).tolist(), evidence.tolist()):
             if not model.languages or not _has_letter(text):
                 yield UNKNOWN, 0.0, True
             else:
-                yield model.languages[at], score, score < model.reject_below
+                yield model.languages[at], score, score < model.reject_below or said < model.least_evidence
 
     for text in texts:
         block.append(text or b"")
@@ -206,7 +219,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
     """Add `language`: lang_pred, score and rejected.
 
     A null text or one without letters is `und` with score 0 and rejected. Other texts
-    get the likeliest language of the model, and are rejected below its threshold.
+    get the likeliest language of the model, and are rejected below either of its bounds.
     Repeated rows and further columns pass through; a column called language is replaced.
     """
     small_batches(docs.sparkSession)

@@ -62,3 +62,56 @@ def test_training_rows(documents):
     assert len(g.training_rows(docs, F.lit(True), "doc_id", "text", "lang")) == 41
     few = g.training_rows(docs, F.lit(True), "doc_id", "text", "lang", per_language=10)
     assert few == g.training_rows(docs, F.lit(True), "doc_id", "text", "lang", per_language=10) and 3 <= len(few) <= 20
+
+
+def test_other_languages_and_noise_are_rejected(model):
+    dice = random.Random(5)
+    others = [
+        "собака спит в саду а дети играют под деревьями и поют весь день",
+        "kutya alszik kertben miközben gyerekek játszanak fák alatt énekelnek",
+        "狗在花园里睡觉孩子们在树下玩耍唱歌",
+        *("".join(dice.choices("bcdfghjklmnpqrstvwxz ", k=n)) for n in (40, 200, 1500)),
+    ]
+    assert [rejected for *_, rejected in g.predict(model, [t.encode() for t in others])] == [True] * len(others)
+    clean = [text(dice, lang, n).encode() for lang in WORDS for n in (4, 10, 40, 400)]
+    assert not any(rejected for *_, rejected in g.predict(model, clean))
+
+
+def naive_grams(data):
+    """Sequences of two to four bytes with at most one space, none across a text's ends."""
+    letters = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in data.lower())
+    padded = bytes(0 if old == 0 else new for old, new in zip(data, letters)) + b" "
+    found = []
+    for size in (2, 3, 4):
+        for at in range(len(padded) - size + 1):
+            gram = padded[at : at + size]
+            if gram.count(b" ") <= 1 and 0 not in gram:
+                found.append(gram)
+    return found
+
+
+def test_scores_equal_a_plain_sum(model):
+    """Mean of the logits of each sequence, then a softmax; one hash per sequence."""
+    import math
+
+    import numpy as np
+
+    def bucket(gram):
+        code = 0
+        for b in gram:
+            code = code * 257 + b
+        mixed = (code + (len(gram) << 40)) & (2**64 - 1)
+        mixed = ((mixed ^ (mixed >> 30)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
+        mixed = ((mixed ^ (mixed >> 27)) * 0x94D049BB133111EB) & (2**64 - 1)
+        return (mixed ^ (mixed >> 31)) >> (64 - g._BITS)
+
+    dice = random.Random(6)
+    texts = [text(dice, lang, n).encode() for lang in WORDS for n in (1, 7)] + [b"The  AND-with 3\n4 this", "ß".encode()]
+    for data, (lang, score, _) in zip(texts, g.predict(model, texts)):
+        found = naive_grams(data)
+        buckets, counts = g.grams([data])
+        assert sorted(buckets.tolist()) == sorted(map(bucket, found)) and counts.tolist() == [len(found)]
+        means = [sum(float(model.logits[bucket(x), at]) for x in found) / len(found) for at in range(len(WORDS))]
+        powers = [math.exp(m / model.temperature) for m in means]
+        assert lang == model.languages[int(np.argmax(means))]
+        assert math.isclose(score, max(powers) / sum(powers), rel_tol=1e-6)
