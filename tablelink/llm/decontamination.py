@@ -10,7 +10,6 @@ item; nothing outside of them can hold a window, so only they go through the aut
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from tablelink.llm.shared import WORD_BYTES, given_back, mixed, shared_object, s
 
 # Benchmark words in one automaton; a larger benchmark is matched block by block.
 BLOCK_WORDS = 200_000
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _MATCH = "n_words long, spans array<struct<start: int, end: int>>, items array<string>"
 
 
@@ -268,14 +267,20 @@ def is_contaminated(share: int = 20) -> Column:
     return (hit_words() > 0) & (hit_words() * share >= F.col("match.n_words"))
 
 
-def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the given ranges of words and what stands between their words."""
-    places = [found.span() for found in _WORD.finditer(text)]
-    kept, at = [], 0
-    for start, end in spans:
-        kept.append(text[at : places[start][0]])
-        at = places[end - 1][1]
-    return "".join([*kept, text[at:]])
+def without_spans(text: Column, spans: Column) -> Column:
+    """The text without the given ranges of words (in order, apart) and what stands
+    between their words."""
+    between = F.split(text, _WORD, -1)
+    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    both = F.zip_with(between, words, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit(""))))
+    firsts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda span: span["end"]))
+    lasts = F.concat(F.transform(spans, lambda span: span["start"]), F.array(F.size(words)))
+    kept = F.zip_with(
+        firsts,
+        lasts,
+        lambda first, last: F.concat(F.array_join(F.slice(both, first + 1, last - first), ""), between[last]),
+    )
+    return F.array_join(kept, "")
 
 
 def remove_spans(docs: DataFrame, text: str = "text", share: int = 20) -> DataFrame:
@@ -283,21 +288,9 @@ def remove_spans(docs: DataFrame, text: str = "text", share: int = 20) -> DataFr
     spans go, and a row whose text has no word left goes too. Other rows stay as they
     are, null and empty texts included."""
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        made = []
-        for value, ranges in zip(texts, spans):
-            left = without_spans(value, [(r["start"], r["end"]) for r in ranges])
-            made.append(left if _WORD.search(left) else None)
-        return pd.Series(made, dtype=object)
-
-    # Clean texts do not go through Python: an empty one stands for them.
     dirty = F.col("_dirty")
-    no_spans = F.array().cast("array<struct<start:int,end:int>>")
-    shortened = cut(
-        F.when(dirty, F.col(text)).otherwise(F.lit("")),
-        F.when(dirty, F.col("match.spans")).otherwise(no_spans),
-    )
+    left = F.when(dirty, without_spans(F.col(text), F.col("match.spans")))
+    shortened = F.when(left.rlike(_WORD), left)
     return (
         docs.withColumn("_dirty", is_contaminated(share))
         .withColumn("_cut", shortened)

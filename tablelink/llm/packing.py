@@ -34,7 +34,7 @@ PLAIN_STEP = 24
 HELD_TOKENS = 1 << 18
 MOST_HELD_TOKENS = 1 << 22
 # Words whose tokens a task remembers.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 _PIECE = (
     "doc_id string, start long, length long, ids binary, doc_tokens long, "
@@ -319,7 +319,7 @@ def pack_documents(
             encoded = tokens.encode(batch["text"].tolist())
             for number, (ids, places, costs) in zip(batch["doc_id"].tolist(), encoded):
                 pieces += packer.add(number, np.concatenate((ids, end)), places, costs)
-                if len(pieces) >= 2000:
+                if len(pieces) >= 500:
                     yield pd.DataFrame(pieces, columns=columns)
                     pieces = []
         pieces += packer.cut(WHOLE)

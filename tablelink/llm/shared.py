@@ -97,19 +97,25 @@ def shared_object(spark: SparkSession, made: T) -> Callable[[], T]:
     return Shared(spark.sparkContext.broadcast({"pickled": cloudpickle.dumps(made)}))
 
 
+def _trim() -> None:
+    """Hand free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def give_back() -> None:
     """Drop what this Python worker has opened, and hand free memory to the system."""
     while _OPENED:
         _OPENED.pop().pop("made", None)
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    _trim()
 
 
 def given_back(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function over the batches of a task that gives its memory back after the last one.
+    """A function over the batches of a task that gives free memory back after each, and
+    all of its memory after the last one.
 
     Spark deals tasks to its idle Python workers in turn, of which it keeps several per
     core; models and caches that outlive their task would be held once in each.
@@ -118,7 +124,10 @@ def given_back(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator],
     @wraps(function)
     def run(batches: Iterator) -> Iterator:
         try:
-            yield from function(batches)
+            for made in function(batches):
+                yield made
+                del made
+                _trim()
         finally:
             give_back()
 

@@ -77,3 +77,30 @@ def test_remove_spans(spark, documents):
     got = {r["doc_id"]: r["text"] for r in d.remove_spans(matched).collect()}
     assert got == {1: "Before it, . After it.", 3: rows[2][1], 4: None, 5: "", 6: "clean text"}
     assert matched.where(d.is_contaminated()).select(F.sort_array(F.collect_set("doc_id"))).first()[0] == [1, 2]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_without_spans(spark, seed):
+    import re
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+    def plain(text, spans):
+        places = [found.span() for found in word.finditer(text)]
+        kept, at = [], 0
+        for start, end in spans:
+            kept.append(text[at : places[start][0]])
+            at = places[end - 1][1]
+        return "".join([*kept, text[at:]])
+
+    dice = random.Random(seed)
+    rows = []
+    for _ in range(150):
+        text = "".join(dice.choices("ab1É😀 .,\n-$\\", k=dice.randrange(60)))
+        n = len(word.findall(text))
+        cuts = sorted(dice.sample(range(n + 1), min(n + 1, 2 * dice.randrange(4))))
+        spans = [(a, b) for a, b in zip(cuts[::2], cuts[1::2])]
+        rows.append((text, spans, plain(text, spans)))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:int,end:int>>, want string")
+    made = df.select("want", d.without_spans(F.col("text"), F.col("spans")).alias("got")).collect()
+    assert [r["got"] for r in made] == [r["want"] for r in made]
