@@ -5,22 +5,30 @@ between words), a keyword and a part of a word without which it cannot match, a
 and a priority. Only texts that hold such a part are put into words, and only rules
 whose keyword stands in the text are run. Of the places found, one that
 lies inside another goes, and of two that overlap the one of the stronger rule stays.
-All of it is Spark expressions on one row, so nothing is shuffled.
+Every rule is an expression of its own, so its pattern is compiled once per task. All of
+it is Spark expressions on one row, so nothing is shuffled.
+
+The rules are the hand-written signatures of `license_rules` (texts, identifiers,
+addresses, denials) and the wordings in which the name of a license is usually given.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablelink.llm.license_rules import ADDRESSES, BODIES, DENIALS, IDENTIFIERS
 from tablelink.llm.shared import lowered
 
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Put around matches; both are signs that words do not hold.
+_OPEN, _CLOSE = "\x01", "\x02"
 
 # Fixed phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -66,12 +74,10 @@ FAMILIES = (
 
 # Priority (smaller is stronger), score and wording around the name.
 WORDINGS = (
-    (1, 1.0, r"spdx licen[cs]e identifier {name}"),
     (2, 0.95, r"(?:re)?licen[cs]ed under (?:the |a )?(?:terms of the )?{name}{version}"),
     (2, 0.95, r"(?:released|published|distributed|provided) under (?:the )?(?:terms of the )?{name}{version}"),
     (3, 0.9, r"under the (?:terms|conditions)(?: and conditions)? of (?:the )?{name}{version}"),
     (3, 0.9, r"(?:subject to|governed by|covered by) (?:the )?{name}{version}"),
-    (4, 0.85, r"(?:dedicated|placed|committed) (?:in)?to the {name}"),
     (5, 0.8, r"(?:see|read) (?:the )?{name}{version}(?: for (?:more )?details)?"),
     (5, 0.8, r"(?:copy|text) of the {name}{version}"),
     (6, 0.7, r"{name},? version [0-9]+(?: [0-9]+)?(?: or (?:any )?later)?"),
@@ -81,26 +87,59 @@ WORDINGS = (
 _VERSION = r"(?: version)?(?: v?[0-9]+(?: [0-9]+)*)?(?: or (?:any )?later(?: version)?)?"
 
 
+# Licenses that works are given up to.
+_GIVEN_UP = (4, 0.85, r"(?:dedicated|placed|committed) (?:in)?to the {name}")
+_UP_TO = ("public-domain", "cc0")
+
+
 @dataclass(frozen=True)
 class Rule:
-    label: str
+    """`gate` is a part of a word that stands in every match, a whole word if it has two
+    letters. A place whose `label` is None gives no license; without a gate a rule only
+    runs on texts that other rules open."""
+
+    label: str | None
     keyword: str
     pattern: str
     priority: int
     score: float
-    gate: str
+    gate: str | None
+
+
+# Parts of words that open a text, the preferred ones first.
+_GATES = (
+    "licen", "spdx", "copyright", "gpl", "redistribut", "commons", "domain", "software", "proprietary",
+    "misrepresented", "altered", "endorse", "consortium", "freedom", "brackets", "verbatim", "remix",
+    "unauthori", "mpl", "acceptance", "perl", "ruby", "fuck", "beer", "materials",
+)
+
+
+def _gate(pattern: str) -> str:
+    """A part of a word that stands in every match: of those outside of groups, the
+    first of _GATES, else the longest."""
+    group = re.compile(r"\(\?:[^()]*\)(?:\?|\{[^}]*\}\??)?|\[[^\]]*\]\+?")
+    before = None
+    while before != pattern:
+        before, pattern = pattern, group.sub(" ", pattern)
+    words = re.sub(r"[a-z]\?", " ", pattern).split()
+    return next((gate for gate in _GATES if any(gate in word for word in words)), max(words, key=len))
 
 
 def signature_rules() -> tuple[Rule, ...]:
-    """Every wording with every license, strongest first."""
-    rules = (
-        Rule(
-            label, keyword, wording.format(name=f"(?:{name})", version=_VERSION), priority, score,
-            "licen" if "licen" in name else max(keyword.split(" "), key=len),
-        )
-        for priority, score, wording in WORDINGS
-        for label, keyword, name in FAMILIES
-    )
+    """All rules, strongest first."""
+    rules = [Rule(None, keyword, pattern, 0, 0.0, None) for keyword, pattern in DENIALS]
+    rules += [Rule(label, key, pattern, at, score, _gate(pattern)) for label, at, score, key, pattern in BODIES]
+    rules += [
+        Rule(label, "identifier", f"spdx licen[cs]e identifier (?:{words})", 1, 1.0, "spdx")
+        for label, words in IDENTIFIERS
+    ]
+    rules += [Rule(label, key, pattern, 3, 0.9, _gate(pattern)) for label, key, pattern in ADDRESSES]
+    for label, keyword, name in FAMILIES:
+        wordings = (*WORDINGS, _GIVEN_UP) if label in _UP_TO else WORDINGS
+        rules += [
+            Rule(label, keyword, wording.format(name=f"(?:{name})", version=_VERSION), priority, score, _gate(name))
+            for priority, score, wording in wordings
+        ]
     return tuple(sorted(rules, key=lambda rule: rule.priority))
 
 
@@ -108,26 +147,31 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _places(words: Column, pattern: Column) -> Column:
-    """Structs (first, last) of word numbers, one per match in `words`."""
-    found = F.regexp_extract_all(words, pattern, F.lit(0))
-    before = F.split(words, pattern, -1)
-    step = F.arrays_zip(
-        F.transform(F.slice(before, F.lit(1), F.size(found)), _spaces).alias("gap"),
-        F.transform(found, _spaces).alias("inner"),
+def _marked(words: Column, pattern: str) -> Column:
+    """The words with signs around every match."""
+    return F.regexp_replace(words, F.lit(_bounded(pattern)), F.lit(f"{_OPEN}$0{_CLOSE}"))
+
+
+def _places(marked: Column) -> Column:
+    """Structs (first, last) of word numbers, one per match in marked words."""
+    pieces = F.split(marked, _OPEN, -1)
+    step = F.transform(
+        F.slice(pieces, F.lit(2), F.size(pieces)),
+        lambda piece: F.struct(
+            _spaces(piece).alias("all"),
+            _spaces(F.substring_index(piece, _CLOSE, 1)).alias("inner"),
+        ),
     )
     start = F.struct(
-        F.lit(-1).alias("at"), _none("array<struct<first:int,last:int>>").alias("out")
+        (_spaces(F.get(pieces, F.lit(0))) - 1).alias("at"),
+        _none("array<struct<first:int,last:int>>").alias("out"),
     )
 
     def add(state: Column, match: Column) -> Column:
-        first = state["at"] + match["gap"]
-        last = first + match["inner"]
+        place = F.struct(state["at"].alias("first"), (state["at"] + match["inner"]).alias("last"))
         return F.struct(
-            last.alias("at"),
-            F.concat(
-                state["out"], F.array(F.struct(first.alias("first"), last.alias("last")))
-            ).alias("out"),
+            (state["at"] + match["all"]).alias("at"),
+            F.concat(state["out"], F.array(place)).alias("out"),
         )
 
     return F.aggregate(step, start, add, lambda state: state["out"])
@@ -180,7 +224,7 @@ def scan_licenses(
       n_words  words of the text; 0 for null and texts without words
       base     places of the fixed phrases of BASE, all of them: first, last, label
       found    places the rules found, resolved: first, last, label, priority, score,
-               by first word
+               by first word; a null label marks a place that denies a license
     Words are counted from 0. Repeated rows, null ids and further columns pass
     through; a column named license_scan is replaced.
     """
@@ -193,36 +237,71 @@ def scan_licenses(
     spaced = F.col("_license_words")
     base = F.concat(
         *(
-            _labelled(_places(spaced, F.lit(_bounded(phrase))), label) for phrase, label in BASE
+            _labelled(
+                F.when(F.contains(spaced, F.lit(phrase)), _places(_marked(spaced, phrase))).otherwise(
+                    _none("array<struct<first:int,last:int>>")
+                ),
+                label,
+            )
+            for phrase, label in BASE
         )
     ).cast(place)
-    # One constant, which Spark folds while it plans.
+    # What the places of a rule carry: one constant, which Spark folds while it plans.
     table = F.from_json(
-        F.lit(json.dumps([{**asdict(rule), "pattern": _bounded(rule.pattern)} for rule in rules])),
-        "array<struct<label:string,keyword:string,pattern:string,priority:int,score:double>>",
+        F.lit(json.dumps([{"label": r.label, "priority": r.priority, "score": r.score} for r in rules])),
+        "array<struct<label:string,priority:int,score:double>>",
     )
-    found = F.flatten(
-        F.transform(
-            F.filter(table, lambda rule: F.contains(spaced, rule["keyword"])),
-            lambda rule: F.transform(
-                _places(spaced, rule["pattern"]),
-                lambda p: F.struct(
-                    p["first"].alias("first"),
-                    (-p["last"]).alias("back"),
-                    rule["priority"].alias("priority"),
-                    p["last"].alias("last"),
-                    rule["label"].alias("label"),
-                    rule["score"].alias("score"),
+    of_keyword: dict[str, list[int]] = {}
+    for at, rule in enumerate(rules):
+        of_keyword.setdefault(rule.keyword, []).append(at)
+    matched = F.filter(
+        F.flatten(
+            F.array(
+                *(
+                    F.when(
+                        F.contains(spaced, F.lit(keyword)),
+                        F.array(
+                            *(
+                                F.struct(F.lit(at).alias("rule"), _marked(spaced, rules[at].pattern).alias("marked"))
+                                for at in chosen
+                            )
+                        ),
+                    ).otherwise(_none("array<struct<rule:int,marked:string>>"))
+                    for keyword, chosen in of_keyword.items()
                 ),
+                _none("array<struct<rule:int,marked:string>>"),
+            )
+        ),
+        lambda one: F.contains(one["marked"], F.lit(_OPEN)),
+    )
+
+    def detections(one: Column) -> Column:
+        rule = F.get(table, one["rule"])
+        return F.transform(
+            _places(one["marked"]),
+            lambda p: F.struct(
+                p["first"].alias("first"),
+                (-p["last"]).alias("back"),
+                rule["priority"].alias("priority"),
+                p["last"].alias("last"),
+                rule["label"].alias("label"),
+                rule["score"].alias("score"),
             ),
         )
-    ).cast(detection)
+
+    found = F.flatten(F.transform(matched, detections)).cast(detection)
     # A text is only normalised if the gate of some rule or phrase stands in it.
     plain = F.col("_license_plain")
-    gates = sorted({rule.gate for rule in rules} | {"licen"})
-    gate = reduce(Column.__or__, (F.contains(plain, F.lit(token)) for token in gates))
+
+    def opened(token: str) -> Column:
+        there = F.contains(plain, F.lit(token))
+        return there if len(token) > 2 else there & F.regexp_like(plain, F.lit(f"(?:^|{_NO_WORD}){token}(?:{_NO_WORD}|$)"))
+
+    gate = reduce(Column.__or__, (opened(token) for token in sorted({"licen"} | {r.gate for r in rules if r.gate})))
+    n_words = F.regexp_replace(F.col(text), F.lit(_WORD), F.lit("a"))
     scan = F.struct(
-        F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce(F.length(n_words) - F.length(F.replace(n_words, F.lit("a"), F.lit(""))), F.lit(0))
+        .cast("long").alias("n_words"),
         F.coalesce(F.when(spaced.isNotNull(), base), _none(place)).alias("base"),
         F.coalesce(F.when(spaced.isNotNull(), _kept(F.sort_array(found))), _none(detection)).alias("found"),
     )

@@ -117,7 +117,8 @@ def op7_url_rules(spark, folder):
 def op8_license_scan(spark, folder):
     scan = F.col("license_scan")
     starts, found = scan["base"]["first"], scan["found"]
-    labels = F.array_distinct(F.sort_array(F.concat(scan["base"]["label"], found["label"])))
+    given = F.filter(found["label"], lambda label: label.isNotNull())
+    labels = F.array_distinct(F.sort_array(F.concat(scan["base"]["label"], given)))
     return licenses.scan_licenses(table(spark, folder, "documents")).select(
         "doc_id",
         scan["n_words"].alias("n_words"),
