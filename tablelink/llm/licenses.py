@@ -26,7 +26,7 @@ from tablelink.llm.license_rules import ADDRESSES, BODIES, DENIALS, IDENTIFIERS
 from tablelink.llm.shared import lowered
 
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Put around matches; both are signs that words do not hold.
 _OPEN, _CLOSE = "\x01", "\x02"
 
@@ -226,12 +226,11 @@ def scan_licenses(
       found    places the rules found, resolved: first, last, label, priority, score,
                by first word; a null label marks a place that denies a license
     Words are counted from 0. Repeated rows, null ids and further columns pass
-    through; a column named license_scan is replaced.
+    through; columns named license_scan, _license_plain, _license_split or _license_words
+    are replaced or dropped.
     """
     rules = signature_rules() if rules is None else rules
-    words = F.concat(
-        F.lit(" "), F.trim(F.regexp_replace(lowered(F.col(text)), _NO_WORD, " ")), F.lit(" ")
-    )
+    split = F.col("_license_split")
     place = "array<struct<first:int,last:int,label:string>>"
     detection = "array<struct<first:int,back:int,priority:int,last:int,label:string,score:double>>"
     spaced = F.col("_license_words")
@@ -298,16 +297,15 @@ def scan_licenses(
         return there if len(token) > 2 else there & F.regexp_like(plain, F.lit(f"(?:^|{_NO_WORD}){token}(?:{_NO_WORD}|$)"))
 
     gate = reduce(Column.__or__, (opened(token) for token in sorted({"licen"} | {r.gate for r in rules if r.gate})))
-    n_words = F.regexp_replace(F.col(text), F.lit(_WORD), F.lit("a"))
     scan = F.struct(
-        F.coalesce(F.length(n_words) - F.length(F.replace(n_words, F.lit("a"), F.lit(""))), F.lit(0))
-        .cast("long").alias("n_words"),
+        F.when(F.length(split) > 0, _spaces(split) + 1).otherwise(0).cast("long").alias("n_words"),
         F.coalesce(F.when(spaced.isNotNull(), base), _none(place)).alias("base"),
         F.coalesce(F.when(spaced.isNotNull(), _kept(F.sort_array(found))), _none(detection)).alias("found"),
     )
     return (
         docs.withColumn("_license_plain", F.lower(F.col(text)))
-        .withColumn("_license_words", F.when(gate, words))
+        .withColumn("_license_split", F.trim(F.regexp_replace(F.col(text), _BETWEEN, " ")))
+        .withColumn("_license_words", F.when(gate, F.concat(F.lit(" "), lowered(split), F.lit(" "))))
         .withColumn("license_scan", scan)
-        .drop("_license_plain", "_license_words")
+        .drop("_license_plain", "_license_split", "_license_words")
     )
