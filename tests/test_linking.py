@@ -215,3 +215,28 @@ def test_plans_fetch_only_what_the_template_names(spark, tiny):
     )
     assert "WindowGroupLimit" not in prompts._jdf.queryExecution().optimizedPlan().toString()
     assert prompts.count() == 200
+
+
+def test_candidates_are_rendered_only_where_a_prompt_shows_them(spark, monkeypatch):
+    """Where retrieval replaces the candidates, the text of a large mention is not made."""
+    cands = spark.createDataFrame(
+        [("T", f"T {n} 0", n, f"Q{n}{pos}", "c", None, "[]", 0, pos) for n in (1, 2) for pos in range(1, 4)], schemas.CANDIDATES
+    )
+    rows = spark.createDataFrame(
+        [("T", n, ["name"], [name]) for n, name in ((1, "known"), (2, "unknown"))],
+        "table_name string, row_no int, col_names array<string>, cells array<string>",
+    )
+    entities = spark.createDataFrame(
+        [("Q7", "known", None, "[]", 1)], "id string, label string, description string, types string, rank int"
+    )
+    made = []
+    render = pipelines.render_candidates
+    monkeypatch.setattr(pipelines, "render_candidates", lambda df, layout: made.append(df) or render(df, layout))
+    config = LinkConfig("D", "c", "{mention}: {wiki}", policy="replace")
+    got = dict(pipelines.build_prompts(config, cands, rows, entities=entities).select("group", "prompt").collect())
+    assert {r["group"] for r in made[0].select("group").collect()} == {2}
+    assert "Q7" in got[1] and "<[ID]" not in got[1] and got[2].count("<[ID]") == 3
+    written = LinkConfig("D", "c", "{mention}: {wiki}", policy="replace", guard="as_written")
+    got = dict(pipelines.build_prompts(written, cands, rows, entities=entities).select("group", "prompt").collect())
+    assert {r["group"] for r in made[1].select("group").collect()} == {1, 2}
+    assert all(text.count("<[ID]") == 3 for text in got.values())
