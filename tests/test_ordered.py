@@ -112,3 +112,17 @@ def test_joined_pieces(spark, piece_chars):
         longest = max(len(v) for _, _, v in rows) * 9  # rows of one place are one text
         assert max(len(t) for _, _, t in of_key) < piece_chars + longest
     assert joined_pieces(df.limit(0), F.col("v"), keys=["key"], order="at", out="text", piece_chars=5).collect() == []
+
+
+def test_joined_pieces_moves_the_texts_twice(spark):
+    """Once to their run and once to their piece; the sums of runs are shuffled besides."""
+    df = spark.createDataFrame(skewed(50), "key string, at bigint, v int").repartition(3)
+    text = F.col("v").cast("string")
+    got = joined_pieces(df, text, keys=["key"], order="at", out="text", piece_chars=9, run_bits=10, order_bits=20)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1
+    tied = spark.createDataFrame([("a", 1, "x"), ("a", 1, None), ("a", 1, "yy"), ("a", 2, None), ("a", 3, "z")], "key string, at bigint, v string")
+    got = joined_pieces(tied, F.col("v"), keys=["key"], order="at", out="text", piece_chars=1, run_bits=1, order_bits=4)
+    assert values(got, "piece", "start", "text") == [(0, 0, "xyy"), (3, 3, "z")]
+    one = joined_pieces(tied, F.col("v"), keys=["key"], order="at", out="text", piece_chars=2, run_bits=8, order_bits=4)
+    assert values(one, "piece", "start", "text") == [(0, 0, "xyy"), (1, 3, "z")]
