@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from table_values import values
 from tablelink import schemas
-from tablelink.operators.candidates import render_candidates
+from tablelink.operators.candidates import joined_candidates, render_candidates
 from tablelink.operators.mentions import (
     allowed_keys,
     allowed_tables,
@@ -108,3 +108,19 @@ def test_budgeted_candidates(spark):
     assert values(got, "group", "cand_pos") == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 2), (2, 3)]
     first_of_ties = df.where("`group` = 1 AND cand_pos = 2").agg(F.min("id")).first()[0]
     assert got.where("`group` = 1 AND cand_pos = 2").first()["id"] == first_of_ties
+
+
+def test_budgeted_candidates_move_once(spark):
+    """The windows deal the candidates by mention; neither the allowance nor the text do again."""
+    rows = spark.createDataFrame([(g, p, f"t{p}") for g in (1, 2) for p in (1, 2)], "`group` bigint, cand_pos bigint, text string")
+    allowance = spark.createDataFrame([(1, 1), (2, 2)], "`group` bigint, allowed int")
+    text = F.col("text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = budgeted_candidates(rows.repartition(3), allowance, text, F.lit(1), 4)
+        got = joined_candidates(kept, text)
+        assert values(got, "group", "cand") == [(1, "t1"), (2, "t1t2")]
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # candidates, allowance
