@@ -30,7 +30,7 @@ from __future__ import annotations
 import unicodedata
 import warnings
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 from itertools import combinations
@@ -55,6 +55,7 @@ _OTHERS = 227
 _BITS = 8
 _CODES = 1 << 17
 _STEM = 5
+SEEN = 1 << 18
 _BLOCK = 1 << 18
 
 _TRIPLES = np.array(list(combinations(range(WINDOW), 3)))
@@ -380,6 +381,42 @@ def margins(table: np.ndarray, bias: float, packed: np.ndarray) -> np.ndarray:
     return out
 
 
+class SeenWindows:
+    """Remembers a number for each window seen, up to `most` windows; then it starts anew.
+
+    Texts share most of their windows, whose margins need not be made again.
+    """
+
+    def __init__(self, most: int = SEEN):
+        self.most = most
+        self.packed, self.value = np.empty(0, np.uint64), np.empty(0)
+
+    def of(self, packed: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The numbers of different sorted windows; `make` gives those of new ones."""
+        place = np.searchsorted(self.packed, packed)
+        known = np.zeros(len(packed), dtype=bool)
+        inside = place < len(self.packed)
+        known[inside] = self.packed[place[inside]] == packed[inside]
+        out = np.empty(len(packed))
+        out[known] = self.value[place[known]]
+        new = packed[~known]
+        if len(new):
+            out[~known] = made = make(new)
+            if len(self.packed) + len(new) > self.most:
+                self.packed, self.value = packed[: self.most], out[: self.most]
+            else:
+                self.packed = np.insert(self.packed, place[~known], new)
+                self.value = np.insert(self.value, place[~known], made)
+        return out
+
+
+class Seen:
+    """What a task remembers of the windows it has met, for one model."""
+
+    def __init__(self):
+        self.margin, self.high = SeenWindows(), SeenWindows()
+
+
 def _above(table: np.ndarray, bias: float, packed: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """The windows with at least such a margin, and their margins."""
     found = []
@@ -395,6 +432,15 @@ def _above(table: np.ndarray, bias: float, packed: np.ndarray, least: float) ->
     return kept[made >= least], made[made >= least]
 
 
+def _counted(model: ToxicityModel, packed: np.ndarray) -> np.ndarray:
+    """Margins of extra windows, sorted, that count; -inf for others."""
+    high, values = _above(model.table, model.bias, packed, model.barrier)
+    out = np.full(len(packed), -np.inf)
+    new = _without(high, model.excused)
+    out[np.searchsorted(packed, high[new])] = values[new]
+    return out
+
+
 def _without(packed: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which of the windows are not in the sorted known ones."""
     if not len(known):
@@ -591,15 +637,17 @@ def train(
     return ToxicityModel(table, bias, slope, offset, tuple(landmarks), *extra)
 
 
-def score(model: ToxicityModel, texts: list[str | None]) -> list[float]:
-    """Score from 0 to 1 per text; a text without windows has margin -1."""
+def score(model: ToxicityModel, texts: list[str | None], seen: Seen | None = None) -> list[float]:
+    """Score from 0 to 1 per text; a text without windows has margin -1. `seen` may go from
+    call to call with the same model."""
+    seen = seen or Seen()
     out: list[float] = []
     block: list[str] = []
     size = 0
     for text in [*texts, None]:
         last = len(out) + len(block) == len(texts)
         if block and (size >= _BLOCK or last):
-            out += _score_block(model, block)
+            out += _score_block(model, block, seen)
             block, size = [], 0
         if not last:
             block.append(text or "")
@@ -607,19 +655,19 @@ def score(model: ToxicityModel, texts: list[str | None]) -> list[float]:
     return out
 
 
-def _score_block(model: ToxicityModel, texts: list[str]) -> list[float]:
+def _score_block(model: ToxicityModel, texts: list[str], seen: Seen) -> list[float]:
     (packed, owner), (extra, owner_of_extra) = _both(texts, bool(model.landmarks))
     worst = np.full(len(texts), -1.0 if model.landmarks else 0.0)
     if len(packed) and model.landmarks:
         different, place = np.unique(packed, return_inverse=True)
-        found = margins(model.table, model.bias, different)[place]
+        found = seen.margin.of(different, lambda new: margins(model.table, model.bias, new))[place]
         starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         worst[owner[starts]] = np.maximum.reduceat(found, starts)
     if len(extra):
         extra, owner_of_extra = _read(extra, owner_of_extra, model.landmarks)
-        high, values = _above(model.table, model.bias, distinct(extra), model.barrier)
-        new = _without(high, model.excused)
-        high, values = high[new], values[new]
+        different = distinct(extra)
+        values = seen.high.of(different, lambda new: _counted(model, new))
+        high, values = different[values > -np.inf], values[values > -np.inf]
         hit = np.flatnonzero(~_without(extra, high)) if len(high) else np.empty(0, np.int64)
         if len(hit):
             np.maximum.at(worst, owner_of_extra[hit], values[np.searchsorted(high, extra[hit])])
@@ -668,7 +716,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     @F.pandas_udf("double")
     @given_back
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seen = Seen()
         for batch in batches:
-            yield pd.Series(score(fitted(), batch.tolist()), dtype="float64")
+            yield pd.Series(score(fitted(), batch.tolist(), seen), dtype="float64")
 
     return docs.withColumn("toxicity", rate(F.col(text)))

@@ -162,3 +162,24 @@ def test_a_long_tail_of_insults():
 def test_nothing_to_tell_is_reported():
     with pytest.warns(UserWarning, match="nothing tells"):
         t.train([("all the same words", k % 2) for k in range(40)])
+
+
+def test_margins_of_a_window_are_made_once(model, monkeypatch):
+    """A task makes the margin of each window once, and remembers a bounded number."""
+    dice = random.Random(12)
+    texts = [text(dice, dice.choice((None, "zwubble", "zw ubble", "gr0pfix"))) for _ in range(60)]
+    alone = [t.score(model, [one])[0] for one in texts]
+    made = []
+    margins = t.margins
+    monkeypatch.setattr(t, "margins", lambda table, bias, packed: made.extend(packed.tolist()) or margins(table, bias, packed))
+    seen = t.Seen()
+    assert [t.score(model, [one], seen)[0] for one in texts] == alone
+    of_words = set(t.windows_of(texts)[0].tolist())
+    assert sum(window in of_words for window in made) <= 2 * len(of_words)
+    made.clear()
+    assert t.score(model, texts, seen) == alone and not made
+    few = t.SeenWindows(5)
+    for at in range(0, 40, 3):
+        windows = np.arange(at % 7, at % 7 + 4, dtype=np.uint64)
+        assert few.of(windows, lambda new: new * 2.0).tolist() == (windows * 2.0).tolist()
+        assert len(few.packed) <= 5 and (np.diff(few.packed.astype(np.int64)) > 0).all()
