@@ -4,8 +4,9 @@ The tokens of the documents follow each other in the order of the rows. Dynamic
 programming chooses the cuts: the cost of a sequence is its padding, and a cut costs
 nothing at the end of a document, little at the end of a sentence, more at the end of
 a clause and most elsewhere. The
-cheapest way to reach a place comes from the places at most one sequence back; the
-best of them is at the front of a monotone queue, so each place is looked at once.
+cheapest way to reach a place comes from the places at most one sequence back. Those are
+the last places of one stretch of a sequence's length and the first of the next, so that
+running minima over both ends give the best of them for a whole stretch at once.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ import os
 import re
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +35,28 @@ PLAIN_STEP = 24
 # Tokens after which cuts are fixed as far as they are certain, and tokens held at most.
 HELD_TOKENS = 1 << 18
 MOST_HELD_TOKENS = 1 << 22
-# Words whose tokens a task remembers.
-CACHED_WORDS = 200_000
+# Bytes of text whose different words are looked at together.
+GROUP_BYTES = 1 << 22
+# Pieces that go out together.
+PIECES = 500
 
 _PIECE = (
     "doc_id string, start long, length long, ids binary, doc_tokens long, "
     "sequence_id long, offset long"
 )
+_PIECE_ARROW = pa.schema(
+    [
+        ("doc_id", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
+        ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
+    ]
+)
 
-
-_COSTS = {mark: SENTENCE_COST for mark in (b".", b"!", b"?")} | {
-    mark: CLAUSE_COST for mark in (b",", b";", b":", b"|")
-}
-
+# What a cut after a byte costs, and which bytes at the end of a word are looked past.
+_COSTS = np.full(256, PLAIN_COST)
+_COSTS[list(b".!?")] = SENTENCE_COST
+_COSTS[list(b",;:|")] = CLAUSE_COST
+_CLOSING = b"\"')]}*_"
+_IS_CLOSING = np.isin(np.arange(256), list(_CLOSING))
 
 # Words of these characters are put into lower case and split by _PARTS. Others go to
 # the tokenizer itself: words with an apostrophe (contractions), with <, from which
@@ -53,6 +64,17 @@ _COSTS = {mark: SENTENCE_COST for mark in (b".", b"!", b"?")} | {
 _PLAIN = re.compile(r"[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _LETTERS = r"a-z\u00df-\u00f6\u00f8-\u00ff"
 _PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\x01]+")
+# The same for words of ASCII, by byte.
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_LETTER, _DIGIT, _SIGN, _OTHER = range(4)
+_KIND = np.array(
+    [
+        _OTHER if b > 0x7E or not _PLAIN.fullmatch(chr(b))
+        else _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _SIGN
+        for b in range(256)
+    ],
+    np.uint8,
+)
 
 
 def _byte_ranks(tokenizer_json: str) -> dict[bytes, int]:
@@ -72,7 +94,8 @@ class WordTokens:
     """Tokens of texts, word by word. The tokenizer splits at white space first, so the
     tokens of a text are those of its words one after the other.
 
-    Words seen are remembered, in a shared object for as long as the Python worker lives.
+    The different words of a few megabytes of texts are tokenized together; none are
+    remembered after that.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -90,14 +113,8 @@ class WordTokens:
             "words", pat_str=r"[^\x00\x01]+\x00|\x01", mergeable_ranks=ranks, special_tokens={}
         )
         self.mark = ranks[b"\x01"]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids = np.empty(1 << 16, dtype=np.uint32)
-        self.start = np.zeros(1 << 12, dtype=np.int64)
-        self.costs = np.zeros(1 << 12, dtype=np.int64)  # of a cut after the word
-        self.used = 0
+        self.is_end = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.is_end[[number for token, number in ranks.items() if token.endswith(b"\0")]] = True
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each word has."""
@@ -106,73 +123,114 @@ class WordTokens:
         marks = np.flatnonzero(ids == self.mark)
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain, plain_text, other = [], [], []
-        for word in words:
-            text = word.decode()
+    def _encoded_ascii(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words, none empty, of ASCII without apostrophe and <: their bytes
+        one after the other, and how many each word has."""
+        kind, last = _KIND[data], np.cumsum(sizes) - 1
+        ends = kind == _DIGIT
+        ends[:-1] |= kind[1:] != kind[:-1]
+        ends[last] = True
+        parts = np.cumsum(ends)
+        text = np.zeros(len(data) + int(parts[-1]), np.uint8)
+        text[np.arange(len(data)) + parts - ends] = _LOWER[data]
+        ids = np.array(self.pairs.encode_ordinary(text.tobytes().decode()), dtype=np.uint32)
+        upto = np.flatnonzero(self.is_end[ids])[parts[last] - 1] + 1
+        return ids, np.diff(upto, prepend=0)
+
+    def _learn(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different words in some order, and by word: where its ids begin, how many
+        they are, and what a cut after the word costs."""
+        n = len(words)
+        at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at.astype(np.int64) - at[0]
+        length = np.diff(at)
+        filled = np.flatnonzero(length)
+        costs = np.full(n, PLAIN_COST)
+        final = data[at[filled + 1] - 1]
+        costs[filled] = _COSTS[final]
+        for k in filled[_IS_CLOSING[final]].tolist():
+            before = data[at[k] : at[k + 1]].tobytes().rstrip(_CLOSING)
+            costs[k] = _COSTS[before[-1]] if before else PLAIN_COST
+        odd = np.zeros(n, dtype=bool)
+        odd[np.searchsorted(at, np.flatnonzero(_KIND[data] == _OTHER), "right") - 1] = True
+        order, made, counts = [], [], []
+        ascii_words = filled[~odd[filled]]
+        if len(ascii_words):
+            ids, sizes = self._encoded_ascii(data[np.repeat(~odd, length)], length[ascii_words])
+            order, made, counts = [ascii_words], [ids], [sizes]
+        plain, plain_text, other, other_text = [], [], [], []
+        for k in np.flatnonzero(odd).tolist():
+            text = data[at[k] : at[k + 1]].tobytes().decode()
             if _PLAIN.fullmatch(text):
-                plain.append(word)
+                plain.append(k)
                 plain_text.append(text)
             else:
-                other.append(word)
-        ids, sizes = self._encoded(plain_text)
+                other.append(k)
+                other_text.append(text)
+        if plain:
+            ids, sizes = self._encoded(plain_text)
+            order, made, counts = [*order, plain], [*made, ids], [*counts, sizes]
         if other:
-            made = self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)
-            lists = [e.ids for e in made]
-            sizes = np.concatenate((sizes, np.fromiter(map(len, lists), np.int64, len(lists))))
-            ids = np.concatenate((ids, np.fromiter(chain.from_iterable(lists), np.uint32)))
-        known, new = len(self.number), len(words)
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
-        if known + new + 1 > len(self.start):
-            self.start = np.resize(self.start, 2 * (known + new + 1))
-            self.costs = np.resize(self.costs, len(self.start))
-        learned = plain + other
-        self.number.update(zip(learned, range(known, known + new)))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.start[known + 1 : known + new + 1] = self.used + np.cumsum(sizes)
-        self.used += len(ids)
-        self.costs[known : known + new] = [
-            _COSTS.get(w.rstrip(b"\"')]}*_")[-1:], PLAIN_COST) for w in learned
-        ]
+            lists = [e.ids for e in self.tokenizer.encode_batch(other_text, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.uint32)
+            order, made, counts = [*order, other], [*made, ids], [*counts, sizes]
+        first, size = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        if order:
+            number, sizes = np.concatenate(order), np.concatenate(counts)
+            first[number], size[number] = np.cumsum(sizes) - sizes, sizes
+        return np.concatenate([np.empty(0, np.uint32), *made]), first, size, costs
 
     def encode(
-        self, texts: list[bytes | None]
+        self, texts: pa.Array | list[bytes | None]
     ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per text: its ids, the places after which a sentence or clause ends, and what
         cuts there cost."""
         if self.tokenizer is None:
             self._open()
-        if len(self.number) > CACHED_WORDS:
-            self._clear()
-        for at in range(0, len(texts), 128):
-            yield from self._encode_some([text.split() if text else [] for text in texts[at : at + 128]])
-
-    def _encode_some(self, texts: list[list[bytes]]) -> Iterator[tuple]:
-        words = list(chain.from_iterable(texts))
-        number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(number < 0)
-        if len(missing):
-            unknown = [words[at] for at in missing.tolist()]
-            self._learn(list(dict.fromkeys(unknown)))
-            number[missing] = list(map(self.number.__getitem__, unknown))
-        first = self.start[number]
-        sizes = self.start[number + 1] - first
-        after = np.cumsum(sizes)
-        place = np.arange(after[-1] if len(words) else 0)
-        ids = self.ids[place + np.repeat(first - after + sizes, sizes)]
-        costs = self.costs[number]
-        after = np.append(after, 0)  # so that after[-1] is 0
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.binary())
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
         at = 0
-        for text in texts:
-            end = at + len(text)
-            before = after[at - 1]
-            cuts = at + np.flatnonzero(costs[at:end] < PLAIN_COST)
-            yield ids[before : after[end - 1]] if text else ids[:0], after[cuts] - before, costs[cuts]
+        while at < len(texts):
+            before = upto[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + GROUP_BYTES, "right")))
+            yield from self._encode_group(texts[at:end])
             at = end
 
+    def _encode_group(self, texts: pa.Array) -> Iterator[tuple]:
+        texts = pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string())
+        split = pc.ascii_split_whitespace(texts)  # with an empty word at an end of white space
+        upto = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        words = split.flatten().dictionary_encode()
+        number = words.indices.to_numpy()
+        learned = self._learn(words.dictionary)
+        del split, words
+        for at in range(0, len(texts), 128):
+            bounds = upto[at : at + 129]
+            yield from self._encode_some(number[bounds[0] : bounds[-1]], bounds - bounds[0], *learned)
+
+    def _encode_some(
+        self, number: np.ndarray, bounds: np.ndarray,
+        known: np.ndarray, first: np.ndarray, size: np.ndarray, cost: np.ndarray,
+    ) -> Iterator[tuple]:
+        sizes = size[number]
+        after = np.cumsum(sizes)
+        ids = known[np.arange(after[-1] if len(number) else 0) + np.repeat(first[number] - after + sizes, sizes)]
+        costs = cost[number]
+        cuts = np.flatnonzero(costs < PLAIN_COST)
+        places, costs = after[cuts], costs[cuts]
+        begins = np.append(0, after)[bounds].tolist()
+        marks = np.searchsorted(cuts, bounds).tolist()
+        for k in range(len(bounds) - 1):
+            begin, here = begins[k], slice(marks[k], marks[k + 1])
+            yield ids[begin : begins[k + 1]], places[here] - begin, costs[here]
+
 
 WHOLE, CERTAIN, BEST = "whole", "certain", "best"
+# The bits of a number in a key.
+_NUMBER = (1 << 32) - 1
 
 
 def choose_cuts(places: np.ndarray, costs: np.ndarray, length: int, upto: str) -> list[int]:
@@ -185,40 +243,49 @@ def choose_cuts(places: np.ndarray, costs: np.ndarray, length: int, upto: str) -
             BEST: up to the cheapest place within a sequence of the last one
     """
     n = len(places)
-    position = [0, *places.tolist()]
-    cost = [0, *costs.tolist()]
-    best = [0] * (n + 1)
-    back = [0] * (n + 1)
-    queue = deque([0])  # ascending in place and in best + place
-    for j in range(1, n + 1):
-        here = position[j]
-        while position[queue[0]] < here - length:
-            queue.popleft()
-        i = queue[0]
-        best[j] = best[i] + position[i] + length - here + cost[j]
-        back[j] = i
-        value = best[j] + here
-        while queue and best[queue[-1]] + position[queue[-1]] >= value:
-            queue.pop()
-        queue.append(j)
+    position = np.append(0, places).astype(np.int64)
+    step = np.append(0, costs).astype(np.int64) + length
+    number = np.arange(n + 1)
+    # Of the cheapest way to each place: its cost and the place, and where it comes from.
+    value, back = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    last = 0
+    while last < n:
+        # The places up to a sequence after the last one. The best place before each of them
+        # is one up to the last one, or one after it that is itself best reached from there:
+        # where two of these places follow each other on a way, leaving out the second is
+        # cheaper. Of equal ones the latter is best, so a key is a value less a number.
+        begin, end = np.searchsorted(position, (position[last] - length, position[last] + length), "right")
+        if end == last + 1:
+            raise ValueError("places are further apart than a sequence is long")
+        stretch, before, base = slice(last + 1, end), slice(begin, last + 1), value[last]
+        keys = ((value[before] - base) << 32) - number[before]
+        keys = np.minimum.accumulate(keys[::-1])[::-1]
+        best = keys[np.searchsorted(position[before], position[stretch] - length)]
+        here = number[stretch]
+        keys = ((value[-best & _NUMBER] - base + step[stretch]) << 32) - here
+        best[1:] = np.minimum(best[1:], np.minimum.accumulate(keys)[:-1])
+        back[stretch] = -best & _NUMBER
+        value[stretch] = ((best + back[stretch]) >> 32) + base + step[stretch]
+        last = int(end) - 1
+    way = back.tolist()
     j = n
     if upto != WHOLE:
-        near = next(k for k in range(n, -1, -1) if k == 0 or position[k - 1] < position[n] - length)
+        near = int(np.searchsorted(position, position[n] - length))
         if upto == BEST:
-            j = min(range(n, max(near, 1) - 1, -1), key=best.__getitem__)
+            j = n - int(np.argmin((value - position)[max(near, 1) :][::-1]))
         ways = set(range(near, n + 1))
         while upto == CERTAIN and len(ways) > 1:
             # The last place that is not on all ways gives way to the one before it.
             if j in ways:
                 ways.remove(j)
-                ways.add(back[j])
+                ways.add(way[j])
             j -= 1
         if upto == CERTAIN:
             j = ways.pop()
     cuts = []
     while j:
-        cuts.append(position[j])
-        j = back[j]
+        cuts.append(int(position[j]))
+        j = way[j]
     return cuts[::-1]
 
 
@@ -308,27 +375,30 @@ def pack_documents(
     small_batches(docs.sparkSession)
     words = shared_object(docs.sparkSession, WordTokens(tokenizer_json))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(pieces: list[tuple]) -> pa.RecordBatch:
+        columns = zip(zip(*pieces), _PIECE_ARROW.types)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], schema=_PIECE_ARROW)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         tokens = words()
         packer = Packer(length, TaskContext.get().partitionId() << 32)
-        columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         end = np.array([end_id], dtype=np.uint32)
         pieces: list[tuple] = []
         for batch in batches:
-            encoded = tokens.encode(batch["text"].tolist())
-            for number, (ids, places, costs) in zip(batch["doc_id"].tolist(), encoded):
+            encoded = tokens.encode(batch.column("text"))
+            for number, (ids, places, costs) in zip(batch.column("doc_id").to_pylist(), encoded):
                 pieces += packer.add(number, np.concatenate((ids, end)), places, costs)
-                if len(pieces) >= 500:
-                    yield pd.DataFrame(pieces, columns=columns)
+                if len(pieces) >= PIECES:
+                    yield made(pieces)
                     pieces = []
         pieces += packer.cut(WHOLE)
         if pieces:
-            yield pd.DataFrame(pieces, columns=columns)
+            yield made(pieces)
 
-    # Ids go through pandas as text: it would make numbers with nulls floating point.
+    # Ids of any type go along as text.
     rows = docs.select(
         F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("binary").alias("text")
     )
     kind = docs.select(doc_id).dtypes[0][1]
-    return rows.mapInPandas(given_back(pack), _PIECE).withColumn("doc_id", F.col("doc_id").cast(kind))
+    return rows.mapInArrow(given_back(pack), _PIECE).withColumn("doc_id", F.col("doc_id").cast(kind))

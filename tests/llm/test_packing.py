@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import itertools
 import random
+import tracemalloc
+from collections import deque
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -139,3 +142,77 @@ def test_held_tokens_are_bounded(monkeypatch):
         assert packer.held <= 264
     pieces += packer.cut(packing.WHOLE)
     assert sum(p[2] for p in pieces) == 3200 and len({p[5] for p in pieces}) == 50
+
+
+def queue_cuts(places, costs, length):
+    """The cheapest cuts by a monotone queue, one place at a time."""
+    position, cost = [0, *places.tolist()], [0, *costs.tolist()]
+    value, back, queue = [0] * len(position), [0] * len(position), deque([0])
+    for j in range(1, len(position)):
+        while position[queue[0]] < position[j] - length:
+            queue.popleft()
+        back[j] = queue[0]
+        value[j] = value[queue[0]] + length + cost[j]
+        while queue and value[queue[-1]] >= value[j]:
+            queue.pop()
+        queue.append(j)
+    cuts, j = [], len(places)
+    while j:
+        cuts.append(position[j])
+        j = back[j]
+    return cuts[::-1]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_cuts_are_those_of_a_monotone_queue(seed):
+    dice = np.random.default_rng(seed)
+    places = np.cumsum(dice.integers(seed % 2, 1 + dice.integers(2, 60), 2000))
+    costs = dice.choice([0, 2, 6, 16], 2000)
+    got = packing.choose_cuts(places, costs, 64, packing.WHOLE)
+    assert got == queue_cuts(places, costs, 64)
+
+
+def test_places_too_far_apart_raise():
+    with pytest.raises(ValueError):
+        packing.choose_cuts(np.array([10, 80, 90]), np.zeros(3, dtype=np.int64), 64, packing.WHOLE)
+
+
+def test_cuts_of_many_places_need_little_memory():
+    places = np.arange(1, 400_001) * 12
+    tracemalloc.start()
+    packing.choose_cuts(places, np.full(len(places), 6), 2048, packing.WHOLE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+
+
+def test_words_are_not_held_after_their_texts():
+    tokens = packing.WordTokens(tokenizer_text())
+    list(tokens.encode([b"one word"]))
+    texts = [" ".join(f"w{k}x{n}" for k in range(1000)).encode() for n in range(100)]
+    tracemalloc.start()
+    for text in texts:
+        list(tokens.encode([text]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1_000_000
+
+
+def test_word_tokens_of_arrow_slices_and_small_groups(monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 200)
+    dice = random.Random(3)
+    texts = [" ".join(dice.choices(WORDS, k=dice.randrange(60))) for _ in range(400)]
+    texts = ["no", None, "", " a  b ", "\t\n\x0b\x0c\r", *texts, "x" * 1000, "end", None]
+    for kind in (pa.binary(), pa.large_binary()):
+        array = pa.array([None if t is None else t.encode() for t in texts], kind)[1:-1]
+        got = [ids.tolist() + [1] for ids, _, _ in packing.WordTokens(tokenizer_text()).encode(array)]
+        assert got == ids_of(texts[1:-1])
+
+
+@pytest.mark.parametrize(
+    "word, cost",
+    [("a.", 2), ('a."', 2), ("a!)]}*_", 2), ("a,", 6), ("a;'", 6), ("|", 6), ("a", None), ('"_"', None), ("é.", 2)],
+)
+def test_costs_of_cuts_after_words(word, cost):
+    _, places, costs = next(packing.WordTokens(tokenizer_text()).encode([f"one {word} two".encode()]))
+    assert costs.tolist() == ([] if cost is None else [cost]) and len(places) == len(costs)
