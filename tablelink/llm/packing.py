@@ -36,7 +36,7 @@ PLAIN_STEP = 24
 HELD_TOKENS = 1 << 18
 MOST_HELD_TOKENS = 1 << 22
 # Bytes of text whose different words are looked at together.
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 20
 # Pieces that go out together.
 PIECES = 500
 
@@ -94,7 +94,7 @@ class WordTokens:
     """Tokens of texts, word by word. The tokenizer splits at white space first, so the
     tokens of a text are those of its words one after the other.
 
-    The different words of a few megabytes of texts are tokenized together; none are
+    The different words of about a megabyte of texts are tokenized together; none are
     remembered after that.
     """
 
