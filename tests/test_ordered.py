@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from table_values import values
+from tablelink.operators import ordered
 from tablelink.operators.ordered import (
     first_k,
     joined_pieces,
@@ -78,6 +79,30 @@ def test_joined_text(spark):
     assert values(got, "key", "text") == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("batch", [1, 2, 7, 10_000])
+def test_joined_text_makes_no_list_of_rows(spark, monkeypatch, batch):
+    """Groups over several batches, null keys, places and texts, long texts that wait."""
+    rows = [
+        (None if k == 3 else k % 9, None if k % 4 == 0 else f"h{k % 2}", None if k % 13 == 0 else k * 7 % 50,
+         None if k % 11 == 0 else f"é{k} " * (300 if k % 9 == 5 else 1))
+        for k in range(120)
+    ]
+    df = spark.createDataFrame(rows, "a int, b string, at bigint, v string").repartition(3)
+    expected = {}
+    for a, b, _, v in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[3] is not None, r[3] or "")):
+        expected[a, b] = expected.get((a, b), "head|") + (v or "")
+    monkeypatch.setattr(ordered, "_LONG", 5000)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = joined_text(df, F.col("v"), keys=["a", "b"], order="at", out="text", head="head|")
+        assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r["a"], r["b"]): r["text"] for r in got.collect()} == expected
+        assert got.count() == len(expected) and joined_text(df.limit(0), F.col("v"), keys=["a"], order="at", out="t").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_first_k_limits_before_the_shuffle(spark):
     df = spark.createDataFrame(skewed(), "key string, at bigint, v int")
     got = first_k(df, 3, keys=["key"], order=["at"], out="n")
