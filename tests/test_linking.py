@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from table_values import values
 from tablelink import schemas
 from tablelink.config import LinkConfig, fine_tuned_config
+from tablelink.operators.candidates import render_candidates
 from tablelink.operators.linking import answer_prompts, pending_runs
 from tablelink.plans import pipelines
 from tablelink.sources.files import read_runs
@@ -206,6 +207,33 @@ def test_prompts_end_to_end(spark):
     assert {r["prompt"] for r in prompts.collect()} == {"one/Oslo", "one/nan", "one/Rome"}
 
 
+@pytest.mark.parametrize("template", ["{cand}", "{cand}<{title}", "{mention}>{cand}", "{mention}>{cand}<{wiki}"])
+@pytest.mark.parametrize("layout", ["tagged", "pipe"])
+def test_prompts_around_candidates(spark, template, layout):
+    """The same prompts as with the text of all candidates as one column, but no join of it."""
+    candidates = spark.createDataFrame(
+        [("T", f"T {g} 0", g, f"Q{g}{k}", "n", None, "[]", k % 2, None if k == 2 else -k)
+         for g in (1, 2, 3) for k in range(3 * g)] + [("T", "T 1 0", None, "Q1", "n", None, "[]", 1, 1)],
+        schemas.CANDIDATES,
+    )
+    rows = spark.createDataFrame([("T", 1, ["c"], ["Oslo"]), ("T", 2, ["c"], [None])], schemas.TABLE_ROWS)
+    entities = spark.createDataFrame([("Q5", "oslo", "capital", "[]", 1)], schemas.ENTITIES)
+
+    def built(template):
+        config = LinkConfig("D", "c", template, policy="append", layout=layout)
+        return pipelines.build_prompts(config, candidates, rows, ("one", "s"), entities)
+
+    got, twice = built(template), built(template + "|{cand}")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("MapInArrow")[0]
+    cands = {r["group"]: r["cand"] for r in render_candidates(candidates, layout).collect()}
+    expected = [
+        (r["group"], r["tableName"], r["key"], r["gold"], r["prompt"][: -1 - len(cands[r["group"]])])
+        for r in twice.collect()
+    ]
+    assert len(expected) == 3 and sorted(map(tuple, got.collect())) == sorted(expected)
+
+
 def test_plans_fetch_only_what_the_template_names(spark, tiny):
     from tablelink.plans import bindings as b
 
