@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from table_values import values
 from tablelink import schemas
 from tablelink.config import LinkConfig, fine_tuned_config
+from tablelink.operators.calls import Calls
 from tablelink.operators.candidates import render_candidates
 from tablelink.operators.linking import answer_prompts, pending_runs
 from tablelink.plans import pipelines
@@ -268,3 +269,114 @@ def test_candidates_are_rendered_only_where_a_prompt_shows_them(spark, monkeypat
     got = dict(pipelines.build_prompts(written, cands, rows, entities=entities).select("group", "prompt").collect())
     assert {r["group"] for r in made[1].select("group").collect()} == {1, 2}
     assert all(text.count("<[ID]") == 3 for text in got.values())
+
+
+def parts_and_prompts(spark, template="{mention}>{cand}<{wiki}", **options):
+    candidates = spark.createDataFrame(
+        [("T", f"T {g} 0", g, f"Q{g}{k}", "n", "é" * g, "[]", k % 2, -k) for g in (1, 2, 3) for k in range(3 * g)],
+        schemas.CANDIDATES,
+    )
+    rows = spark.createDataFrame([("T", 1, ["c"], ["Oslo"]), ("T", 2, ["c"], [None])], schemas.TABLE_ROWS)
+    entities = spark.createDataFrame([("Q5", "oslo", "capital", "[]", 1)], schemas.ENTITIES)
+    config = LinkConfig("D", "c", template, policy="append", runs=3, **options)
+    made = [f(config, candidates, rows, ("one", "s"), entities) for f in (pipelines.prompt_parts, pipelines.build_prompts)]
+    return config, *made
+
+
+def echoing(log=None):
+    def answer(prompts):
+        if log:
+            with open(log, "a") as out:
+                out.write("x" * len(prompts))
+        return [None if p.startswith("Rome") else f"{p} ### Answer:  <[ID] Q{len(p)}> " for p in prompts]
+
+    return answer
+
+
+def same_results(from_parts, from_prompts):
+    """Result rows of parts are those of prompts, with the length in place of the prompt."""
+    whole = from_prompts.withColumn("prompt_length", F.length("prompt")).drop("prompt", "processed_at")
+    got = from_parts.drop("processed_at")
+    assert "prompt" not in from_parts.columns and set(got.columns) == set(whole.columns)
+    assert values(got.select(*whole.columns)) == values(whole)
+    return got
+
+
+@pytest.mark.parametrize("marker", [None, "### Answer:", "elsewhere"])
+def test_parts_are_joined_where_the_model_is_asked(spark, marker):
+    """The same results as from whole prompts, but no prompt leaves the task that asks."""
+    config, parts, prompts = parts_and_prompts(spark, marker=marker)
+    got = pipelines.link(parts, config, echoing)
+    assert same_results(got, pipelines.link(prompts, config, echoing)).count() == 9
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
+    done = spark.createDataFrame([(1, 0), (1, 2), (2, 0), (2, 1), (2, 2), (9, 1)], "`group` bigint, iter int")
+    rest = pipelines.link(parts, config, echoing, finished=done)
+    same_results(rest, pipelines.link(prompts, config, echoing, finished=done))
+    assert values(rest, "group", "iter") == [(1, 1), (3, 0), (3, 1), (3, 2)]
+
+
+def test_runs_of_a_long_prompt_are_asked_one_after_another(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def make():
+        def answer(prompts):
+            with open(log, "a") as out:
+                out.write(f"{len(prompts)} ")
+            return ["Q1>"] * len(prompts)
+
+        return answer
+
+    config, parts, _ = parts_and_prompts(spark)
+    one = pipelines.PromptParts(parts.mentions.where("`group` = 3"), parts.candidates)
+    assert values(pipelines.link(one, config, make), "group", "iter") == [(3, 0), (3, 1), (3, 2)]
+    assert open(log).read().split() == ["1"] * 3
+
+
+def test_only_templates_with_all_candidates_have_parts(spark):
+    for wrong in ({"candidate_limit": 2}, {"prompt_budget": 50}, {"template": "{cand}{cand}"}, {"template": "{wiki}"}):
+        with pytest.raises(ValueError, match="names all candidates once"):
+            parts_and_prompts(spark, **wrong)
+
+
+def test_parts_and_a_store(spark, tmp_path):
+    """Digests of parts are those of prompts: either finds the answers of the other."""
+    config, parts, prompts = parts_and_prompts(spark)
+    log = str(tmp_path / "asked")
+    for first, then in ((parts, prompts), (prompts, parts)):
+        store = str(tmp_path / f"answers-{first is parts}")
+        open(log, "w").close()
+        made = pipelines.link_from_store(first, config, echoing, store, "m", options={"log": log}, calls=Calls())
+        asked = made.count(), os.path.getsize(log)
+        again = pipelines.link_from_store(then, config, echoing, store, "m", options={"log": log})
+        assert asked == (9, 9) and again.count() == 9 and os.path.getsize(log) == 9
+        same_results(*((made, again) if first is parts else (again, made)))
+
+
+def test_equal_questions_of_parts_are_asked_once(spark, tmp_path):
+    config, parts, _ = parts_and_prompts(spark, template="{cand}")
+    twice = pipelines.PromptParts(
+        parts.mentions.unionByName(parts.mentions.withColumn("group", F.col("group") + 100)),
+        parts.candidates.unionByName(parts.candidates.withColumn("group", F.col("group") + 100)),
+    )
+    log = str(tmp_path / "asked")
+    got = pipelines.link_from_store(twice, config, echoing, str(tmp_path / "answers"), "m", options={"log": log})
+    assert got.count() == 18 and os.path.getsize(log) == 9
+
+
+def test_failed_questions_of_parts_are_not_stored(spark, tmp_path):
+    config, parts, _ = parts_and_prompts(spark)
+
+    def fragile(broken):
+        def predict(asked):
+            if any(p.startswith(broken) for p in asked):
+                raise RuntimeError("down")
+            return ["Q1>"] * len(asked)
+
+        return predict
+
+    store = str(tmp_path / "answers")
+    for broken, groups in (("Oslo", {2, 3}), ("nowhere", {1, 2, 3})):
+        options, calls = {"broken": broken}, Calls(attempts=1)
+        got = pipelines.link_from_store(parts, config, fragile, store, "m", options=options, calls=calls)
+        assert {r["group"] for r in got.select("group").collect()} == groups
