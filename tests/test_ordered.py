@@ -151,3 +151,26 @@ def test_joined_pieces_moves_the_texts_twice(spark):
     assert values(got, "piece", "start", "text") == [(0, 0, "xyy"), (3, 3, "z")]
     one = joined_pieces(tied, F.col("v"), keys=["key"], order="at", out="text", piece_chars=2, run_bits=8, order_bits=4)
     assert values(one, "piece", "start", "text") == [(0, 0, "xyy"), (1, 3, "z")]
+
+
+def test_texts_that_nobody_needs_are_not_made():
+    """Rows of a group over many batches go by, if its first row has no value."""
+    import pyarrow as pa
+
+    from tablelink.operators.ordered import texts_joined
+
+    def batches(*rows):
+        for part in rows:
+            yield pa.RecordBatch.from_pylist(
+                [dict(zip(("g", "runs", "text", "_number"), row)) for row in part],
+                schema=pa.schema([("g", pa.int64()), ("runs", pa.list_(pa.int32())), ("text", pa.string()), ("_number", pa.int32())]),
+            )
+
+    rows = (
+        [(1, [0], "a", 1), (1, None, "b", 2), (2, None, "c", 1)], [(2, None, "d", 2)],
+        [(2, None, "e", 3), (3, [1], "f", 1)], [(3, None, "g", 2), (4, None, "h", 1)], [(4, None, "i", 2)],
+    )
+    got = [row for batch in texts_joined(batches(*rows), needed="runs") for row in batch.to_pylist()]
+    assert [(row["g"], row["text"]) for row in got] == [(1, "ab"), (3, "fg")]
+    got = [row for batch in texts_joined(batches(*rows)) for row in batch.to_pylist()]
+    assert [(row["g"], row["text"]) for row in got] == [(1, "ab"), (2, "cde"), (3, "fg"), (4, "hi")]
