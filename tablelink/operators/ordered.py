@@ -113,17 +113,30 @@ def joined_text(
     out: str,
     head: str = "",
     carried: Sequence[str] = (),
+    needed: str | None = None,
 ) -> DataFrame:
     """One row per group: `head` and `text` of its rows, concatenated in `order`, and the
-    columns `carried` of its first row.
+    columns `carried` of its first row. With `needed`, one of these, there is none for a group
+    whose first row has no value in it, and that column is left out: a filter or a choice of
+    columns that comes later would copy a long text.
 
     The result is one value, so its rows meet in one task in any case; they are shuffled
     once at most and sorted, and no list of them is made. Equal places are ordered by text.
     """
     rows = rows_in_order(df, text, keys=keys, order=order, out=out, carried=carried)
-    schema = StructType([*rows.schema.fields[:-2], StructField(out, StringType(), False)])
+    names = [name for name in rows.columns[:-1] if name != needed]
+    schema = StructType([*(rows.schema[name] for name in names[:-1]), StructField(out, StringType(), False)])
     start = head.encode()
-    return rows.mapInArrow(lambda batches: texts_joined(batches, start), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in texts_joined(batches, start, needed):
+            if needed is not None and batch.column(needed).null_count:
+                batch = batch.filter(batch.column(needed).is_valid())
+            yield batch.select(names)
+            # What was yielded is not kept while the next is made.
+            del batch
+
+    return rows.mapInArrow(run, schema)
 
 
 def rows_in_order(

@@ -189,8 +189,9 @@ def build_prompts(
     order: str = "pos",
     dashed: bool = False,
     tokens: Tokens = word_tokens,
+    named: Sequence[str] = ("tableName", "key", "gold"),
 ) -> DataFrame:
-    """One row per mention: group, tableName, key, gold, prompt.
+    """One row per mention: group, what is `named` of tableName, key and gold, and prompt.
 
     Only the inputs the template names are joined. The short columns of a
     mention go through the lookups first; the candidates join last, as rows between
@@ -204,7 +205,7 @@ def build_prompts(
     rows, context = _rows_and_context(config, candidates, table_rows, meta, entities, allow, tables, order, dashed)
     replaced = "wiki" in fields and config.policy == "replace"
     if _named_once(config):
-        return _joined_prompts(_parts_around(config, context, rows))
+        return _joined_prompts(_parts_around(config, context, rows), named)
     if "cand" in fields or replaced:
         if config.candidate_limit is not None:
             rows = bounded_candidates(rows, config.candidate_limit, "cand_pos")
@@ -232,7 +233,7 @@ def build_prompts(
         wiki = retrieved(config.policy, config.guard, F.col("cand") if replaced else None)
         context = context.withColumn("wiki", wiki)
     prompt = render(config.template_text, {name: F.col(name) for name in fields})
-    return context.select("group", "tableName", "key", "gold", prompt.alias("prompt"))
+    return context.select("group", *named, prompt.alias("prompt"))
 
 
 def _parts_around(config: LinkConfig, context: DataFrame, rows: DataFrame) -> PromptParts:
@@ -266,13 +267,14 @@ def _part_rows(parts: PromptParts, carried: Sequence[str]) -> DataFrame:
     return around.withColumn("cand_pos", F.lit(None).cast(place)).unionByName(between, allowMissingColumns=True)
 
 
-def _joined_prompts(parts: PromptParts) -> DataFrame:
-    named = ("tableName", "key", "gold")
-    prompts = joined_text(
-        _part_rows(parts, named), F.col("text"), keys=["group"], order=["part", "cand_pos"], out="prompt",
-        carried=[*named, "part"],
+def _joined_prompts(parts: PromptParts, named: Sequence[str]) -> DataFrame:
+    """The rows before the candidates say that there is a mention. The tasks that join leave out
+    the other groups, so that a long prompt is copied by no step after them."""
+    rows = _part_rows(parts, named).withColumn("mentioned", F.when(F.col("part") == 0, True))
+    return joined_text(
+        rows, F.col("text"), keys=["group"], order=["part", "cand_pos"], out="prompt",
+        carried=[*named, "mentioned"], needed="mentioned",
     )
-    return prompts.where(F.col("part") == 0).select("group", *named, "prompt")
 
 
 def _parts_in_order(parts: PromptParts, runs: DataFrame) -> DataFrame:

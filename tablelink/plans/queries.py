@@ -322,13 +322,14 @@ def json_texts(spark, folder):
 # --- prompts and runs -----------------------------------------------------
 
 
-def _prompts(spark, folder, config, some="true"):
+def _prompts(spark, folder, config, some="true", **options):
     return pipelines.build_prompts(
         config,
         b.candidates(spark, folder).where(some),
         b.table_rows(spark, folder),
         b.meta(spark, folder),
         b.entities(spark, folder),
+        **options,
     )
 
 
@@ -346,7 +347,7 @@ def _prompt_query(template: str) -> Query:
     def run(spark, folder):
         policy = "plain" if template.startswith("sft") else "append" if "cand" in template else "replace"
         config = LinkConfig("D1", template, template, policy=policy, retrieval_limit=3)
-        return _prompts(spark, folder, config).select("group", "key", "gold", "prompt")
+        return _prompts(spark, folder, config, named=("key", "gold"))
 
     return run
 

@@ -14,6 +14,7 @@ from tablelink.operators.calls import Calls
 from tablelink.operators.candidates import render_candidates
 from tablelink.operators.linking import answer_prompts, pending_runs
 from tablelink.plans import pipelines
+from tablelink.plans.queries import QUERIES
 from tablelink.sources.files import read_runs
 from tablelink.streaming.progress import follow_prompts
 
@@ -235,6 +236,17 @@ def test_prompts_around_candidates(spark, template, layout):
     assert len(expected) == 3 and sorted(map(tuple, got.collect())) == sorted(expected)
 
 
+@pytest.mark.parametrize(
+    "name", ["link_cand_wiki", "sft_infer", "title_cand_idonly", "title_cand_wiki", "title_cand_wiki_what"]
+)
+def test_no_step_copies_a_joined_prompt(spark, tiny, name):
+    """What joins the prompts gives the rows of the query; a filter or projection after it would
+    hold a long prompt once more."""
+    got = QUERIES[f"prompt_{name}"](spark, tiny)
+    assert got.columns == ["group", "key", "gold", "prompt"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")
+
+
 def test_plans_fetch_only_what_the_template_names(spark, tiny):
     from tablelink.plans import bindings as b
 

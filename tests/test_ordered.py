@@ -103,6 +103,24 @@ def test_joined_text_makes_no_list_of_rows(spark, monkeypatch, batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_joined_text_of_groups_that_are_needed(spark, monkeypatch, batch):
+    """Those whose first row has a value in the column, which is not handed on; short and long."""
+    rows = [(a, k, "x" if k == 0 and a % 3 == 0 else None, f"{a}{k} " * (a + 1)) for a in range(12) for k in range(a % 4 + 1)]
+    df = spark.createDataFrame(rows, "a int, at bigint, mark string, v string").repartition(3)
+    monkeypatch.setattr(ordered, "_LONG", 30)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = joined_text(df, F.col("v"), keys=["a"], order="at", out="text", carried=["at", "mark"], needed="mark")
+        assert got.columns == ["a", "at", "text"]
+        assert values(got) == sorted(
+            ((a, 0, "".join(r[3] for r in rows if r[0] == a)) for a in range(0, 12, 3)), key=repr
+        )
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_first_k_limits_before_the_shuffle(spark):
     df = spark.createDataFrame(skewed(), "key string, at bigint, v int")
     got = first_k(df, 3, keys=["key"], order=["at"], out="n")
