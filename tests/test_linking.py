@@ -328,6 +328,20 @@ def test_parts_are_joined_where_the_model_is_asked(spark, marker):
     assert values(rest, "group", "iter") == [(1, 1), (3, 0), (3, 1), (3, 2)]
 
 
+def test_rows_of_prompts_hold_no_lists(spark):
+    """Spark's writer of Arrow batches takes time by the square of their rows for a column of lists
+    that is null in most of them; the runs to make go along as a text."""
+    _, parts, _ = parts_and_prompts(spark)
+    runs = parts.mentions.withColumn("runs", F.expr("array_repeat(1, int(`group` - 1)) || array(0)"))
+    runs = runs.unionByName(runs.limit(1).select("*").withColumns({"group": F.lit(9).cast("bigint"), "runs": F.expr("cast(array() as array<int>)")}))
+    rows = pipelines._parts_in_order(parts, runs)
+    assert dict(rows.dtypes)["runs"] == "string"
+    assert sorted((r["group"], r["runs"]) for r in rows.where("runs is not null").collect()) == [
+        (1, "0"), (2, "1,0"), (3, "1,1,0")
+    ]
+    assert 9 not in {r["group"] for r in rows.collect()}
+
+
 def test_runs_of_a_long_prompt_are_asked_one_after_another(spark, tmp_path):
     log = str(tmp_path / "calls")
 
