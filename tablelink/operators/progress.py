@@ -45,6 +45,12 @@ def pending_by_bitmaps(mentions: DataFrame, bitmaps: DataFrame, runs: int) -> Da
 
     bitmaps  those of one dataset and configuration, merged
     """
+    return runs_left(mentions, bitmaps, runs).withColumn("iter", F.explode("runs")).drop("runs")
+
+
+def runs_left(mentions: DataFrame, bitmaps: DataFrame, runs: int) -> DataFrame:
+    """Add `runs`: the numbers of the runs whose bit is not set, as a list. `bitmaps` are as in
+    `pending_by_bitmaps`."""
     of_bucket = bitmaps.groupBy(F.col("bucket").alias("_bucket")).agg(
         F.map_from_entries(F.collect_list(F.struct("iter", "bits"))).alias("_bits")
     )
@@ -54,4 +60,4 @@ def pending_by_bitmaps(mentions: DataFrame, bitmaps: DataFrame, runs: int) -> Da
     left = F.filter(
         F.sequence(F.lit(0), F.lit(runs - 1)), lambda run: ~_is_set(F.try_element_at("_bits", run), at)
     )
-    return known.withColumn("iter", F.explode(left)).drop("_bucket", "_bits")
+    return known.withColumn("runs", left).drop("_bucket", "_bits")

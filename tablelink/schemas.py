@@ -27,5 +27,9 @@ RUNS = (
     "dataset STRING, config STRING, iter INT, tableName STRING, key STRING, "
     "`group` BIGINT, prompt STRING, output STRING, gold STRING, pred STRING"
 )
+# Prompts in pieces, beside results that hold their lengths.
+RUN_PROMPTS = (
+    "dataset STRING, config STRING, `group` BIGINT, runs ARRAY<INT>, piece INT, text STRING, asked_at TIMESTAMP"
+)
 
 EXAMPLES = "question STRING, answer STRING"

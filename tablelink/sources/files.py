@@ -159,9 +159,23 @@ def read_run_files(
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Results as written by write_runs; filters on dataset, config and iter prune."""
-    return spark.read.schema(schemas.RUNS + ", processed_at TIMESTAMP").parquet(path)
+def read_runs(spark: SparkSession, path: str, lengths: bool = False) -> DataFrame:
+    """Results as written by write_runs; filters on dataset, config and iter prune. With
+    `lengths` they have `prompt_length`, which results of prompts in parts hold, and no prompt."""
+    if not lengths:
+        return spark.read.schema(schemas.RUNS + ", processed_at TIMESTAMP").parquet(path)
+    runs = spark.read.schema(schemas.RUNS + ", prompt_length INT, processed_at TIMESTAMP").parquet(path)
+    return runs.withColumn("prompt_length", F.coalesce("prompt_length", F.length("prompt"))).drop("prompt")
+
+
+def read_run_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """The prompts of results that hold their lengths, in pieces: dataset, config, iter, group,
+    piece (from 1), text. Where a run was asked again, those of the last time."""
+    of = ["dataset", "config", "iter", "group"]
+    asked = spark.read.schema(schemas.RUN_PROMPTS).parquet(f"{path.rstrip('/')}-prompts")
+    rows = asked.withColumn("iter", F.explode("runs")).drop("runs")
+    last = rows.where(F.col("piece") == 1).groupBy(*of).agg(F.max("asked_at").alias("asked_at"))
+    return many_to_one(rows, last, [*of, "asked_at"], "left_semi").select(*of, "piece", "text")
 
 
 def column_names(header: list[str]) -> list[str]:

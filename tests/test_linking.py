@@ -12,10 +12,12 @@ from tablelink import schemas
 from tablelink.config import LinkConfig, fine_tuned_config
 from tablelink.operators.calls import Calls
 from tablelink.operators.candidates import render_candidates
+from tablelink.operators.context import expand_runs
 from tablelink.operators.linking import answer_prompts, pending_runs
+from tablelink.operators.ordered import joined_text
 from tablelink.plans import pipelines
 from tablelink.plans.queries import QUERIES
-from tablelink.sources.files import read_runs
+from tablelink.sources.files import read_run_prompts, read_runs
 from tablelink.streaming.progress import follow_prompts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -379,6 +381,72 @@ def test_parts_and_a_store(spark, tmp_path):
         same_results(*((made, again) if first is parts else (again, made)))
 
 
+@pytest.mark.parametrize("piece_rows", [1, 2, 128])
+@pytest.mark.parametrize("calls", [None, Calls()])
+def test_stored_runs_of_parts(spark, tmp_path, monkeypatch, piece_rows, calls):
+    """The same results as of whole prompts, over two calls into one folder. No stored row holds a
+    whole prompt, but its pieces beside the results make it up."""
+    monkeypatch.setattr(pipelines, "_PIECE_ROWS", piece_rows)
+    config, parts, prompts = parts_and_prompts(spark, marker="### Answer:")
+    log, path, other = (str(tmp_path / name) for name in ("asked", "runs", "others"))
+    some = pipelines.PromptParts(parts.mentions.where("`group` <> 2"), parts.candidates)
+    pipelines.run_linking(some, config, echoing, path, options={"log": log}, calls=calls)
+    assert os.path.getsize(log) == 6
+    pipelines.run_linking(parts, config, echoing, path, options={"log": log}, batches=2, calls=calls)
+    assert os.path.getsize(log) == 9
+    pipelines.run_linking(prompts, config, echoing, other)
+    same_results(read_runs(spark, path, lengths=True), read_runs(spark, other))
+    assert values(read_runs(spark, other, lengths=True).drop("processed_at")) == values(
+        read_runs(spark, path, lengths=True).drop("processed_at")
+    )
+    assert "prompt" not in spark.read.parquet(path).columns
+    pieces = read_run_prompts(spark, path)
+    got = joined_text(pieces, F.col("text"), keys=["iter", "group"], order="piece", out="prompt")
+    assert values(got) == values(expand_runs(prompts.select("group", "prompt"), 3).select("iter", "group", "prompt"))
+    assert pieces.where("`group` = 3 and iter = 0").count() == -(-11 // piece_rows)
+
+
+def test_failed_runs_of_parts_stay_pending(spark, tmp_path):
+    config, parts, _ = parts_and_prompts(spark)
+    path = str(tmp_path / "runs")
+
+    def fragile(broken):
+        def predict(asked):
+            if any(p.startswith(broken) for p in asked):
+                raise RuntimeError("down")
+            return [f"<Q{len(p)}>" for p in asked]
+
+        return predict
+
+    calls = Calls(attempts=1)
+    for broken, groups in (("Oslo", {2, 3}), ("nowhere", {1, 2, 3})):
+        pipelines.run_linking(parts, config, fragile, path, options={"broken": broken}, calls=calls)
+        got = read_runs(spark, path, lengths=True)
+        assert {r["group"] for r in got.collect()} == groups and got.count() == 3 * len(groups)
+    failed = spark.read.parquet(f"{path}-failed")
+    assert values(failed, "group", "iter", "error") == [(1, run, "RuntimeError: down") for run in range(3)]
+    # Asked twice, read once.
+    assert read_run_prompts(spark, path).where("`group` = 1").count() == 3
+
+
+def test_pieces_of_mentions_only(spark, monkeypatch):
+    """Candidates of no mention are in no piece, wherever they stand in a batch."""
+    monkeypatch.setattr(pipelines, "_PIECE_ROWS", 2)
+    _, parts, prompts = parts_and_prompts(spark)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (1, 3, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            for groups in ("(1)", "(2)", "(1, 3)"):
+                some = pipelines.PromptParts(parts.mentions.where(f"`group` in {groups}"), parts.candidates)
+                pieces = pipelines.prompt_pieces(some)
+                got = joined_text(pieces, F.col("text"), keys=["group"], order="piece", out="prompt", carried=["tableName", "key", "gold"])
+                want = prompts.where(f"`group` in {groups}")
+                assert values(got.select(*want.columns)) == values(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_equal_questions_of_parts_are_asked_once(spark, tmp_path):
     config, parts, _ = parts_and_prompts(spark, template="{cand}")
     twice = pipelines.PromptParts(
